@@ -21,7 +21,6 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     """
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(everything) - 1) % len(weights) + 1).cast("double")
-    # order of code points: that of the UTF-8 bytes
     out = sizes.withColumn("weight", w).withColumn("limit", F.col("source_size") * F.lit(float(most)))
     by_level = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     upto = by_level.rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +66,7 @@ def block_quotas(targets: DataFrame, block_words: int | None = None, most: float
     return t.withColumn("shard_quotas", counts).select("source", "source_size", "weight", "target", "blocks", "quota", "first_seat", "shard_quotas")
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_words: int | None = None, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_words: int | None = None, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every row of docs once: id_col, size, source_size, target, taken, shard_words.
 
     size: words of the text (null: 0). A source's documents, in seeded order, form one run of words,
@@ -77,7 +76,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     Equal (id, source) rows are told apart by their size and otherwise share one place in the order:
     each counts. Same rows and seed, same result. An empty table gives no rows.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *([F.col(c).alias(f"in_{c}") for c in docs.columns] if keep_text else []))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     d = settle(d)
     plan = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     cells = plan.withColumn("lots", (F.floor(F.col("docs") / 20_000) + 1).cast("int")).select(F.col("source").alias("s1"), "lots")
@@ -104,8 +103,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     d = d.withColumn("spans", F.when(F.col("size") > 0, blocks).otherwise(F.expr("cast(array() as array<bigint>)"))).withColumn("picked", picked)
     taken = F.expr("aggregate(picked, 0L, (n, x) -> n + x.words)")
     by_shard = F.expr(f"transform(sequence(0, {shards - 1}), h -> aggregate(filter(picked, x -> pmod(x.seat + first_seat, {shards}) = h), 0L, (n, x) -> n + x.words))")
-    kept = [F.col(f"in_{c}") for c in docs.columns] if keep_text else []
-    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"), *kept)
+    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"))
 
 
 def op3_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
