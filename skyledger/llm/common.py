@@ -64,7 +64,7 @@ PLAIN_BYTES = RAW_BYTES.copy()
 PLAIN_BYTES[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("p")
     if have is None or len(have) < n:
         n = max(n, 1 << 20)
@@ -104,7 +104,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = RAW_BY
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | new[1:])) + 1
-    power, inverse = _powers(n + 1)
+    power, inverse = power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -10,9 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import read, window_hashes
+from skyledger.llm.common import PLAIN_BYTES, RAW_BYTES, mix, power_tables, read, text_chunks, window_hashes
 
-NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit kph mph km/h m/s hz khz mhz ghz w kw v volt volts j joule joules n newton newtons pa".split())
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
@@ -28,54 +26,93 @@ class TemplateParams:
     block_chars: int = 32_000_000
 
 
-class Tokens(dict):
-    """Token -> row of what does not depend on its neighbours: hash of the plain form, kind bits. Emptied when it has grown to a bound."""
-
-    NUMERIC, UNITLIKE, TITLE, ENDS, EMPTY = 1, 2, 4, 8, 16
-
-    def __init__(self):
-        super().__init__()
-        self.hashes, self.kinds = [], []  # of the tokens since the arrays were last brought up to date
-        self.arrays = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.int64)
-
-    def __missing__(self, token: str) -> int:
-        import xxhash
-
-        plain = token.strip("!\"#&'()*,-./:;<=>?@[\\]^_`{|}~«»“”„’‘¿¡…")
-        low = plain.lower()
-        kind = self.NUMERIC * bool(NUMBER.fullmatch(plain) or low in NUMBER_WORDS) | self.UNITLIKE * (low in UNITS) | self.TITLE * (plain[:1].isupper() and plain[1:2].islower()) | self.ENDS * (token.rstrip("\"')]*")[-1:] in ".!?:") | self.EMPTY * (not low)
-        self[token] = at = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.kinds.append(kind)
-        return at
-
-    def template(self, text: str):
-        """(tokens, template codes, slot kinds) of a text."""
-        if len(self) > 1_000_000:
-            self.clear()
-        lines = text.split("\n")
-        words, breaks = [], []
-        for line in lines:
-            breaks.append(len(words))
-            words += line.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if new := len(self.hashes):
-            if len(self) > len(self.arrays[0]):
-                self.arrays = tuple(np.concatenate((x, np.empty(len(self), x.dtype))) for x in self.arrays)
-            self.arrays[0][len(self) - new : len(self)], self.arrays[1][len(self) - new : len(self)] = self.hashes, self.kinds
-            self.hashes.clear(), self.kinds.clear()
-        code, kind = self.arrays[0][at], self.arrays[1][at]
-        first = np.zeros(len(words) + 1, bool)
-        first[breaks] = True
-        first[1:] |= (kind & self.ENDS) > 0
-        numeric = (kind & self.NUMERIC) > 0
-        unit = np.zeros(len(words), bool)
-        unit[1:] = numeric[:-1] & ((kind[1:] & self.UNITLIKE) > 0)
-        slot = np.where(numeric, NUM, np.where(unit, UNIT, np.where(((kind & self.TITLE) > 0) & ~first[:-1], NAME, LITERAL)))
-        code = np.where(slot > 0, _SLOT[slot], code)
-        full = (kind & self.EMPTY) == 0
-        keep = np.flatnonzero(full)
-        return [words[i] for i in keep] if len(keep) < len(words) else words, code[keep], slot[keep]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_DIGIT = np.zeros(256, bool)
+_IS_DIGIT[48:58] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?:"]] = True
+_QUOTES = np.zeros(256, bool)
+_QUOTES[[ord(c) for c in "\"')]*"]] = True
+
+
+@dataclass
+class Templates:
+    """Tokens of texts that lie end to end: byte bounds, template codes, slot kinds, and where each text's tokens begin."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    codes: np.ndarray
+    slots: np.ndarray
+    begins: np.ndarray
+
+    def word(self, i: int) -> str:
+        return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace").strip(".,;:!?\"'()").lower()
+
+
+def plain_hash(word: str) -> int:
+    return int(templates(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), False).codes[0])
+
+
+_SETS: dict[str, np.ndarray] = {}
+
+
+def _words(name: str) -> np.ndarray:
+    if name not in _SETS:
+        _SETS[name] = np.sort(np.array([plain_hash(w) for w in (UNITS if name == "units" else NUMBER_WORDS)], np.uint64))
+    return _SETS[name]
+
+
+def templates(data: np.ndarray, offsets: np.ndarray, typed: bool = True) -> Templates:
+    """Tokens are words in lower case without ASCII punctuation; those of punctuation alone are passed over. A number is a token of digits or a number word, a unit a unit word after a number, a name a token with one capital at its start that does not begin a line or sentence."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if not n:
+        return Templates(data, none, none, np.empty(0, np.uint64), none, np.zeros(len(offsets), np.int64))
+    low = _LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    low[second] += 0x20
+    inside = RAW_BYTES[data] == 2
+    new = np.zeros(n + 1, bool)
+    new[offsets] = True
+    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | new[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | new[1:])) + 1
+    kept = PLAIN_BYTES[data] == 2
+    place = np.zeros(n + 1, np.int64)
+    np.cumsum(kept, out=place[1:])
+    power, inverse = power_tables(int(place[-1]) + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.where(kept, (low.astype(np.uint64) + np.uint64(1)) * power[place[:-1]], np.uint64(0)), out=total[1:])
+    size = place[ends] - place[starts]
+    full = size > 0
+    before = np.concatenate(([0], ends[:-1]))
+    # the last byte of each token that is no quote or bracket
+    last = ends - 1
+    for _ in range(2):
+        last = np.where(_QUOTES[data[last]] & (last > starts), last - 1, last)
+    lines = np.zeros(n + 1, np.int32)
+    np.cumsum(data == 10, out=lines[1:])
+    first = new[starts] | (lines[starts] > lines[before]) | np.concatenate(([True], _ENDS[data[last[:-1]]]))
+    digits = np.zeros(n + 1, np.int32)
+    np.cumsum(_IS_DIGIT[data], out=digits[1:])
+    codes = mix((total[ends] - total[starts]) * inverse[place[starts]] + size.astype(np.uint64))
+    numeric = (digits[ends] - digits[starts] == size) & full
+    upper = low != data
+    capital = np.zeros(n + 1, np.int32)
+    np.cumsum(upper, out=capital[1:])
+    head = np.minimum(starts + 3, ends)
+    starts, ends, codes, first, numeric = starts[full], ends[full], codes[full], first[full], numeric[full]
+    slots = np.zeros(len(starts), np.int64)
+    if typed:
+        head = head[full]
+        name = (capital[head] - capital[starts] == 1) & (capital[ends] - capital[starts] == 1) & ~first & (ends - starts > 1)
+        numeric |= np.isin(codes, _words("numbers"))
+        unit = np.isin(codes, _words("units")) & np.concatenate(([False], numeric[:-1]))
+        slots = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
+        codes = np.where(slots > 0, _SLOT[slots], codes)
+    return Templates(data, starts, ends, codes, slots, np.searchsorted(starts, offsets))
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, k: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,53 +129,64 @@ class Index:
     """Template windows of a bounded part of the benchmark."""
 
     def __init__(self, items: list[tuple[int, str]], p: TemplateParams):
-        tokens, self.items, rows = Tokens(), [], defaultdict(list)
-        for item, text in items:
-            words, codes, slots = tokens.template(text or "")
-            k = min(p.window, len(words))
-            self.items.append((item, words, codes, slots))
+        self.ids = [i for i, _ in items]
+        texts = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
+        self.all = t = templates(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64))
+        rows: dict[int, list] = defaultdict(list)
+        for i in range(len(items)):
+            a, b = t.begins[i], t.begins[i + 1]
+            k = min(p.window, int(b - a))
             if k >= p.literals:
-                at, h = windows(codes, slots, k, p.literals)
-                rows[k] += [(int(x), len(self.items) - 1, int(i)) for i, x in zip(at, h, strict=True)]
+                at, h = windows(t.codes[a:b], t.slots[a:b], k, p.literals)
+                rows[k] += [(int(x), i, int(j)) for j, x in zip(at, h, strict=True)]
         self.by_length = {}
         for k, found in rows.items():
             found.sort()
             self.by_length[k] = np.array([x for x, _, _ in found], np.uint64), np.array([(i, j) for _, i, j in found], np.int64).reshape(-1, 2)
 
-    def leaks(self, text: str, tokens: Tokens, p: TemplateParams) -> list[tuple[int, int, int, bool]]:
-        """(item, windows, slots, exact) of the items with windows in the text whose slots are consistent."""
-        words, codes, slots = tokens.template(text)
-        runs: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
-        for k, (keys, places) in self.by_length.items():
-            at, h = windows(codes, slots, k, p.literals)
-            lo = np.searchsorted(keys, h)
-            hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == h))
-            for x in hit:
-                r = lo[x]
-                while r < len(keys) and keys[r] == h[x]:
-                    i, j = places[r]
-                    runs[int(i), int(at[x]) - int(j)][int(j)] = k
-                    r += 1
-        found: dict[int, list[int]] = {}
-        for (i, shift), starts in runs.items():
-            item, its_words, its_codes, its_slots = self.items[i]
-            cover = sorted({q for j, k in starts.items() for q in range(j, j + k)})
-            there = [shift + q for q in cover]
-            if (its_codes[cover] != codes[there]).any():
-                continue
-            to, back, same, n, good = {}, {}, True, 0, True
-            for q, d in zip(cover, there, strict=True):
-                if kind := int(its_slots[q]):
-                    n += 1
-                    a, b = its_words[q].strip(".,;:!?").lower(), words[d].strip(".,;:!?").lower()
-                    same &= a == b
-                    good &= to.setdefault((kind, a), b) == b and (kind == NUM or back.setdefault((kind, b), a) == a)
-            if good:
-                row = found.setdefault(i, [0, 0, 1])
-                row[0] += len(starts)
-                row[1] += n
-                row[2] &= same
-        return [(self.items[i][0], w, n, bool(s)) for i, (w, n, s) in sorted(found.items())]
+    def leaks(self, column, p: TemplateParams) -> list[tuple[int, int, int, int, bool]]:
+        """(row, item, windows, slots, exact) of the items with windows in the row's text whose slots are consistent."""
+        out = []
+        for row, _, data, offsets in text_chunks(column):
+            t = templates(data, offsets)
+            runs: dict[tuple[int, int, int], dict[int, int]] = defaultdict(dict)
+            for k, (keys, places) in self.by_length.items():
+                at, h = windows(t.codes, t.slots, k, p.literals)
+                lo = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[lo] == h)
+                doc = np.searchsorted(t.begins, at[hit], "right") - 1
+                for x, d in zip(hit, doc, strict=True):
+                    if at[x] + k > t.begins[d + 1]:
+                        continue
+                    r = int(lo[x])
+                    while r < len(keys) and keys[r] == h[x]:
+                        i, j = (int(v) for v in places[r])
+                        runs[int(d), i, int(at[x]) - j][j] = k
+                        r += 1
+            found: dict[tuple[int, int], list[int]] = {}
+            for (d, i, shift), starts in sorted(runs.items()):
+                if (got := self._consistent(t, i, shift, starts)) is not None:
+                    sums = found.setdefault((d, i), [0, 0, 1])
+                    sums[0] += len(starts)
+                    sums[1] += got[0]
+                    sums[2] &= got[1]
+            out += [(row + d, self.ids[i], w, n, bool(same)) for (d, i), (w, n, same) in sorted(found.items())]
+        return out
+
+    def _consistent(self, t: Templates, i: int, shift: int, starts: dict[int, int]) -> tuple[int, bool] | None:
+        """Number of slots and whether all have the item's values, or None if a value stands for two."""
+        its, base = self.all, int(self.all.begins[i])
+        to, back, n, same = {}, {}, 0, True
+        for q in sorted({q for j, k in starts.items() for q in range(j, j + k)}):
+            if its.codes[base + q] != t.codes[shift + q]:
+                return None
+            if kind := int(its.slots[base + q]):
+                n += 1
+                a, b = its.word(base + q), t.word(shift + q)
+                same &= a == b
+                if to.setdefault((kind, a), b) != b or kind != NUM and back.setdefault((kind, b), a) != a:
+                    return None
+        return n, same
 
 
 def _blocks(benchmark: DataFrame, p: TemplateParams, item_col: str, text_col: str):
@@ -165,9 +213,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Templa
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index, tokens = shared.value, Tokens()
+            index = shared.value
             for batch in batches:
-                rows = [(d, *r) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for r in index.leaks(t.as_py() or "", tokens, p)]
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[i], *r) for i, *r in index.leaks(batch.column(1), p)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "windows", "slots", "exact"])
 
         part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, item_id long, windows long, slots long, exact boolean")
@@ -183,10 +232,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Tem
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index, tokens = shared.value, Tokens()
+            index = shared.value
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not index.leaks(t.as_py() or "", tokens, p) for t in texts], pa.bool_()))
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, *_ in index.leaks(batch.column(batch.schema.get_field_index(text_col)), p)]] = False
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
