@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from skyledger.llm import licenses
 from skyledger.llm.decontamination import op7_template_decontamination
+from skyledger.llm.fingerprints import op5_invertible_fingerprints
+from skyledger.llm.licenses import op9_license_digest_scan
 from skyledger.llm.minhash import op2_minhash_near_duplicates
 from skyledger.llm.mixing import op3_sainte_lague_mixing
+from skyledger.llm.secrets import op8_trigram_secret_scan
 from skyledger.llm.sharding import op1_histogram_sharding
+from skyledger.llm.substrings import op10_substring_dedup
 from skyledger.llm.toxicity import op4_noisy_or_toxicity
+from skyledger.llm.warc import op6_chunked_warc
 
 QUERIES = {
     f.__name__: f
@@ -15,8 +21,13 @@ QUERIES = {
         op2_minhash_near_duplicates,
         op3_sainte_lague_mixing,
         op4_noisy_or_toxicity,
+        op5_invertible_fingerprints,
+        op6_chunked_warc,
         op7_template_decontamination,
+        op8_trigram_secret_scan,
+        op9_license_digest_scan,
+        op10_substring_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_license_digest_scan": licenses.oracle()}
