@@ -1,0 +1 @@
+"""PySpark-native analytics over annotated frames, boxes, observations and identities."""
