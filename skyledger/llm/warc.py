@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ def _open(uri: str, mode: str):
     if mode == "w":
         system.create_dir(path.rpartition("/")[0], recursive=True)
         return system.open_output_stream(path)
-    return system.open_input_stream(path, buffer_size=1 << 20)
+    return gzip.GzipFile(fileobj=system.open_input_stream(path, buffer_size=1 << 20), mode="rb")
 
 
 def record_id(page_id: int | None) -> str:
@@ -59,7 +60,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def run(batches):
         import pyarrow as pa
 
-        path, out, n = f"{folder}/{uuid.uuid4().hex}.warc", None, 0
+        path, out, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
@@ -74,11 +75,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     head += [f"WARC-Refers-To: {record_id(holder)}", f"X-Refers-To-Page: {holder}", f"WARC-Profile: {_REVISIT}"]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (payload.size if holder is None else 0)}"]
-                out.write(_VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + http)
-                if holder is None:
-                    for at in range(0, payload.size, CHUNK):
-                        out.write(payload.slice(at, min(CHUNK, payload.size - at)))
-                out.write(b"\r\n\r\n")
+                # a gzip member for each record, as archives have it
+                with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0) as member:
+                    member.write(_VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + http)
+                    if holder is None:
+                        for at in range(0, payload.size, CHUNK):
+                            member.write(payload.slice(at, min(CHUNK, payload.size - at)))
+                    member.write(b"\r\n\r\n")
                 n += 1
         if out is not None:
             out.close()
