@@ -12,12 +12,10 @@ TABLES, SIZE, CHECK = 3, 8, 20
 CELLS = TABLES * SIZE
 #: Digests per segment on average when a sketch is made larger: that many sketches of CELLS cells, by hash.
 LOAD = 6
-_CELL = "array<struct<n:int,x:bigint>>"
-_PEELED = "cells {c}, mine int, theirs int, done boolean"
 
 
 def check_bits(k: str) -> str:
-    return f"(xxhash64('check', {k}) & {(1 << CHECK) - 1})"
+    return f"(xxhash64({k}) & {(1 << CHECK) - 1})"
 
 
 def digests(text: str, longest: int = 128) -> str:
@@ -26,59 +24,65 @@ def digests(text: str, longest: int = 128) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{longest}}}', 0), p -> {key}))"
 
 
-def position(x: str, table: str) -> str:
-    """Cell of key x in its table."""
-    return f"({table} * {SIZE} + (shiftright({x}, {CHECK} + 3 * {table}) & {SIZE - 1}))"
+def lying(keys: str, table: int) -> str:
+    """SQL: those of an array of keys that lie in cell j of a table."""
+    return f"filter({keys}, x -> (shiftright(x, {CHECK + 3 * table}) & {SIZE - 1}) = j)"
 
 
 def sketch(keys: str) -> str:
     """SQL: the cells (count, exclusive or) of an array of keys."""
-    part = f"filter({keys}, x -> (shiftright(x, {CHECK} + 3 * (i div {SIZE})) & {SIZE - 1}) = i % {SIZE})"
-    return f"transform(sequence(0, {CELLS - 1}), i -> transform(array({part}), f -> named_struct('n', size(f), 'x', aggregate(f, 0L, (a, x) -> a ^ x)))[0])"
+    cell = "transform(array({f}), f -> named_struct('n', size(f), 'x', aggregate(f, 0L, (a, x) -> a ^ x)))[0]"
+    return "concat(" + ", ".join(f"transform(sequence(0L, {SIZE - 1}L), j -> {cell.format(f=lying(keys, t))})" for t in range(TABLES)) + ")"
+
+
+def xors(keys: str) -> str:
+    """SQL: a sketch without counts. Of the keys of two sides together it is the difference of their sketches, as keys that both have cancel."""
+    return "concat(" + ", ".join(f"transform(sequence(0L, {SIZE - 1}L), j -> aggregate({lying(keys, t)}, 0L, (a, x) -> a ^ x))" for t in range(TABLES)) + ")"
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x))"
+    return f"zip_with({a}, {b}, (p, q) -> p.x ^ q.x)"
 
 
 def peel(cells: str) -> str:
-    """SQL: struct (mine, theirs, ok): how many digests only the first or only the second has, and whether all came out."""
-    pure = f"filter(s.cells, c -> abs(c.n) = 1 and (c.x & {(1 << CHECK) - 1}) = {check_bits(f'shiftright(c.x, {CHECK})')})"
-    at = " or ".join(f"i = {t * SIZE} + (shiftright(c0.x, {CHECK + 3 * t}) & {SIZE - 1})" for t in range(TABLES))
-    taken = f"transform(s.cells, (c, i) -> if({at}, named_struct('n', c.n - c0.n, 'x', c.x ^ c0.x), c))"
-    step = f"if(s.done, s, transform(array({pure}), f -> if(size(f) = 0, named_struct('cells', s.cells, 'mine', s.mine, 'theirs', s.theirs, 'done', true), transform(array(f[0]), c0 -> named_struct('cells', {taken}, 'mine', s.mine + if(c0.n > 0, 1, 0), 'theirs', s.theirs + if(c0.n < 0, 1, 0), 'done', false))[0]))[0])"
-    start = f"named_struct('cells', {cells}, 'mine', 0, 'theirs', 0, 'done', false)"
-    return f"aggregate(sequence(1, {CELLS}), {start}, (s, n) -> {step}, s -> named_struct('mine', s.mine, 'theirs', s.theirs, 'ok', not exists(s.cells, c -> c.n <> 0 or c.x <> 0L)))"
+    """SQL: struct (d, ok): how many digests the two sides of a difference don't share, and whether all came out.
+
+    A cell with one key left is known by its check bits. Each round takes all such keys out of their cells.
+    """
+    pure = f"array_distinct(filter(s.c, x -> x <> 0L and (x & {(1 << CHECK) - 1}) = {check_bits(f'shiftright(x, {CHECK})')}))"
+    at = ", ".join(f"'p{t}', {t * SIZE} + cast(shiftright(k, {CHECK + 3 * t}) & {SIZE - 1} as int)" for t in range(TABLES))
+    hit = " or ".join(f"i = q.p{t}" for t in range(TABLES))
+    taken = f"aggregate(f, s.c, (z, k) -> transform(array(named_struct({at})), q -> transform(z, (x, i) -> if({hit}, x ^ k, x)))[0])"
+    step = f"if(s.done, s, transform(array({pure}), f -> if(size(f) = 0, named_struct('c', s.c, 'd', s.d, 'done', true), named_struct('c', {taken}, 'd', s.d + size(f), 'done', false)))[0])"
+    start = f"named_struct('c', {cells}, 'd', 0, 'done', false)"
+    return f"aggregate(sequence(1, {CELLS}), {start}, (s, n) -> {step}, s -> named_struct('d', s.d, 'ok', not exists(s.c, x -> x <> 0L)))"
 
 
-def peel_larger(a: str, b: str) -> str:
-    """SQL: as peel, of arrays of keys a and b, with a sketch for each of some (size(a) + size(b)) / LOAD hash segments.
+def peel_larger(keys: str) -> str:
+    """SQL: how many digests the two sides don't share, of the keys of both together, with a sketch for each of some size(keys) / LOAD hash segments.
 
     Keys are dealt in two steps, so that the work grows nearly in proportion to their number. A segment
     that still fails is dealt once more to 8 sketches; what fails there (keys that share all their
-    cells) is compared directly.
+    cells) is compared directly: a key that both sides have is there twice.
     """
-    side = f"cast(ceil(sqrt((size({a}) + size({b})) / {float(LOAD)})) as int)"
-    outer = f"filter({{v}}, x -> pmod(xxhash64(1, x), g) = s1)"
-    inner = f"filter({{v}}, x -> pmod(xxhash64(2, x), g) = s2)"
-    small = f"filter({{v}}, x -> (shiftright(x, {CHECK + 33}) & 7) = s3)"
-    apart = "named_struct('mine', size(array_except(w.a, w.b)), 'theirs', size(array_except(w.b, w.a)), 'ok', true)"
-    third = f"transform(array(named_struct('a', {small.format(v='v.a')}, 'b', {small.format(v='v.b')})), w -> transform(array({peel(subtract(sketch('w.a'), sketch('w.b')))}), r -> if(r.ok, r, {apart}))[0])[0]"
-    add = "named_struct('mine', z.mine + r.mine, 'theirs', z.theirs + r.theirs, 'ok', true)"
-    zero = "named_struct('mine', 0, 'theirs', 0, 'ok', true)"
-    again = f"aggregate(transform(sequence(0, 7), s3 -> {third}), {zero}, (z, r) -> {add})"
-    second = f"transform(array(named_struct('a', {inner.format(v='u.a')}, 'b', {inner.format(v='u.b')})), v -> transform(array({peel(subtract(sketch('v.a'), sketch('v.b')))}), r -> if(r.ok, r, {again}))[0])[0]"
-    first = f"transform(array(named_struct('a', {outer.format(v=a)}, 'b', {outer.format(v=b)})), u -> aggregate(transform(sequence(0, g - 1), s2 -> {second}), {zero}, (z, r) -> {add}))[0]"
-    return f"transform(array({side}), g -> aggregate(transform(sequence(0, g - 1), s1 -> {first}), {zero}, (z, r) -> {add}))[0]"
+    side = f"cast(ceil(sqrt(size({keys}) / {float(LOAD)})) as int)"
+    first, second = CHECK + 9, CHECK + 21
+    outer = f"filter({keys}, x -> pmod(shiftright(x, {first}) & 4095, g) = s1)"
+    inner = f"filter(u, x -> pmod(shiftright(x, {second}) & 4095, g) = s2)"
+    small = f"filter(v, x -> (shiftright(x, {CHECK + 33}) & 7) = s3)"
+    add = "(z, r) -> z + r"
+    third = f"transform(array({small}), w -> transform(array({peel(xors('w'))}), r -> if(r.ok and r.d % 2 = size(w) % 2, r.d, 2 * size(array_distinct(w)) - size(w)))[0])[0]"
+    again = f"aggregate(transform(sequence(0L, 7L), s3 -> {third}), 0, {add})"
+    each = f"transform(array({inner}), v -> if(size(v) = 0, 0, transform(array({peel(xors('v'))}), r -> if(r.ok and r.d % 2 = size(v) % 2, r.d, {again}))[0]))[0]"
+    row = f"transform(array({outer}), u -> aggregate(transform(sequence(0L, g - 1L), s2 -> {each}), 0, {add}))[0]"
+    return f"transform(array({side}), g -> aggregate(transform(sequence(0L, g - 1L), s1 -> {row}), 0, {add}))[0]"
 
 
 def likeness(df: DataFrame, out: str, a: str, b: str, cells_a: str, cells_b: str) -> DataFrame:
     """Adds the share of digests that both have, of all that either has (1 if neither has any)."""
-    df = df.withColumn("_peeled", F.expr(peel(subtract(cells_a, cells_b))))
-    df = df.withColumn("_differ", F.expr(f"if(_peeled.ok, _peeled, {peel_larger(a, b)})"))
-    both = F.size(a) - F.col("_differ.mine")
-    union = both + F.col("_differ.mine") + F.col("_differ.theirs")
-    return df.withColumn(out, F.when(union > 0, both / union).otherwise(1.0)).drop("_peeled", "_differ")
+    df = df.withColumn("_peeled", F.expr(peel(subtract(cells_a, cells_b)))).withColumn("_all", F.size(a) + F.size(b))
+    df = df.withColumn("_d", F.expr(f"if(_peeled.ok and _peeled.d % 2 = _all % 2 and _peeled.d >= abs(size({a}) - size({b})), _peeled.d, transform(array(concat({a}, {b})), k -> {peel_larger('k')})[0])"))
+    return df.withColumn(out, F.when(F.col("_all") > 0, (F.col("_all") - F.col("_d")) / (F.col("_all") + F.col("_d"))).otherwise(1.0)).drop("_peeled", "_all", "_d")
 
 
 def text_form(cells: str) -> str:
