@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,11 +56,9 @@ def train(texts: list[str], labels: list[int], prior: float, max_words: int = 40
     if not n1 or not n0:
         return NoisyOr({}, -30.0, prior if n1 or n0 else 0.0)
     in1, in0 = Counter(), Counter()
-    cut = []
+    # a sentence's bounds are no word characters, so the words of a text are those of its sentences
     for t, y in zip(texts, labels, strict=True):
-        bags = [frozenset(TOKEN.findall(s.lower())) for s in SENTENCE.findall(t)]
-        cut.append(bags)
-        (in1 if y else in0).update(set().union(*bags) if bags else ())
+        (in1 if y else in0).update({m.group() for m in TOKEN.finditer(t.lower())})
     said = {}
     for w in in1.keys() | in0.keys():
         a, b = in1[w], in0[w]
@@ -71,12 +70,12 @@ def train(texts: list[str], labels: list[int], prior: float, max_words: int = 40
     words = sorted(said, key=lambda w: (-said[w], w))[:max_words]
     index = {w: i for i, w in enumerate(words)}
     # flat rows of (sentence, word) and (sentence -> document), only sentences with a known word
-    sent, word, doc = [], [], []
-    for d, bags in enumerate(cut):
-        for bag in bags:
-            if got := [index[w] for w in bag if w in index]:
-                sent += [len(doc)] * len(got)
-                word += got
+    sent, word, doc = array("q"), array("q"), array("q")
+    for d, t in enumerate(texts):
+        for s in SENTENCE.finditer(t):
+            if got := sorted({index[w] for w in TOKEN.findall(s.group().lower()) if w in index}):
+                sent.extend([len(doc)] * len(got))
+                word.extend(got)
                 doc.append(d)
     sent, word, doc = (np.array(x, np.int64) for x in (sent, word, doc))
     y = np.array(labels, float)
