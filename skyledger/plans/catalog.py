@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from skyledger.operators import frames, tracks
+from skyledger.operators import frames, scores, shapes, tracks
+from skyledger.plans import oracles
 from skyledger.sources.views import SOURCES
 
 QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity)}
+QUERIES |= {f.__name__: f for f in (shapes.box_scalars, shapes.yolo_rows, shapes.giou_pairs, shapes.nms_survivors, shapes.tile_grid, shapes.tile_boxes, shapes.motion_compensated, shapes.geofence_hits, shapes.fence_areas, shapes.handoff_candidates, scores.tracking_scores, scores.corpus_scores, scores.hota, scores.rule_verdicts, scores.confidence_bands, scores.predicted_positions, scores.hover_spans, scores.side_percentiles, scores.sanity_checks, scores.val_fraction_needed, scores.holdout_split, scores.largest_clusters, scores.hamming_pairs, scores.cluster_sources)}
 
 _VIEWS = """WITH b AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS box_ord,
   l_partkey % 1800 AS x1, l_suppkey * 7 % 1000 AS y1, CAST(floor(l_quantity) AS BIGINT) + 4 AS w, CAST(l_linenumber * 5 + 3 AS BIGINT) AS h, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS class_id FROM lineitem),
@@ -39,3 +41,4 @@ ORACLES = {
     "track_fragments": _VIEWS + "m AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER w <= 5 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY global_id, camera_id ORDER BY frame_index)), q AS (SELECT *, CAST(sum(new) OVER (PARTITION BY global_id, camera_id ORDER BY frame_index) AS BIGINT) AS fragment FROM m) SELECT global_id, camera_id, fragment, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS hits FROM q GROUP BY 1, 2, 3",
     "persistence_gate": _VIEWS + _END + "SELECT global_id, camera_id, CASE WHEN count(*) >= 12 THEN 'pass' ELSE 'fail' END AS persistence, CASE WHEN max(confidence) IS NULL THEN 'skipped' WHEN max(confidence) >= 0.6 THEN 'pass' ELSE 'fail' END AS confidence FROM o GROUP BY 1, 2",
 }
+ORACLES |= oracles.build(_VIEWS)

@@ -56,3 +56,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("global_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").withColumn("global_id", F.col("user_id") % 40)
     return e.select("event_id", "global_id", ((F.col("event_id") * 7 + F.col("user_id") * 3) % 10).alias("camera_id"), (F.row_number().over(order) - 1).alias("frame_index"), (F.col("event_id") * 37 % 1000).alias("x"), (F.col("event_id") * 53 % 1000).alias("y"), ((F.col("event_id") % 100) / 100.0).alias("confidence"))
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit sign hashes of vectors, with copies of every twentieth in which up to six low bits differ."""
+    e = read(spark, sf_dir, "embeddings")
+    own = e.select(F.col("vec_id").alias("id"), F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> if(embedding[i] > 0, s | shiftleft(1L, i), s))").alias("hash"))
+    near = own.where("id % 20 = 0").select((F.col("id") + 10_000_000).alias("id"), F.expr("hash ^ (shiftleft(1L, cast(id div 20 % 7 as int)) - 1)").alias("hash"))
+    return own.unionByName(near)
