@@ -47,6 +47,7 @@ s AS (SELECT dataset, modality, sequence_id, frames, CASE WHEN long AND r <= CAS
 """
     dup = "c AS (SELECT min(doc_id) AS first, count(*) AS members, min(source) <> max(source) AS cross_source FROM documents GROUP BY md5(text) HAVING count(*) > 1)"
     return {
+        "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, max(value) AS most FROM events GROUP BY 1, 2",
         "greedy_match": greedy + end + "SELECT * FROM match",
         "detection_counts": greedy + "c AS (SELECT sequence_id, sum((SELECT count(*) FROM b WHERE b.l_orderkey = f.l_orderkey)) AS gt, sum((SELECT count(*) FROM p WHERE p.l_orderkey = f.l_orderkey)) AS pred, sum((SELECT count(*) FROM match WHERE match.l_orderkey = f.l_orderkey)) AS tp FROM f GROUP BY 1) SELECT sequence_id, tp::BIGINT AS tp, (pred - tp)::BIGINT AS fp, (gt - tp)::BIGINT AS fn, tp / pred AS precision, tp / gt AS recall FROM c",
         "tracking_scores": tracked + "SELECT * FROM sc",
