@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,9 @@ class NearParams:
     """shingle words; least similarity; bands of rows each: a pair of similarity s shares a band with 1 - (1 - s**rows)**bands (0.997 at 0.8).
     Of a document's samples the first bands * rows make up its bands. Pairs that no leader has settled are
     compared only if a share `agree` of all samples is equal: at a similarity of 0.8, one pair in ten
-    thousand has fewer; at 0.35, as common passages give, almost none has as many.
+    thousand has fewer; at 0.35, as common passages give, almost none has as many. Those documents get `fine`
+    samples more (8 bits kept of each), of which a share `fine_agree` must be equal: at 0.8, one pair in
+    twenty thousand has fewer.
 
     The document frequencies are counted in idf_slots hashed slots (4 bytes each), as in hashed TF-IDF: a
     bounded table at any input size, whose error is a fixed share of the documents. The idf is
@@ -32,6 +34,8 @@ class NearParams:
     rows: int = 3
     samples: int = 64
     agree: float = 0.625
+    fine: int = 512
+    fine_agree: float = 0.73
     idf_slots: int = 1 << 20
     idf_floor: float = 0.75
     rare: float = 1000.0
@@ -133,7 +137,7 @@ def signature(h: np.ndarray, weight: np.ndarray, tables, block: int = 1 << 13) -
 
 
 def signatures(docs: DataFrame, idf, p: NearParams) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, digest (of the text), bands (hashes), sample (the low 32 bits of each sample). Texts without words have null bands."""
+    """docs (doc_id, text) -> doc_id, digest (of the text), bands (hashes), sample (8 bits of each sample, packed into longs). Texts without words have null bands."""
     rows = p.rows
 
     def run(batches):
@@ -151,10 +155,38 @@ def signatures(docs: DataFrame, idf, p: NearParams) -> DataFrame:
                 for j in range(rows):
                     band = mix(band * np.uint64(31) + sig[j : p.bands * rows : rows])
                 bands.append(band.astype(np.int64))
-                samples.append((sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], ["doc_id", "digest", "bands", "sample"])
+                samples.append((sig & np.uint64(255)).astype(np.uint8).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int64()))], ["doc_id", "digest", "bands", "sample"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.md5(text_of().cast("binary")).alias("digest"), text_of()).mapInArrow(run, "doc_id long, digest string, bands array<long>, sample array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.md5(text_of().cast("binary")).alias("digest"), text_of()).mapInArrow(run, "doc_id long, digest string, bands array<long>, sample array<long>")
+
+
+def fine_samples(docs: DataFrame, idf, p: NearParams) -> DataFrame:
+    """docs (doc_id, text) -> id, fine: 8 bits of each of p.fine samples, packed into longs."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        tables, weights = _sampler(replace(p, samples=p.fine, seed=p.seed + 1)), idf.value
+        for batch in batches:
+            rows = [(signature(h, n * weights[(h & np.uint64(len(weights) - 1)).astype(np.int64)], tables) & np.uint64(255)).astype(np.uint8).view(np.int64) if len(h) else None for h, n in shingles(batch.column(1), p)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "fine"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "id long, fine array<long>")
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: how many bytes differ between two arrays of longs."""
+    x = "(s ^ t)"
+    for by, keep in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        x = f"(({x} | shiftrightunsigned({x}, {by})) & {keep}L)"
+    return f"aggregate(zip_with({a}, {b}, (s, t) -> bit_count({x})), 0, (n, d) -> n + d)"
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (w): by broadcast while that is at most 8 bytes for each of `most` ids, else by a shuffled join."""
+    side = F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash")
+    return docs.join(side, docs.doc_id == F.col("w"), "left_semi")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, idf, p: NearParams, lot: int = 512) -> DataFrame:
@@ -225,14 +257,17 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     placed = settle(placed.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")))
     mixed = settle(placed.groupBy("band", "h").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("band", "h"))
     rest = placed.where(F.col("id") != F.col("leader")).join(mixed, ["band", "h"], "left_semi")
-    rest = settle(rest.join(classes.select("id", "sample"), "id"))
-    x = rest.where(F.col("similarity") < p.similarity).select(*[F.col(c).alias(f"x_{c}") for c in ("band", "h", "id", "class_id", "similarity", "sample")])
-    agree = F.expr("aggregate(zip_with(sample, x_sample, (s, t) -> if(s = t, 1, 0)), 0, (n, s) -> n + s)")
-    near = (F.col("band") == F.col("x_band")) & (F.col("h") == F.col("x_h")) & (F.col("class_id") != F.col("x_class_id")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - p.similarity + 1e-9) & ((F.col("similarity") >= p.similarity) | (F.col("id") < F.col("x_id"))) & (agree >= p.agree * p.samples)
+    wanted = settle(rest.select(F.col("id").alias("w")).distinct())
+    texts = settle(texts_of(d, wanted))
+    fine = fine_samples(texts, idf, p).groupBy("id").agg(F.first("fine").alias("fine"))
+    rest = settle(rest.join(classes.select("id", "sample", "bands"), "id").join(fine, "id"))
+    x = rest.where(F.col("similarity") < p.similarity).select(*[F.col(c).alias(f"x_{c}") for c in ("band", "h", "id", "class_id", "similarity", "sample", "bands", "fine")])
+    # a pair counts in its first common band: where one of them leads there, it has been compared already
+    first = F.expr("array_position(zip_with(bands, x_bands, (s, t) -> s = t), true) = band + 1")
+    alike = lambda col, n, share: F.expr(differing(col, f"x_{col}")) <= (1 - share) * n
+    near = (F.col("band") == F.col("x_band")) & (F.col("h") == F.col("x_h")) & (F.col("class_id") != F.col("x_class_id")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - p.similarity + 1e-9) & ((F.col("similarity") >= p.similarity) | (F.col("id") < F.col("x_id"))) & first & alike("sample", p.samples, p.agree) & alike("fine", p.fine, p.fine_agree)
     more = settle(rest.join(x, near).select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct())
     if more.limit(1).count():
-        wanted = settle(more.select(F.explode(F.array("a", "b")).alias("w")).distinct())
-        texts = settle(d.join(wanted.hint("shuffle_hash"), d.doc_id == F.col("w"), "left_semi"))
         extra = verify(more, texts, idf, p).where(F.col("similarity") >= p.similarity).select("a", "b")
         links = settle(links.unionByName(extra))
         found = components(links)
