@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,8 @@ class NearParams:
     """shingle words; least similarity; bands of rows each: a pair of similarity s shares a band with 1 - (1 - s**rows)**bands (0.997 at 0.8).
     Of a document's samples the first bands * rows make up its bands. Pairs that no leader has settled are
     compared only if a share `agree` of all samples is equal: at a similarity of 0.8, one pair in ten
-    thousand has fewer; at 0.35, as common passages give, almost none has as many. Those documents get `fine`
-    samples more (8 bits kept of each), of which a share `fine_agree` must be equal: at 0.8, one pair in
-    twenty thousand has fewer.
+    thousand has fewer; at 0.35, as common passages give, almost none has as many. They are compared in
+    blocks of about block_bytes of text.
 
     The document frequencies are counted in idf_slots hashed slots (4 bytes each), as in hashed TF-IDF: a
     bounded table at any input size, whose error is a fixed share of the documents. The idf is
@@ -34,8 +33,7 @@ class NearParams:
     rows: int = 3
     samples: int = 64
     agree: float = 0.625
-    fine: int = 512
-    fine_agree: float = 0.73
+    block_bytes: int = 1 << 20
     idf_slots: int = 1 << 20
     idf_floor: float = 0.75
     rare: float = 1000.0
@@ -161,28 +159,6 @@ def signatures(docs: DataFrame, idf, p: NearParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.md5(text_of().cast("binary")).alias("digest"), text_of()).mapInArrow(run, "doc_id long, digest string, bands array<long>, sample array<long>")
 
 
-def fine_samples(docs: DataFrame, idf, p: NearParams) -> DataFrame:
-    """docs (doc_id, text) -> id, fine: 8 bits of each of p.fine samples, packed into longs."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        tables, weights = _sampler(replace(p, samples=p.fine, seed=p.seed + 1)), idf.value
-        for batch in batches:
-            rows = [(signature(h, n * weights[(h & np.uint64(len(weights) - 1)).astype(np.int64)], tables) & np.uint64(255)).astype(np.uint8).view(np.int64) if len(h) else None for h, n in shingles(batch.column(1), p)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "fine"])
-
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "id long, fine array<long>")
-
-
-def differing(a: str, b: str) -> str:
-    """SQL: how many bytes differ between two arrays of longs."""
-    x = "(s ^ t)"
-    for by, keep in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-        x = f"(({x} | shiftrightunsigned({x}, {by})) & {keep}L)"
-    return f"aggregate(zip_with({a}, {b}, (s, t) -> bit_count({x})), 0, (n, d) -> n + d)"
-
-
 def texts_of(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
     """Rows of docs whose doc_id is in ids (w): by broadcast while that is at most 8 bytes for each of `most` ids, else by a shuffled join."""
     side = F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash")
@@ -225,6 +201,103 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, p: NearParams, lot: int = 512
     return near.mapInArrow(run, "a long, b long, similarity double")
 
 
+class _Held:
+    """The texts of one block, with their samples; finds the links of a further text to them that join two classes."""
+
+    def __init__(self, p: NearParams):
+        self.p, self.n, self.merged = p, 0, {}
+        self.h: list[np.ndarray] = []
+        self.w: list[np.ndarray] = []
+        self.id, self.cls = (np.zeros(64, np.int64) for _ in range(2))
+        self.low, self.high, self.total = (np.zeros(64) for _ in range(3))
+        self.bands, self.sample = np.zeros((64, p.bands), np.int64), np.zeros((64, p.samples), np.uint8)
+
+    def class_of(self, c: int) -> int:
+        while c in self.merged:
+            c = self.merged[c]
+        return c
+
+    def add(self, row, h, w) -> None:
+        if self.n == len(self.id):
+            for k in ("id", "cls", "low", "high", "total", "bands", "sample"):
+                x = getattr(self, k)
+                setattr(self, k, np.concatenate([x, np.zeros_like(x)]))
+        i = self.n
+        self.id[i], self.cls[i], self.low[i], self.high[i], self.bands[i], self.sample[i] = row["id"], self.class_of(row["class_id"]), row["low"], row["high"], row["bands"], row["sample"]
+        self.total[i] = w.sum()
+        self.h.append(h), self.w.append(w)
+        self.n += 1
+
+    def links(self, row, h, w):
+        p, n, c, t = self.p, self.n, self.class_of(row["class_id"]), w.sum()
+        apart = np.maximum(self.low[:n] - row["high"], row["low"] - self.high[:n]) > 1 - p.similarity + 1e-9
+        size = np.minimum(self.total[:n], t) < (p.similarity - 1e-9) * np.maximum(self.total[:n], t)
+        at = np.flatnonzero((self.cls[:n] != c) & ~apart & ~size)
+        common = self.bands[at] == row["bands"]
+        # a pair counts in its first common band: in the group of another leader it is seen elsewhere
+        at = at[common.any(axis=1) & ((row["mask"] >> common.argmax(axis=1)) & 1 == 1)]
+        agree = (self.sample[at] == row["sample"]).sum(axis=1)
+        enough = agree >= p.agree * p.samples
+        at = at[enough][np.argsort(-agree[enough], kind="stable")]
+        for s in range(0, len(at), 64):
+            part = at[s : s + 64]
+            part = part[self.cls[part] != c]
+            if not len(part):
+                continue
+            owner = np.repeat(np.arange(len(part)), [len(self.h[i]) for i in part])
+            hs, ws = np.concatenate([self.h[i] for i in part]), np.concatenate([self.w[i] for i in part])
+            pos = np.searchsorted(h, hs)
+            pos[pos == len(h)] = 0
+            same = h[pos] == hs
+            both = np.bincount(owner[same], np.minimum(w[pos[same]], ws[same]), len(part))
+            for i in part[both / np.maximum(1e-12, self.total[part] + t - both) >= p.similarity]:
+                if self.cls[i] != c:
+                    yield int(self.id[i])
+                    old = int(self.cls[i])
+                    self.merged[old] = c
+                    self.cls[:n][self.cls[:n] == old] = c
+
+
+def links_within(rest: DataFrame, texts: DataFrame, idf, p: NearParams) -> DataFrame:
+    """rest (leader, id, class_id, low, high, mask), texts (id, text, bands, sample) -> links (a, b), enough to join all classes that pairs of one leader's group join.
+
+    low and high bound the similarity to the leader; mask has a bit for each band in which it leads. A group
+    is dealt to blocks by hash, so that a block has about p.block_bytes of text, and each two blocks meet in
+    one place: there one block is held and the other passes by. Pairs are never rows: what leaves a place is
+    fewer links than it has texts. Each text is copied once for each block of its group.
+    """
+    sizes = rest.select("leader", "id").join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
+    blocks = settle(sizes.groupBy("leader").agg(F.ceil(F.sum("bytes") / F.lit(p.block_bytes)).cast("int").alias("blocks")))
+    own = rest.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest("blocks", F.lit(1))).cast("int"))
+    sent = own.withColumn("other", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    sent = sent.withColumn("role", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks")
+    columns = ("leader", "i", "j", "role", "id", "class_id", "low", "high", "mask", "bands", "sample", "text")
+    met = texts.join(sent.hint("shuffle_hash"), "id").select(*columns).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "role", "id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        weights, key, held = idf.value, None, None
+        for batch in batches:
+            flat = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns[:9])}
+            flat["bands"] = batch.column(9).flatten().to_numpy().reshape(-1, p.bands)
+            flat["sample"] = np.ascontiguousarray(batch.column(10).flatten().to_numpy()).view(np.uint8).reshape(-1, p.samples)
+            out_a, out_b = [], []
+            for k, (h, n) in enumerate(shingles(batch.column(11), p)):
+                row = {c: v[k] if c in ("bands", "sample") else v[k].item() for c, v in flat.items()}
+                if key != (row["leader"], row["i"], row["j"]):
+                    key, held = (row["leader"], row["i"], row["j"]), _Held(p)
+                w = n * weights[(h & np.uint64(len(weights) - 1)).astype(np.int64)].astype(np.float64)
+                if held.n and (row["role"] or row["i"] == row["j"]):
+                    for other in held.links(row, h, w):
+                        out_a.append(min(other, row["id"])), out_b.append(max(other, row["id"]))
+                if not row["role"]:
+                    held.add(row, h, w)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, class_id (smallest doc_id of its class; itself if alone), copy_of (smallest doc_id of equal text), class_size.
 
@@ -232,9 +305,9 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     more; classes are what links connect. Equal texts are one node, whatever their number. In a band's
     bucket all are compared with the smallest id, the leader, not with each other. As 1 - similarity is
     a metric, a and b can be linked only if their distances from the leader differ by at most
-    1 - p.similarity; such pairs in different classes are then compared too, unless their samples
-    exclude it (see NearParams.agree). So no bucket is capped and none is
-    compared pairwise, and no link between classes is lost.
+    1 - p.similarity; such pairs in different classes are then compared too, in blocks, unless their samples
+    exclude it (see NearParams.agree). So no bucket is capped, no pairs of a bucket are written as rows,
+    and no link between classes is lost.
 
     Null text is the empty text; texts without words match only by equality. Null ids are alone, with
     null class_id. Rows with one id are one document: all of them are returned, and their texts linked.
@@ -257,19 +330,12 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     placed = settle(placed.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")))
     mixed = settle(placed.groupBy("band", "h").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("band", "h"))
     rest = placed.where(F.col("id") != F.col("leader")).join(mixed, ["band", "h"], "left_semi")
+    rest = settle(rest.groupBy("leader", "id").agg(F.first("class_id").alias("class_id"), F.min("similarity").alias("low"), F.max("similarity").alias("high"), F.expr("bit_or(shiftleft(1L, band))").alias("mask")))
     wanted = settle(rest.select(F.col("id").alias("w")).distinct())
-    texts = settle(texts_of(d, wanted))
-    fine = fine_samples(texts, idf, p).groupBy("id").agg(F.first("fine").alias("fine"))
-    rest = settle(rest.join(classes.select("id", "sample", "bands"), "id").join(fine, "id"))
-    x = rest.where(F.col("similarity") < p.similarity).select(*[F.col(c).alias(f"x_{c}") for c in ("band", "h", "id", "class_id", "similarity", "sample", "bands", "fine")])
-    # a pair counts in its first common band: where one of them leads there, it has been compared already
-    first = F.expr("array_position(zip_with(bands, x_bands, (s, t) -> s = t), true) = band + 1")
-    alike = lambda col, n, share: F.expr(differing(col, f"x_{col}")) <= (1 - share) * n
-    near = (F.col("band") == F.col("x_band")) & (F.col("h") == F.col("x_h")) & (F.col("class_id") != F.col("x_class_id")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - p.similarity + 1e-9) & ((F.col("similarity") >= p.similarity) | (F.col("id") < F.col("x_id"))) & first & alike("sample", p.samples, p.agree) & alike("fine", p.fine, p.fine_agree)
-    more = settle(rest.join(x, near).select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct())
-    if more.limit(1).count():
-        extra = verify(more, texts, idf, p).where(F.col("similarity") >= p.similarity).select("a", "b")
-        links = settle(links.unionByName(extra))
+    if wanted.limit(1).count():
+        texts = texts_of(d, wanted).select("doc_id", text_of().alias("text"), F.md5(text_of().cast("binary")).alias("digest"))
+        texts = settle(texts.join(classes.join(wanted, F.col("id") == F.col("w"), "left_semi"), "digest").where("doc_id = id").select("id", "text", "bands", "sample"))
+        links = settle(links.unionByName(links_within(rest, texts, idf, p)))
         found = components(links)
     whole = sigs.join(classes.select("digest", "id"), "digest").join(found, "id", "left")
     whole = settle(whole.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("copy_of")))

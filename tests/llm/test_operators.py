@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from skyledger.llm import decontamination, fingerprints, licenses, minhash, mixing, secrets, sharding, substrings, toxicity, warc
@@ -95,6 +96,31 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies of one text with more and more words changed lie around the threshold; the classes equal brute force, whatever the size of a block."""
+    r = random.Random(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        words = list(base)
+        for j in r.sample(range(len(words)), r.randint(0, 5)):
+            words[j] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    p = minhash.NearParams()
+    idf = minhash.document_frequencies(df, p)
+    sets = [dict(zip(h.tolist(), (n * idf[(h & (p.idf_slots - 1)).astype("int64")]).tolist(), strict=True)) for h, n in minhash.shingles(pa.array([t for _, t in rows]), p)]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = sum(min(w, sets[j][h]) for h, w in a.items() if h in sets[j])
+            if both >= p.similarity * (sum(a.values()) + sum(sets[j].values()) - both):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    assert 3 < len(set(root)) < 140
+    for size in (1 << 20, 1 << 12):
+        assert [x.class_id for x in sorted(minhash.near_duplicates(df, minhash.NearParams(block_bytes=size)).collect())] == root
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(25)]
