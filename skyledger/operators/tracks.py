@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyledger.functions import cameras
 from skyledger.functions.boxes import iou
 from skyledger.sources import views
 
@@ -73,3 +74,12 @@ def gallery_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)")
     s = q.join(means, q.own == means.label).withColumn("cosine", dot("q", "mean") / F.sqrt(dot("q", "q") * dot("mean", "mean")))
     return s.select("vec_id", F.col("own").alias("label"), F.round("cosine", 6).alias("cosine"))
+
+
+def ground_positions(spark: SparkSession, sf_dir: str, plane: float = 10.0, pitch: float = -20.0) -> DataFrame:
+    """Where each observation's pixel meets the plane, and its bearing from the camera; null above the horizon. Cameras stand 100 m apart at 30 m, each turned 36 degrees from the last."""
+    c, f, mid = F.col("camera_id"), F.lit(900.0), F.lit(500.0)
+    look = cameras.ray(F.col("x"), F.col("y"), f, mid, mid, c * 36.0, F.lit(pitch))
+    gx, gy = cameras.on_plane(look, (c * 100.0, F.lit(0.0), F.lit(30.0)), F.lit(plane))
+    o = views.observations(spark, sf_dir).select("event_id", "camera_id", F.round(gx, 4).alias("gx"), F.round(gy, 4).alias("gy"))
+    return o.withColumn("bearing", F.round(cameras.bearing(F.col("gx") - c * 100.0, F.col("gy")), 4))

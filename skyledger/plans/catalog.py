@@ -7,7 +7,7 @@ from skyledger.plans import oracles
 from skyledger.sources.views import SOURCES
 from skyledger.streaming import edge
 
-QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity)}
+QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity, tracks.ground_positions)}
 QUERIES |= {f.__name__: f for f in (shapes.box_scalars, shapes.yolo_rows, shapes.giou_pairs, shapes.nms_survivors, shapes.tile_grid, shapes.tile_boxes, shapes.motion_compensated, shapes.geofence_hits, shapes.fence_areas, shapes.handoff_candidates, scores.tracking_scores, scores.corpus_scores, scores.hota, scores.rule_verdicts, scores.confidence_bands, scores.predicted_positions, scores.hover_spans, scores.side_percentiles, scores.sanity_checks, scores.val_fraction_needed, scores.holdout_split, scores.largest_clusters, scores.hamming_pairs, scores.cluster_sources, edge.stream_window_counts, edge.stream_edge_gate)}
 
 _VIEWS = """WITH b AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS box_ord,
@@ -27,6 +27,11 @@ _END = "z AS (SELECT 1)\n"
 _SOURCES = ", ".join(f"('{s}', {m}, '{','.join(c for c, on in (('bird_negatives', b), ('track_ids', t), ('visibility', v)) if on)}')" for s, m, b, t, v in SOURCES)
 
 ORACLES = {
+    "ground_positions": _VIEWS + """d AS (SELECT event_id, camera_id, (x - 500) / 900.0::DOUBLE AS r, (y - 500) / 900.0::DOUBLE AS w, radians(camera_id * 36.0::DOUBLE) AS a, radians(-20.0::DOUBLE) AS p FROM o),
+e AS (SELECT *, cos(p) + sin(p) * w AS ahead, sin(p) - cos(p) * w AS up FROM d),
+t AS (SELECT *, CASE WHEN abs(up) > 1e-9 AND -20 / up > 0 THEN -20 / up END AS t FROM e),
+g AS (SELECT event_id, camera_id, round(camera_id * 100 + t * (cos(a) * r + sin(a) * ahead), 4) AS gx, round(t * (cos(a) * ahead - sin(a) * r), 4) AS gy FROM t)
+SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4) AS bearing FROM g""",
     "frame_profile": _VIEWS + "n AS (SELECT l_orderkey, count(*) AS n, max(class_id) AS bird FROM b GROUP BY 1) SELECT dataset, count(*) AS frames, CAST(sum(n) AS BIGINT) AS boxes, CAST(sum(bird) AS BIGINT) AS bird_frames, count(DISTINCT (sequence_id, modality)) AS groups, sum(n) / count(*) AS boxes_per_frame FROM f JOIN n USING (l_orderkey) GROUP BY 1",
     "size_histogram": _VIEWS + "t AS (SELECT class_id, CASE WHEN w * h >= 65536 THEN 256 WHEN w * h >= 16384 THEN 128 WHEN w * h >= 4096 THEN 64 WHEN w * h >= 1024 THEN 32 WHEN w * h >= 256 THEN 16 WHEN w * h >= 64 THEN 8 ELSE 0 END AS bin, count(*) AS c FROM b GROUP BY ALL), k AS (SELECT * FROM (VALUES (0), (1)) x(class_id), (VALUES (0), (8), (16), (32), (64), (128), (256)) y(bin)) SELECT class_id, bin, coalesce(c, 0) AS boxes FROM k LEFT JOIN t USING (class_id, bin)",
     "class_distribution": _VIEWS + _END + "SELECT CASE class_id WHEN 0 THEN 'drone' WHEN 1 THEN 'bird' ELSE '__invalid_' || class_id END AS class_name, count(*) AS boxes FROM b GROUP BY 1",
