@@ -66,16 +66,8 @@ def block_quotas(targets: DataFrame, block_words: int | None = None, most: float
     return t.withColumn("shard_quotas", counts).select("source", "source_size", "weight", "target", "blocks", "quota", "first_seat", "shard_quotas")
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_words: int | None = None, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row of docs once: id_col, size, source_size, target, taken, shard_words.
-
-    size: words of the text (null: 0). A source's documents, in seeded order, form one run of words,
-    cut into blocks; a seeded permutation i -> (i * a + b) mod blocks picks exactly the quota of
-    them, each at most `most` times. taken: words of the document in picked blocks, repeats counted;
-    shard_words: those words by shard of the mix. A null source is a source, after all others.
-    Equal (id, source) rows are told apart by their size and otherwise share one place in the order:
-    each counts. Same rows and seed, same result. An empty table gives no rows.
-    """
+def _placed(docs: DataFrame, share: float, most: float, weights: tuple[int, ...], block_words: int | None, shards: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """mix_sources with source, lot and place."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     d = settle(d)
     plan = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -103,7 +95,56 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     d = d.withColumn("spans", F.when(F.col("size") > 0, blocks).otherwise(F.expr("cast(array() as array<bigint>)"))).withColumn("picked", picked)
     taken = F.expr("aggregate(picked, 0L, (n, x) -> n + x.words)")
     by_shard = F.expr(f"transform(sequence(0, {shards - 1}), h -> aggregate(filter(picked, x -> pmod(x.seat + first_seat, {shards}) = h), 0L, (n, x) -> n + x.words))")
-    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"))
+    return d.select("doc_id", "source", "lot", "place", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_words"))
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_words: int | None = None, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row of docs once: id_col, size, source_size, target, taken, shard_words.
+
+    size: words of the text (null: 0). A source's documents, in seeded order, form one run of words,
+    cut into blocks; a seeded permutation i -> (i * a + b) mod blocks picks exactly the quota of
+    them, each at most `most` times. taken: words of the document in picked blocks, repeats counted;
+    shard_words: those words by shard of the mix. A null source is a source, after all others.
+    Equal (id, source) rows are told apart by their size and otherwise share one place in the order:
+    each counts. Same rows and seed, same result. An empty table gives no rows.
+    """
+    d = _placed(docs, share, most, weights, block_words, shards, seed, id_col, text_col, source_col)
+    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "shard_words")
+
+
+def whole_copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_words: int | None = None, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, source_col, copies): how often each document is written whole, so that a source's written words follow those that mix_sources takes of it.
+
+    What rounding to whole copies leaves of the taken words is carried to the next document of the
+    source's lot: long ones first, by powers of two of the size, then in seeded order, so that what a
+    long one leaves goes to shorter ones. A document gets at most `most` copies; one without words gets
+    one. Rows of one id and source have their copies in common; those without id stand once in the
+    result for each source, with one copy, which the others of the lot make up for.
+    """
+    d = _placed(docs, share, most, weights, block_words, shards, seed, id_col, text_col, source_col)
+    d = d.groupBy("source", "lot", "place", "doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    longest_first = F.when(F.col("doc_id").isNull(), F.lit(-64)).otherwise(-F.floor(F.log2(F.col("size") + 1)))
+    d = d.withColumn("class", longest_first).repartition("source", "lot").sortWithinPartitions("source", "lot", "class", "place", "doc_id")
+    top = int(most)
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, left = None, 0
+        for batch in batches:
+            ids, sources, lots, sizes, taken = (c.to_pylist() for c in batch.columns)
+            copies = []
+            for i, source, lot, size, words in zip(ids, sources, lots, sizes, taken, strict=True):
+                if (source, lot) != key:
+                    key, left = (source, lot), 0
+                left += words
+                n = 1 if i is None or not size else min(top, max(0, (2 * left + size) // (2 * size)))
+                left -= n * size
+                copies.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copies, pa.int32())], ["doc_id", "source", "copies"])
+
+    schema = d.select("doc_id", "source").schema.add("copies", "integer")
+    return d.select("doc_id", "source", "lot", "size", "taken").mapInArrow(run, schema).withColumnsRenamed({"doc_id": id_col, "source": source_col})
 
 
 def op3_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

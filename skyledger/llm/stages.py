@@ -35,10 +35,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: not at all, once or twice. Documents without words, and rows without doc_id, stay once."""
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    taken = settle(mixing.mix_sources(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(copies).alias("mix_copies")))
-    known = docs.join(taken.where("mix_copies > 0").hint("shuffle_hash"), docs.doc_id == F.col("mixed_id"))
+    """Each document as often as whole copies follow its source's quota of words: not at all, once or twice. Documents without words, and rows without doc_id, stay once."""
+    taken = settle(mixing.whole_copies(docs).where("doc_id is not null").select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("copies").alias("mix_copies")))
+    same = (docs.doc_id == F.col("mixed_id")) & docs.source.eqNullSafe(F.col("mixed_source"))
+    known = docs.join(taken.where("mix_copies > 0").hint("shuffle_hash"), same)
     out = known.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
     return out.unionByName(docs.where("doc_id is null"))
 
