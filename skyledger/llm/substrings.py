@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import WORD, hash_words, read, text_chunks, text_of, window_hashes
+from skyledger.llm.common import WORD, hash_words, mix, read, text_chunks, text_of, window_hashes
 
 _WORDS = re.compile(WORD)
 
@@ -102,13 +102,52 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, least: int = 1
 
 # --- a corpus against itself -----------------------------------------------------------------
 
-#: Bytes kept of a window's hash, beside the 8 of its anchor's.
-_KEPT = 5
+#: Bytes of a window's hash, all kept, beside the 8 of its anchor's.
+_KEPT = 8
+#: Slots that anchors are counted in, and the share of documents (one in so many) that is counted.
+_SLOTS, _SAMPLE = 1 << 16, 8
 
 
-def anchored_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id, first, hashes): the windows of each document in runs that share their anchor, the gram of the smallest hash within the window. Equal windows have equal anchors, so only what shares an anchor need meet."""
-    span = window - gram + 1
+def _anchors(grams: np.ndarray, s: int, e: int, window: int, gram: int) -> np.ndarray:
+    """Places, from s, of the anchors of the windows of words s to e."""
+    n = e - s - window + 1
+    return np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams[s : e - gram + 1], window - gram + 1).argmin(axis=1)
+
+
+def hot_anchors(docs: DataFrame, window: int, gram: int, most: int, sample: int = _SAMPLE) -> dict[int, int]:
+    """Slot of anchors -> parts, for slots with more than `most` windows (or four times the mean, where that is more), estimated from one in `sample` documents. It sets only how the work is dealt, not what is found."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for a, b, data, offsets in text_chunks(batch.column(0)):
+                words, begins = hash_words(data, offsets)
+                grams = window_hashes(words, gram)
+                for i in range(b - a):
+                    s, e = begins[i], begins[i + 1]
+                    if e - s >= window:
+                        at = s + _anchors(grams, s, e, window, gram)
+                        np.add.at(sums, (grams[at] % np.uint64(_SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(sums[slots])], ["slot", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("text")
+    # at most _SLOTS rows
+    counts = some.mapInArrow(run, "slot long, n long").groupBy("slot").agg((F.sum("n") * sample).alias("n")).collect()
+    most = max(most, 4 * sum(r.n for r in counts) // _SLOTS)
+    return {r.slot: -(-r.n // most) for r in counts if r.n > most}
+
+
+def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int] | None = None) -> DataFrame:
+    """(anchor, doc_id, first, hashes): the windows of each document in runs that share their anchor, the gram of the smallest hash within the window. Equal windows have equal anchors, so only what shares an anchor need meet.
+
+    The windows of an anchor in a slot of `hot` are dealt to its parts by their own hash, each with a key of its own in place of the anchor.
+    """
+    parts = np.ones(_SLOTS, np.uint64)
+    for slot, n in (hot or {}).items():
+        parts[slot] = n
 
     def run(batches):
         import pyarrow as pa
@@ -124,9 +163,15 @@ def anchored_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     n = e - s - window + 1
                     if n <= 0:
                         continue
-                    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams[s : e - gram + 1], span).argmin(axis=1)
-                    cut = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-                    anchor.append(grams[s + at[cut]]), first.append(cut), doc.append(np.full(len(cut), ids[a + i]))
+                    at = _anchors(grams, s, e, window, gram)
+                    keys, ends = grams[s + at], np.diff(at) != 0
+                    if hot:
+                        of = parts[(keys % np.uint64(_SLOTS)).astype(np.int64)]
+                        part = np.where(of > 1, whole[s : s + n] % of, np.uint64(0))
+                        ends |= np.diff(part) != 0
+                        keys = np.where(part > 0, mix(keys + part), keys)
+                    cut = np.concatenate(([0], np.flatnonzero(ends) + 1))
+                    anchor.append(keys[cut]), first.append(cut), doc.append(np.full(len(cut), ids[a + i]))
                     sizes.append(np.diff(np.append(cut, n)))
                     hashes.append(whole[s : s + n])
                 if not anchor:
@@ -139,11 +184,11 @@ def anchored_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, first int, hashes binary")
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int = 1 << 17, sample: int = _SAMPLE) -> DataFrame:
     """(doc_id, a, b): word spans [a, b) of docs (doc_id, text) that windows cover which also start in a document with a smaller doc_id.
 
     The runs of an anchor come by ascending doc_id; of them, only the first document of each different
-    window is held.
+    window is held. An anchor of more than about `most` windows is split by the windows' hashes (see hot_anchors).
     """
 
     def run(batches):
@@ -179,7 +224,8 @@ def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "a", "b"])
 
-    runs = anchored_windows(docs.where("doc_id is not null"), window, gram)
+    docs = docs.where("doc_id is not null")
+    runs = anchored_windows(docs, window, gram, hot_anchors(docs, window, gram, most, sample))
     return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "doc_id long, a int, b int")
 
 
