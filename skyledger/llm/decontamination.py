@@ -19,7 +19,7 @@ _SLOT = np.array([0, 0xA1C7_0001, 0xA1C7_0002, 0xA1C7_0003], np.uint64)
 
 @dataclass(frozen=True)
 class TemplateParams:
-    """Tokens of a window, and how many of them must be literal. Items of fewer tokens are one window if they have as many literals. block_chars bounds the benchmark text that is broadcast at once; a larger benchmark takes several passes."""
+    """Tokens of a window, and how many of them must be literal to match as a template; windows with fewer literals match by their exact words. Items of fewer tokens are one window. block_chars bounds the benchmark text that is broadcast at once; a larger benchmark takes several passes."""
 
     window: int = 8
     literals: int = 4
@@ -38,7 +38,7 @@ _QUOTES[[ord(c) for c in "\"')]*"]] = True
 
 @dataclass
 class Templates:
-    """Tokens of texts that lie end to end: byte bounds, template codes, slot kinds, and where each text's tokens begin."""
+    """Tokens of texts that lie end to end: byte bounds, template codes, slot kinds, where each text's tokens begin, and the codes of their words."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -46,6 +46,7 @@ class Templates:
     codes: np.ndarray
     slots: np.ndarray
     begins: np.ndarray
+    plain: np.ndarray
 
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace").strip(".,;:!?\"'()").lower()
@@ -69,7 +70,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, typed: bool = True) -> Temp
     n = len(data)
     none = np.empty(0, np.int64)
     if not n:
-        return Templates(data, none, none, np.empty(0, np.uint64), none, np.zeros(len(offsets), np.int64))
+        return Templates(data, none, none, np.empty(0, np.uint64), none, np.zeros(len(offsets), np.int64), np.empty(0, np.uint64))
     low = _LOWER[data]
     second = np.flatnonzero(data[:-1] == 0xC3) + 1
     second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
@@ -104,7 +105,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, typed: bool = True) -> Temp
     np.cumsum(upper, out=capital[1:])
     head = np.minimum(starts + 3, ends)
     starts, ends, codes, first, numeric = starts[full], ends[full], codes[full], first[full], numeric[full]
-    slots = np.zeros(len(starts), np.int64)
+    slots, plain = np.zeros(len(starts), np.int64), codes
     if typed:
         head = head[full]
         name = (capital[head] - capital[starts] == 1) & (capital[ends] - capital[starts] == 1) & ~first & (ends - starts > 1)
@@ -112,7 +113,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, typed: bool = True) -> Temp
         unit = np.isin(codes, _words("units")) & np.concatenate(([False], numeric[:-1]))
         slots = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
         codes = np.where(slots > 0, _SLOT[slots], codes)
-    return Templates(data, starts, ends, codes, slots, np.searchsorted(starts, offsets))
+    return Templates(data, starts, ends, codes, slots, np.searchsorted(starts, offsets), plain)
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, k: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +133,22 @@ class Index:
         self.ids = [i for i, _ in items]
         texts = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
         self.all = t = templates(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64))
-        rows: dict[int, list] = defaultdict(list)
+        rows: dict[tuple[int, bool], list] = defaultdict(list)
         for i in range(len(items)):
             a, b = t.begins[i], t.begins[i + 1]
-            k = min(p.window, int(b - a))
-            if k >= p.literals:
-                at, h = windows(t.codes[a:b], t.slots[a:b], k, p.literals)
-                rows[k] += [(int(x), i, int(j)) for j, x in zip(at, h, strict=True)]
+            if not (k := min(p.window, int(b - a))):
+                continue
+            at, h = windows(t.codes[a:b], t.slots[a:b], k, p.literals)
+            rows[k, False] += [(int(x), i, int(j)) for j, x in zip(at, h, strict=True)]
+            exact = window_hashes(t.plain[a:b], k)
+            rows[k, True] += [(int(exact[j]), i, int(j)) for j in np.setdiff1d(np.arange(len(exact)), at)]
+        #: (tokens, by exact words) -> sorted hashes and their (item, place)
         self.by_length = {}
-        for k, found in rows.items():
+        for key, found in rows.items():
+            if not found:
+                continue
             found.sort()
-            self.by_length[k] = np.array([x for x, _, _ in found], np.uint64), np.array([(i, j) for _, i, j in found], np.int64).reshape(-1, 2)
+            self.by_length[key] = np.array([x for x, _, _ in found], np.uint64), np.array([(i, j) for _, i, j in found], np.int64).reshape(-1, 2)
 
     def leaks(self, column, p: TemplateParams) -> list[tuple[int, int, int, int, bool]]:
         """(row, item, windows, slots, exact) of the items with windows in the row's text whose slots are consistent."""
@@ -150,8 +156,12 @@ class Index:
         for row, _, data, offsets in text_chunks(column):
             t = templates(data, offsets)
             runs: dict[tuple[int, int, int], dict[int, int]] = defaultdict(dict)
-            for k, (keys, places) in self.by_length.items():
-                at, h = windows(t.codes, t.slots, k, p.literals)
+            for (k, exact), (keys, places) in self.by_length.items():
+                if exact:
+                    h = window_hashes(t.plain, k)
+                    at = np.arange(len(h))
+                else:
+                    at, h = windows(t.codes, t.slots, k, p.literals)
                 lo = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = np.flatnonzero(keys[lo] == h)
                 doc = np.searchsorted(t.begins, at[hit], "right") - 1
@@ -178,11 +188,14 @@ class Index:
         its, base = self.all, int(self.all.begins[i])
         to, back, n, same = {}, {}, 0, True
         for q in sorted({q for j, k in starts.items() for q in range(j, j + k)}):
-            if its.codes[base + q] != t.codes[shift + q]:
+            alike = its.codes[base + q] == t.codes[shift + q]
+            # a word may be a name in one place and begin a sentence in the other
+            if not alike and its.plain[base + q] != t.plain[shift + q]:
                 return None
             if kind := int(its.slots[base + q]):
                 n += 1
-                a, b = its.word(base + q), t.word(shift + q)
+                a = its.word(base + q)
+                b = t.word(shift + q) if alike else a
                 same &= a == b
                 if to.setdefault((kind, a), b) != b or kind != NUM and back.setdefault((kind, b), a) != a:
                     return None
@@ -203,7 +216,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Templa
 
     exact: all slot values equal; else the question was re-parameterised: each value of the item stands
     for one value in the document (names and units one to one). Null and empty texts leak nothing;
-    repeated rows each give theirs; no match, no row. Whole texts are read, in one pass for each
+    repeated rows each give theirs; no match, no row. Windows short of literals, and short items, count
+    only by their exact words, apart from case and punctuation. Whole texts are read, in one pass for each
     block_chars of benchmark, without a shuffle of the documents.
     """
     out = None
