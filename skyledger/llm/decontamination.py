@@ -19,11 +19,16 @@ _SLOT = np.array([0, 0xA1C7_0001, 0xA1C7_0002, 0xA1C7_0003], np.uint64)
 
 @dataclass(frozen=True)
 class TemplateParams:
-    """Tokens of a window, and how many of them must be literal to match as a template; windows with fewer literals match by their exact words. Items of fewer tokens are one window. block_chars bounds the benchmark text that is broadcast at once; a larger benchmark takes several passes."""
+    """Tokens of a window, and how many of them must be literal to match as a template; windows with fewer literals match by their exact words. Items of fewer tokens are one window. block_chars bounds the benchmark text that is broadcast at once; a larger benchmark takes several passes. whole_runs: two values for one slot void the entire run of windows, else only the windows that hold both."""
 
     window: int = 8
     literals: int = 4
     block_chars: int = 32_000_000
+    whole_runs: bool = True
+
+
+#: As the query and the pipeline search: a changed number or name hides no window but those that hold the conflict.
+EACH_WINDOW = TemplateParams(whole_runs=False)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -175,31 +180,39 @@ class Index:
                         r += 1
             found: dict[tuple[int, int], list[int]] = {}
             for (d, i, shift), starts in sorted(runs.items()):
-                if (got := self._consistent(t, i, shift, starts)) is not None:
+                if (got := self._consistent(t, i, shift, starts, p.whole_runs))[0]:
                     sums = found.setdefault((d, i), [0, 0, 1])
-                    sums[0] += len(starts)
-                    sums[1] += got[0]
-                    sums[2] &= got[1]
+                    sums[0] += got[0]
+                    sums[1] += got[1]
+                    sums[2] &= got[2]
             out += [(row + d, self.ids[i], w, n, bool(same)) for (d, i), (w, n, same) in sorted(found.items())]
         return out
 
-    def _consistent(self, t: Templates, i: int, shift: int, starts: dict[int, int]) -> tuple[int, bool] | None:
-        """Number of slots and whether all have the item's values, or None if a value stands for two."""
+    def _consistent(self, t: Templates, i: int, shift: int, starts: dict[int, int], whole: bool) -> tuple[int, int, bool]:
+        """Number of windows (of a whole run, or each by itself) in which no value stands for two, their slots, and whether all of these have the item's values."""
+        count, places = 0, {}
+        for part in [starts] if whole else [{j: k} for j, k in starts.items()]:
+            if (got := self._slots(t, i, shift, part)) is not None:
+                count += len(part)
+                places |= got
+        return count, len(places), all(places.values())
+
+    def _slots(self, t: Templates, i: int, shift: int, starts: dict[int, int]) -> dict[int, bool] | None:
+        """Places of the windows' slots and whether they have the item's value, or None if a value stands for two."""
         its, base = self.all, int(self.all.begins[i])
-        to, back, n, same = {}, {}, 0, True
+        to, back, same = {}, {}, {}
         for q in sorted({q for j, k in starts.items() for q in range(j, j + k)}):
             alike = its.codes[base + q] == t.codes[shift + q]
             # a word may be a name in one place and begin a sentence in the other
             if not alike and its.plain[base + q] != t.plain[shift + q]:
                 return None
             if kind := int(its.slots[base + q]):
-                n += 1
                 a = its.word(base + q)
                 b = t.word(shift + q) if alike else a
-                same &= a == b
+                same[q] = a == b
                 if to.setdefault((kind, a), b) != b or kind != NUM and back.setdefault((kind, b), a) != a:
                     return None
-        return n, same
+        return same
 
 
 def _blocks(benchmark: DataFrame, p: TemplateParams, item_col: str, text_col: str):
@@ -215,7 +228,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Templa
     """A row per document and benchmark item whose template windows it holds: id_col, item_col, windows, slots, exact.
 
     exact: all slot values equal; else the question was re-parameterised: each value of the item stands
-    for one value in the document (names and units one to one). Null and empty texts leak nothing;
+    for one value in the document (names and units one to one), over a run of windows or within each
+    window, as p.whole_runs says; the query and the pipeline take each window. Null and empty texts leak nothing;
     repeated rows each give theirs; no match, no row. Windows short of literals, and short items, count
     only by their exact words, apart from case and punctuation. Whole texts are read, in one pass for each
     block_chars of benchmark, without a shuffle of the documents.
@@ -257,4 +271,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Tem
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), EACH_WINDOW)

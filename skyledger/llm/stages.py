@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark question, also a re-parameterised one."""
-    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), decontamination.EACH_WINDOW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
