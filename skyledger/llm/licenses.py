@@ -25,6 +25,9 @@ SPELLINGS = (
     (r"\bgnu general public license\b", "gnu gpl"),
 )
 
+#: How a text begins that one of the spellings changes at its start.
+_CHANGED = "licen|sub|non|organi|copyright|v|creative|gnu"
+
 #: Texts of well-known licences and notices.
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -62,13 +65,21 @@ def canonical(text: str) -> str:
     return t
 
 
-def canonical_column(text: Column) -> Column:
-    """Lower case, without copyright lines (that hold a year), punctuation and blanks as one space, spellings made equal."""
+def bare_column(text: Column) -> Column:
+    """Lower case, without copyright lines (that hold a year), punctuation and blanks as one space."""
     t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
-    t = F.trim(F.regexp_replace(t, _NOT_WORD, " "))
+    return F.trim(F.regexp_replace(t, _NOT_WORD, " "))
+
+
+def spelled_column(bare: Column) -> Column:
     for old, new in SPELLINGS:
-        t = F.regexp_replace(t, old, new)
-    return t
+        bare = F.regexp_replace(bare, old, new)
+    return bare
+
+
+def canonical_column(text: Column) -> Column:
+    """bare_column with spellings made equal."""
+    return spelled_column(bare_column(text))
 
 
 def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
@@ -76,26 +87,25 @@ def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
     return sorted({(hashlib.md5(canonical(t).encode()).hexdigest(), name) for name, t in texts})
 
 
-def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, id_col: str = "doc_id", text_col: str = "text", slack: int = 4) -> DataFrame:
+def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and licence found: id_col, license, whole (the entire text is the licence), lines (lines that are its notice).
 
-    Entire texts and entire lines are looked up; a licence inside a longer line is not found. Only those
-    whose length is at most `slack` times that of the longest known text, over which punctuation and
-    copyright lines can stretch it, are normalised as a whole; lines have the same bound from the known
-    single-line notices, so no long text is normalised for nothing. Null and empty texts hold none. A
-    document's repeated rows each count. The known digests are a fixed list, hence the broadcast.
+    Every entire text and every entire line is looked up, whatever its length; a licence inside a longer
+    line is not found. Only units that begin like a known text, or like one that the spellings change at
+    its start, have their spellings made equal and are hashed; no other unit can become a known text.
+    Null and empty texts hold none. A document's repeated rows each count. The known digests are a fixed
+    list, hence the broadcast.
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(known_digests(texts), "digest string, license string")
-    most_whole = slack * max(len(t) for _, t in texts)
-    most_line = slack * max(len(t) for _, t in texts if "\n" not in t)
+    heads = "|".join(sorted({canonical(t).split(" ")[0] for _, t in texts}))
+    begins = rf"^(?:(?:{heads})(?: |$)|{_CHANGED})"
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) <= most_line) & F.lower(x).rlike("licen[sc]e"))
-    units = F.concat(
-        F.when((F.length("text") <= most_whole) & F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(True).alias("whole"), F.lit(True).alias("is_text"), F.col("text").alias("unit")))).otherwise(F.expr("cast(array() as array<struct<whole:boolean,is_text:boolean,unit:string>>)")),
-        F.transform(lines, lambda x: F.struct((x == F.col("text")).alias("whole"), F.lit(False).alias("is_text"), x.alias("unit"))),
-    )
-    rows = d.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", "u.is_text", F.md5(canonical_column(F.col("u.unit")).cast("binary")).alias("digest"))
+    unit = lambda x, whole, is_text: F.struct(whole.alias("whole"), F.lit(is_text).alias("is_text"), bare_column(x).alias("bare"))
+    entire = F.when(F.contains("text", F.lit("\n")), F.array(unit(F.col("text"), F.lit(True), True))).otherwise(F.expr("cast(array() as array<struct<whole:boolean,is_text:boolean,bare:string>>)"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: unit(x, x == F.col("text"), False))
+    units = F.concat(*[F.filter(u, lambda x: x["bare"].rlike(begins)) for u in (entire, lines)])
+    rows = d.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", "u.is_text", F.md5(spelled_column(F.col("u.bare")).cast("binary")).alias("digest"))
     hits = rows.join(F.broadcast(table), "digest")
     return hits.groupBy("doc_id", "license").agg(F.max("whole").alias("whole"), F.count_if(~F.col("is_text")).alias("lines")).withColumnRenamed("doc_id", id_col)
 
