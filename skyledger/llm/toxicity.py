@@ -121,8 +121,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 8192, id_col:
     return [t for _, t, _ in got], [int(y == 1) for _, _, y in got], n1 / n if n else 0.0
 
 
-def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, text_col: str = "text", worst: int = 3) -> DataFrame:
-    """docs with score, predicted and worst_sentences: array of (start, end, p), the likeliest offenders in code points.
+def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs with score, predicted and worst_sentences: array of (start, end, p) in code points, all sentences with p >= 0.5, the likeliest first.
 
     Null and empty texts hold no sentence; their score is that of a text without known words. Columns
     of docs named like the new ones are replaced.
@@ -145,7 +145,7 @@ def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, tex
                     safe *= 1 - p
                     found.append({"start": a, "end": b, "p": float(p)})
                 scores.append(float(min(1.0, max(0.0, 1 - safe))))
-                spans.append(sorted((f for f in found if f["p"] >= 0.5), key=lambda f: (-f["p"], f["start"]))[:worst])
+                spans.append(sorted((f for f in found if f["p"] >= 0.5), key=lambda f: (-f["p"], f["start"])))
             s = np.array(scores)
             cols = [batch.column(batch.schema.get_field_index(c)).cast(out.field(c).type) for c in names] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), pa.array(spans, out.field("worst_sentences").type)]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
