@@ -67,7 +67,7 @@ def persistence_gate(spark: SparkSession, sf_dir: str, hits: int = 12, initiate:
 
 
 def gallery_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each identity's mean vector against the vectors whose id divides by 20: the best cosine, to six places. Both sides are aggregated or selected first; there are as many means as labels."""
+    """Each identity's mean vector against its own vectors whose id divides by 20: the cosine, to six places. Both sides are aggregated or selected first; there are as many means as labels."""
     e = views.read(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.expr("transform(array_sort(collect_list(struct(i, m))), x -> x.m)").alias("mean"))
     q = e.where("vec_id % 20 = 0").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("q"), F.col("label").alias("own"))
