@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,11 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it; there a temporary folder serves, while a cluster without it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "skyledger-checkpoints")
     return path
 
@@ -64,6 +66,11 @@ PLAIN_BYTES = RAW_BYTES.copy()
 PLAIN_BYTES[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0
 
 
+#: Words of more bytes are hashed one by one; the mask of a chunk of so many bytes.
+_LONG = 64
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("p")
     if have is None or len(have) < n:
@@ -83,7 +90,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = RAW_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of UTF-8 texts that lie end to end in data, and where each text's words begin.
+    """64-bit hashes of the words of UTF-8 texts that lie end to end in data, and where each text's words begin. Each 8 bytes of a word are mixed in turn, so no two words collide by their pattern.
 
     offsets: the texts' byte bounds, relative to data; the result's second array has as many entries.
     """
@@ -104,10 +111,19 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = RAW_BY
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | new[1:])) + 1
-    power, inverse = power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    eight = np.ndarray((n + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+    h = mix(size.astype(np.uint64) * np.uint64(_P))
+    at = np.arange(len(starts))
+    for step in range(_LONG // 8):
+        if step:
+            at = at[size[at] > 8 * step]
+            if not len(at):
+                break
+        left = size[at] - 8 * step
+        h[at] = mix((h[at] ^ (eight[starts[at] + 8 * step] & _MASKS[np.minimum(left, 8)])) * np.uint64(_Q))
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return h, np.searchsorted(starts, offsets)
 
 
