@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import read, settle, text_of
+from skyledger.llm.common import read, text_of
 
 
 @dataclass(frozen=True)
@@ -99,70 +99,112 @@ def holds(query, has) -> Column:
     return out
 
 
+def wanted_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    wanted = list(dict.fromkeys(t for r in rules for t in trigrams(trigram_query(r.pattern))))
+    if len(wanted) > 63:
+        raise ValueError("more than 63 trigrams: scan the rules in several calls")
+    return wanted
+
+
+def with_trigrams(docs: DataFrame, wanted: list[str], text_col: str = "text") -> DataFrame:
+    """docs with `has`: a bit for each of the wanted trigrams that the lower-cased text holds, which are the row's postings."""
+    low = docs.withColumn("_low", F.lower(text_of(text_col)))
+    has = F.lit(0).cast("long")
+    for i, t in enumerate(wanted):
+        has = has.bitwiseOR(F.when(F.contains("_low", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return low.withColumn("has", has).drop("_low")
+
+
 def postings(docs: DataFrame, wanted: list[str], key: str, text_col: str = "text") -> DataFrame:
-    """The inverted index of the wanted trigrams over lower-cased texts: rows (number of the trigram, key)."""
-    low = docs.select(F.col(key), F.lower(text_of(text_col)).alias("low"))
-    hits = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]))
-    return low.select(F.col(key), F.explode(hits).alias("trigram"))
+    """The inverted index of the wanted trigrams, for corpora that are scanned again: rows (trigram, key)."""
+    some = with_trigrams(docs.select(F.col(key), F.col(text_col).alias("text")), wanted).where("has <> 0")
+    hit = F.filter(F.transform(F.array(*map(F.lit, wanted)), lambda t, i: F.when(F.expr("has").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0, t)), lambda t: t.isNotNull())
+    return some.select(F.explode(hit).alias("trigram"), F.col(key))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...], wanted: list[str], key: str) -> DataFrame:
-    """(key, rules): a bit for each rule whose trigram query the postings of the key meet. Keys without a rule are left out."""
-    met = index.groupBy(key).agg(F.expr("bit_or(shiftleft(1L, trigram))").alias("has"))
+def matching_rules(rules: tuple[Rule, ...], wanted: list[str]) -> Column:
+    """A bit for each rule whose trigram query the postings `has` meet; rules without mandatory trigrams always have theirs."""
     has = lambda t: F.col("has").bitwiseAND(F.lit(1 << wanted.index(t))) != 0
     bits = F.lit(0)
     for i, r in enumerate(rules):
-        if (q := trigram_query(r.pattern))[1]:
-            bits = bits.bitwiseOR(F.when(holds(q, has), F.lit(1 << i)).otherwise(F.lit(0)))
-    return met.select(key, bits.alias("rules")).where("rules <> 0")
+        q = trigram_query(r.pattern)
+        bits = bits.bitwiseOR(F.when(holds(q, has), F.lit(1 << i)).otherwise(F.lit(0)) if q[1] else F.lit(1 << i))
+    return bits
+
+
+def _running(rows: Column, base: Column) -> Column:
+    """(end, out) of rows (gap, m, g) that lie end to end from base: out holds their start, end and g."""
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,g:int>>)")
+    return F.aggregate(
+        rows,
+        F.struct(base.cast("int").alias("at"), empty.alias("out")),
+        lambda s, r: F.struct((s["at"] + r["gap"] + r["m"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + r["gap"]).alias("start"), (s["at"] + r["gap"] + r["m"]).alias("end"), r["g"].alias("g")))).alias("out")),
+    )
 
 
-def spans(text: str, rule: Rule) -> Column:
-    """Array of (start, end, kind, order) of the leftmost matches of a rule, in code points; those with a short group are dropped.
+def spans(text: str, rule: Rule, order: int) -> Column:
+    """Array of (start, order, end, kind) of the leftmost matches of a rule, in code points; those with a short group are dropped.
 
     The pieces between matches and the matches themselves, both found by the same engine from the left,
-    lie end to end, so their lengths give the places.
+    lie end to end, so their lengths give the places. They are added up in blocks of about the root of
+    their number, so a text with very many matches costs no square of them. Patterns without
+    look-around: a match by itself has the groups that it has in its text.
     """
-    p = F.lit(rule.pattern)
-    gaps, found, groups = F.split(F.col(text), rule.pattern, -1), F.regexp_extract_all(F.col(text), p, F.lit(0)), F.regexp_extract_all(F.col(text), p, F.lit(rule.group))
-    rows = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), F.length), F.zip_with(found, groups, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["g"].alias("g")))
-    kind = "array<struct<start:int,end:int,g:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-    walked = F.aggregate(rows, start, lambda s, r: F.struct((s["at"] + r["gap"] + r["m"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + r["gap"]).alias("start"), (s["at"] + r["gap"] + r["m"]).alias("end"), r["g"].alias("g")))).alias("out")), lambda s: s["out"])
-    return F.filter(walked, lambda s: s["g"] >= rule.least)
+    found = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0))
+    group = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.length
+    gaps = F.split(F.col(text), rule.pattern, -1)
+    sizes = lambda f, cut: F.zip_with(f, F.slice(cut, 1, F.size(f)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("m"), group(m).alias("g")))
+
+    def walk(rows: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(rows))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / side).cast("int")), lambda i: F.slice(rows, i * side + 1, side))
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, r: n + r["gap"] + r["m"])
+        begins = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda s, b: F.struct((s["at"] + length(b)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, begins, lambda b, at: _running(b, at)["out"]))
+
+    none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string>>)")
+    kept = lambda rows: F.transform(F.filter(walk(rows), lambda s: s["g"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+    some = lambda f: F.when(F.size(f) > 0, F.element_at(F.transform(F.array(sizes(f, gaps)), kept), 1)).otherwise(none)
+    return F.element_at(F.transform(F.array(found), some), 1)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and text with `found`: array of (start, end, kind), by start and then the kinds' order.
+    """A row per row of docs: its id, its text, and `found`: array of (start, order, end, kind), by start and then the kinds' order.
 
-    Null text is the empty text, with no secret. Rows are told apart by id alone: rows of one id share
-    their postings and are each verified on their own text; rows without id are verified by every rule.
-    A rule without mandatory trigrams (here hex) scans all rows.
+    Null text is the empty text, with no secret; an empty table gives no rows. Every row is scanned by
+    itself, so rows of one id, or without id, need nothing from each other, and other columns of docs,
+    whatever their names, are left out. A rule's pattern runs only where the row's postings meet its
+    trigram query; a rule without mandatory trigrams (here hex) scans all rows. Nothing is shuffled.
     """
-    wanted = list(dict.fromkeys(t for r in rules for t in trigrams(trigram_query(r.pattern))))
-    if len(wanted) > 63:
-        raise ValueError("more than 63 trigrams: scan the rules in several calls")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    index = postings(keyed.where("doc_id is not null"), wanted, "doc_id")
-    some = settle(candidates(index, rules, wanted, "doc_id")).withColumnRenamed("doc_id", "candidate")
-    rows = keyed.join(some.hint("shuffle_hash"), F.col("doc_id") == F.col("candidate"), "left").withColumn("text", text_of())
-    everything = (1 << len(rules)) - 1
-    bits = F.when(F.col("doc_id").isNull(), F.lit(everything)).otherwise(F.coalesce("rules", F.lit(0)))
-    found = []
-    for i, r in enumerate(rules):
-        order, kind = F.lit(i), F.lit(r.kind)
-        got = F.transform(spans("text", r), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), order.alias("order"), kind.alias("kind")))  # noqa: B023
-        none = F.expr("cast(array() as array<struct<start:int,end:int,order:int,kind:string>>)")
-        if trigram_query(r.pattern)[1]:
-            got = F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, got).otherwise(none)
-        found.append(got)
-    ordered = F.array_sort(F.concat(*found), lambda x, y: F.when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["order"] < y["order"])), F.lit(-1)).when((x["start"] == y["start"]) & (x["order"] == y["order"]), F.lit(0)).otherwise(F.lit(1)))
-    return rows.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), ordered.alias("found"))
+    wanted = wanted_trigrams(rules)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = with_trigrams(keyed, wanted).select("doc_id", "text", matching_rules(rules, wanted).alias("rules"))
+    none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string>>)")
+    found = [F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, spans("text", r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return rows.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), F.array_sort(F.concat(*found)).alias("found"))
 
 
 def op8_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: a row per row of documents with the counts and digest of the base kinds, and all spans. Null and empty texts have none; repeated rows each give theirs."""
     out = scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     return out.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def oracle(rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> str:
+    """DuckDB SQL of op8: every pattern over every whole text, places by sums of the pieces' lengths."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    one = "SELECT rid, doc_id, {k} AS k, {kind} AS kind, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(list_transform(gaps[1:len(m)], lambda x: length(x))) AS gap, unnest(g) AS g FROM (SELECT rid, doc_id, regexp_extract_all(t, {p}, 0) AS m, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, {group}) AS g FROM d)"
+    parts = " UNION ALL ".join(f"SELECT * FROM ({one.format(k=i, kind=quoted(r.kind), p=quoted(r.pattern), group=r.group)}) WHERE length(g) >= 0" for i, r in enumerate(rules))
+    least = "CASE k " + " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules)) + " END"
+    base = len(BASE_RULES)
+    counts = ", ".join(f"CAST(count(s.rid) FILTER (WHERE k = {i}) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(rules[:base]))
+    form = "kind || ':' || a || ':' || e"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({parts}),
+p AS (SELECT *, CAST(sum(gap + length(m)) OVER (PARTITION BY rid, k ORDER BY i) AS BIGINT) AS e FROM m),
+s AS (SELECT rid, k, kind, e - length(m) AS a, e FROM p WHERE length(g) >= {least})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({form}, ',' ORDER BY a, k) FILTER (WHERE k < {base}), '')) AS base_sha256, coalesce(string_agg({form}, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN s ON d.rid = s.rid GROUP BY d.rid, doc_id"""
