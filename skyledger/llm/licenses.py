@@ -37,19 +37,93 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC_BODY = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}mozilla.org/MPL/2.0/."
+_GNU_NOTICE = """{what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+{what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details.
+
+You should have received a copy of the GNU {kind} General Public License along with {it}. If not, see <{scheme}://www.gnu.org/licenses/>."""
+_GNU_KINDS = (("GPL-3.0-or-later", "", "3"), ("LGPL-3.0-or-later", "Lesser", "3"), ("AGPL-3.0-or-later", "Affero", "3"))
+#: One-line notices: the licence's name in full and in short, and its SPDX name.
+_NAMES = (
+    ("MIT License", "MIT"),
+    ("ISC License", "ISC"),
+    ("Apache License, Version 2.0", "Apache-2.0"),
+    ("GNU General Public License, version 2", "GPL-2.0-only"),
+    ("GNU General Public License, version 3", "GPL-3.0-only"),
+    ("GNU Lesser General Public License, version 2.1", "LGPL-2.1-only"),
+    ("GNU Lesser General Public License, version 3", "LGPL-3.0-only"),
+    ("GNU Affero General Public License, version 3", "AGPL-3.0-only"),
+    ("Mozilla Public License, version 2.0", "MPL-2.0"),
+    ("Eclipse Public License, version 2.0", "EPL-2.0"),
+    ("Boost Software License, version 1.0", "BSL-1.0"),
+    ("BSD 2-Clause License", "BSD-2-Clause"),
+    ("BSD 3-Clause License", "BSD-3-Clause"),
+    ("CC0 1.0 Universal license", "CC0-1.0"),
+    ("CC BY 4.0", "CC-BY-4.0"),
+    ("CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("CC BY-ND 4.0", "CC-BY-ND-4.0"),
+    ("CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+)
+_SAID = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Released under {}.", "Licensed under {}.", "This work is licensed under {}.", "SPDX-License-Identifier: {id}")
 KNOWN_TEXTS = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
     ("ISC", _ISC_BODY),
     ("ISC", "ISC License\n\n" + _ISC_BODY),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
+    ("MIT-0", _MIT_BODY.replace(", subject to the following conditions:", ".").replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n", "")),
+    ("0BSD", _0BSD),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_2 + _BSD_3 + _BSD_END),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Apache-2.0", _APACHE_NOTICE),
+    *(("MPL-2.0", _MPL_NOTICE.format(scheme)) for scheme in ("http://", "https://")),
+    *((name, _GNU_NOTICE.format(what=what, it=it, kind=kind, version=version, scheme=scheme)) for name, kind, version in _GNU_KINDS for what, it in (("This program", "this program"), ("This file", "this file")) for scheme in ("http", "https")),
+    *((name, said.format(full, id=name)) for full, name in _NAMES for said in _SAID),
 )
 
 _COPYRIGHT = r"(?m)^[^\n]{0,8}(copyright|\(c\)|©)[^\n]*\d{4}[^\n]*$"
@@ -92,8 +166,10 @@ def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, id_col: str = "doc_id", te
 
     Every entire text and every entire line is looked up, whatever its length; a licence inside a longer
     line is not found. Only units that begin like a known text, or like one that the spellings change at
-    its start, have their spellings made equal and are hashed; no other unit can become a known text.
-    Null and empty texts hold none. A document's repeated rows each count. The known digests are a fixed
+    its start, have their spellings made equal and are hashed; no other unit can become a known text. texts are (licence, text) pairs, to be extended by
+    longer licences at will: only their digests are sent out.
+    Null and empty texts hold none. A document's repeated rows each count; an empty table gives
+    no rows; other columns, whatever their names, are left out. The known digests are a fixed
     list, hence the broadcast.
     """
     spark = docs.sparkSession
@@ -111,6 +187,7 @@ def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, id_col: str = "doc_id", te
 
 
 def op9_license_digest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, by entire text and by entire lines; no row for documents without one. Null and empty texts have none; repeated rows of an id add up their lines."""
     return find_licenses(read(spark, sf_dir, "documents"))
 
 
@@ -123,7 +200,7 @@ def oracle() -> str:
     known = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 u AS (SELECT doc_id, t = u AS whole, false AS is_text, u FROM (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS u FROM d)
-      UNION ALL SELECT doc_id, true, true, t FROM d WHERE contains(t, chr(10)) AND length(t) <= 10000),
+      UNION ALL SELECT doc_id, true, true, t FROM d WHERE contains(t, chr(10))),
 k(digest, license) AS (VALUES {known})
 SELECT doc_id, license, bool_or(whole) AS whole, CAST(count(*) FILTER (WHERE NOT is_text) AS BIGINT) AS lines
-FROM (SELECT doc_id, whole, is_text, md5({norm}) AS digest FROM u WHERE length(u) <= 10000) JOIN k USING (digest) GROUP BY doc_id, license"""
+FROM (SELECT doc_id, whole, is_text, md5({norm}) AS digest FROM u) JOIN k USING (digest) GROUP BY doc_id, license"""

@@ -11,3 +11,18 @@ def test_licences_of_any_length(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.license, r.whole, r.lines) for r in licenses.find_licenses(df).collect()}
     assert got == {(1, "MIT", True, 1), (2, "ISC", False, 1), (3, "MIT", True, 0), (4, "MIT", True, 0), (5, "MIT", True, 1), (6, "CC-BY-NC-4.0", True, 1)}
+
+
+def test_query_equals_its_sql_on_long_texts(spark, tmp_path):
+    """Texts beyond any old bound, by the query and by its SQL."""
+    import duckdb
+
+    mit, bsd = licenses.KNOWN_TEXTS[0][1], dict(licenses.KNOWN_TEXTS)["BSD-3-Clause"]
+    holders = "\n".join(f"Copyright (c) {1700 + i} Holder Number {i}" for i in range(400))
+    rows = [(1, holders + "\n" + mit), (2, " ".join(bsd.split())), (3, "=" * 30_000 + "\nSPDX-License-Identifier: MPL-2.0\n"), (4, None), (5, ""), (3, "Released under the Boost Software Licence, Version 1.0.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(con.execute(licenses.oracle()).fetchall())
+    assert {(r.doc_id, r.license, r.whole, r.lines) for r in licenses.op9_license_digest_scan(spark, str(tmp_path)).collect()} == want
+    assert want == {(1, "MIT", True, 0), (2, "BSD-3-Clause", True, 1), (3, "MPL-2.0", True, 1), (3, "BSL-1.0", True, 1)}
