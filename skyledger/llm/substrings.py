@@ -1,12 +1,12 @@
-"""Substring dedup: suffix automata of reference shards for a bounded reference; anchored windows for a corpus against itself."""
+"""Substring dedup: broadcast suffix automata of reference shards, past which documents stream for their matching statistics; what no bounded shard can hold of a corpus against itself meets by anchored windows."""
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import WORD, hash_words, mix, read, text_chunks, text_of, window_hashes
@@ -102,8 +102,152 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, least: int = 1
 
 # --- a corpus against itself -----------------------------------------------------------------
 
+
+class Passages:
+    """A reference shard for windows of one length: the suffix automaton of some passages, and the hashes of their windows, which tell what words to send through it at all."""
+
+    def __init__(self, texts: list[list[str]], window: int):
+        self.window, self.automaton = window, SuffixAutomaton(texts)
+        link, length = self.automaton.link, self.automaton.length
+        #: state -> the state whose strings include the last `window` words
+        self.home = np.full(len(link), -1, np.int64)
+        for state in sorted(range(len(link)), key=length.__getitem__):
+            if length[state] >= window:
+                self.home[state] = self.home[link[state]] if length[link[state]] >= window else state
+        body = [" ".join(t).encode("utf-8", "surrogatepass") for t in texts]
+        words, begins = hash_words(np.frombuffer(b"".join(body), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in body]))).astype(np.int64))
+        whole = window_hashes(words, window)
+        ends = np.concatenate([np.arange(begins[i], max(begins[i], begins[i + 1] - window + 1)) for i in range(len(texts))] or [np.empty(0, np.int64)])
+        self.keys = np.unique(whole[ends.astype(np.int64)])
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def likely(self, whole: np.ndarray) -> np.ndarray:
+        """Which window hashes are those of a window of the passages."""
+        out = np.zeros(len(whole), bool)
+        at = np.flatnonzero(self.some[(whole >> np.uint64(44)).astype(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, whole[at]), len(self.keys) - 1)
+            out[at] = self.keys[place] == whole[at]
+        return out
+
+    def windows(self, text: str, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, states) of the text's windows whose words the automaton holds: those at whose last word the matching statistic is `window` or more. Only the likely windows' words are walked."""
+        at = np.flatnonzero(likely)
+        if not len(at):
+            return at, at
+        words, k = _WORDS.findall(text), self.window
+        moves, link, length = self.automaton.next, self.automaton.link, self.automaton.length
+        starts, states = [], []
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        for lo, hi in zip(at[np.concatenate(([0], cuts))].tolist(), at[np.concatenate((cuts - 1, [len(at) - 1]))].tolist(), strict=True):
+            state = n = 0
+            for i in range(lo, hi + k):
+                w = words[i]
+                while state and w not in moves[state]:
+                    state = link[state]
+                    n = length[state]
+                if (to := moves[state].get(w)) is not None:
+                    state, n = to, n + 1
+                if n >= k:
+                    starts.append(i - k + 1), states.append(state)
+        return np.array(starts, np.int64), self.home[np.array(states, np.int64)]
+
+
+_BUILT: dict[str, Passages] = {}
+
+
+def _passages(shared) -> Passages:
+    """The automaton of a broadcast (name, texts, window, ...), built once in a Python worker."""
+    name, texts, window = shared.value[:3]
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Passages(texts, window)
+    return _BUILT[name]
+
+
+def frequent_passages(docs: DataFrame, window: int, gram: int, most: int = 4096, sample: int = 16, longest: int = 4096) -> list[list[str]]:
+    """The words of passages around the anchors that most documents share, as counted in one of `sample` documents: at most `most` runs of windows, each of at most `longest` bytes, so it is bounded at any input size. Which passages these are decides only what is dealt with by automaton; all else is found by anchored_windows."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(sample)) == 0)
+
+    def runs(batches, wanted=None):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                words, begins = hash_words(data, offsets)
+                grams = window_hashes(words, gram)
+                rows = []
+                for i in range(b - a):
+                    s, e = int(begins[i]), int(begins[i + 1])
+                    if e - s < window:
+                        continue
+                    at = _anchors(grams, s, e, window, gram)
+                    cut = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+                    keys = grams[s + at[cut]].view(np.int64)
+                    if wanted is None:
+                        rows += [(int(k), ids[a + i], 0, None) for k in np.unique(keys)]
+                    elif (hit := np.flatnonzero(np.isin(keys, wanted))).size:
+                        text, ends = _WORDS.findall(batch.column(1)[a + i].as_py()), np.append(cut[1:], len(at))
+                        rows += [(int(keys[j]), ids[a + i], int(cut[j]), run) for j in hit if len(run := " ".join(text[cut[j] : ends[j] + window - 1])) <= longest]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["anchor", "doc_id", "first", "words"])
+
+    schema = "anchor long, doc_id long, first int, words string"
+    counts = some.mapInArrow(runs, schema).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    # at most `most` rows
+    top = np.array(sorted(r.anchor for r in counts.orderBy(F.desc("n"), "anchor").limit(most).collect()), np.int64)
+    if not len(top):
+        return []
+    found = some.mapInArrow(lambda batches: runs(batches, top), schema).groupBy("anchor").agg(F.min_by(F.struct("doc_id", "first", "words"), F.struct("doc_id", "first")).alias("r")).select("r.*").collect()
+    out, last = [], (None, 0)
+    for doc, first, words in sorted((r.doc_id, r.first, r.words.split(" ")) for r in found):
+        if last[0] == doc and first <= last[1]:
+            out[-1] += words[last[1] - first :]
+        else:
+            out.append(words)
+        last = (doc, max(first + len(words), last[1] if last[0] == doc else 0))
+    return out
+
+
+def with_first_documents(docs: DataFrame, texts: list[list[str]], window: int):
+    """Broadcast (name, texts, window, first): the smallest doc_id of all docs that holds each window of the passages, by state of their automaton. One pass over docs, whose tasks each give one row per window."""
+    sc = docs.sparkSession.sparkContext
+    name = uuid.uuid4().hex
+    shared = sc.broadcast((name, texts, window))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = _passages(shared)
+        first = np.full(len(held.home), _NEVER, np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                words, begins = hash_words(data, offsets)
+                likely = held.likely(window_hashes(words, window))
+                for i in range(b - a):
+                    some = likely[begins[i] : max(begins[i], begins[i + 1] - window + 1)]
+                    if some.any():
+                        _, states = held.windows(batch.column(1)[a + i].as_py(), some)
+                        np.minimum.at(first, states, ids[a + i])
+        at = np.flatnonzero(first != _NEVER)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(first[at])], ["state", "doc_id"])
+
+    rows = docs.mapInArrow(run, "state long, doc_id long").groupBy("state").agg(F.min("doc_id").alias("first")).collect()
+    first = np.full(2 * sum(map(len, texts)) + 2, _NEVER, np.int64)
+    for r in rows:
+        first[r.state] = r.first
+    return sc.broadcast((name, texts, window, first))
+
+
+#: No document holds it.
+_NEVER = np.iinfo(np.int64).max
+
 #: Bytes of a window's hash, all kept, beside the 8 of its anchor's.
 _KEPT = 8
+#: The bits of a run's first word below its text's version.
+_PLACE = (1 << 32) - 1
 #: Slots that anchors are counted in, and the share of documents (one in so many) that is counted.
 _SLOTS, _SAMPLE = 1 << 16, 8
 
@@ -140,10 +284,16 @@ def hot_anchors(docs: DataFrame, window: int, gram: int, most: int, sample: int
     return {r.slot: -(-r.n // most) for r in counts if r.n > most}
 
 
-def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int] | None = None) -> DataFrame:
-    """(anchor, doc_id, first, hashes): the windows of each document in runs that share their anchor, the gram of the smallest hash within the window. Equal windows have equal anchors, so only what shares an anchor need meet.
+def version() -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("version")
+
+
+def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int] | None = None, shared=None) -> DataFrame:
+    """(anchor, doc_id, first, hashes): first is the run's place, above it the 31 bits of its text's version; the windows of each document in runs that share their anchor, the gram of the smallest hash within the window. Equal windows have equal anchors, so only what shares an anchor need meet.
 
     The windows of an anchor in a slot of `hot` are dealt to its parts by their own hash, each with a key of its own in place of the anchor.
+    Windows that the automaton of `shared` holds (see with_first_documents) are left out.
     """
     parts = np.ones(_SLOTS, np.uint64)
     for slot, n in (hot or {}).items():
@@ -152,11 +302,13 @@ def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int
     def run(batches):
         import pyarrow as pa
 
+        held = _passages(shared) if shared else None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, versions = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 words, begins = hash_words(data, offsets)
                 grams, whole = window_hashes(words, gram), window_hashes(words, window)
+                likely = held.likely(whole) if held else None
                 anchor, doc, first, sizes, hashes = [], [], [], [], []
                 for i in range(b - a):
                     s, e = begins[i], begins[i + 1]
@@ -170,25 +322,32 @@ def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int
                         part = np.where(of > 1, whole[s : s + n] % of, np.uint64(0))
                         ends |= np.diff(part) != 0
                         keys = np.where(part > 0, mix(keys + part), keys)
+                    sent = np.ones(n, bool)
+                    if held and likely[s : s + n].any():
+                        sent[held.windows(batch.column(1)[a + i].as_py(), likely[s : s + n])[0]] = False
+                        ends |= np.diff(sent)
                     cut = np.concatenate(([0], np.flatnonzero(ends) + 1))
-                    anchor.append(keys[cut]), first.append(cut), doc.append(np.full(len(cut), ids[a + i]))
-                    sizes.append(np.diff(np.append(cut, n)))
-                    hashes.append(whole[s : s + n])
+                    of_run = sent[cut]
+                    size, cut = np.diff(np.append(cut, n))[of_run], cut[of_run]
+                    anchor.append(keys[cut]), first.append(cut + (versions[a + i] << 32)), doc.append(np.full(len(cut), ids[a + i]))
+                    sizes.append(size)
+                    hashes.append(whole[s : s + n][sent])
                 if not anchor:
                     continue
                 packed = np.concatenate(hashes).view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
                 bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) * _KEPT)).astype(np.int32)
                 runs = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(first).astype(np.int32)), runs], ["anchor", "doc_id", "first", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(first).astype(np.int64)), runs], ["anchor", "doc_id", "first", "hashes"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, first int, hashes binary")
+    return docs.select("doc_id", "text", version()).mapInArrow(run, "anchor long, doc_id long, first long, hashes binary")
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int = 1 << 17, sample: int = _SAMPLE) -> DataFrame:
-    """(doc_id, a, b): word spans [a, b) of docs (doc_id, text) that windows cover which also start in a document with a smaller doc_id.
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int = 1 << 17, sample: int = _SAMPLE, shared=None) -> DataFrame:
+    """(doc_id, version, a, b): word spans [a, b) of docs (doc_id, text) that windows cover which also start in a document with a smaller doc_id.
 
     The runs of an anchor come by ascending doc_id; of them, only the first document of each different
     window is held. An anchor of more than about `most` windows is split by the windows' hashes (see hot_anchors).
+    Windows that the automaton of `shared` holds are left out.
     """
 
     def run(batches):
@@ -222,38 +381,69 @@ def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int =
                 if begin >= 0:
                     out.append((doc, first + begin, first + len(body) // _KEPT - 1 + window))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "a", "b"])
+                doc, a, b = (np.array(c, np.int64) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array((a >> 32).astype(np.int32)), pa.array((a & _PLACE).astype(np.int32)), pa.array((b & _PLACE).astype(np.int32))], ["doc_id", "version", "a", "b"])
 
     docs = docs.where("doc_id is not null")
-    runs = anchored_windows(docs, window, gram, hot_anchors(docs, window, gram, most, sample))
-    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "doc_id long, a int, b int")
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    runs = anchored_windows(docs, window, gram, hot_anchors(docs, window, gram, most, sample), shared)
+    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "doc_id long, version int, a int, b int")
+
+
+def _held_starts(batch, held: Passages, first: np.ndarray, window: int) -> dict[int, np.ndarray]:
+    """Row of a batch (doc_id, text, ...) -> starts of its windows that the automaton holds and a document with a smaller id has too."""
+    out = {}
+    ids = batch.column(0).to_pylist()
+    for a, b, data, offsets in text_chunks(batch.column(1)):
+        words, begins = hash_words(data, offsets)
+        likely = held.likely(window_hashes(words, window))
+        for i in range(b - a):
+            some = likely[begins[i] : max(begins[i], begins[i + 1] - window + 1)]
+            if ids[a + i] is not None and some.any():
+                starts, states = held.windows(batch.column(1)[a + i].as_py(), some)
+                if len(starts := starts[first[states] < ids[a + i]]):
+                    out[a + i] = starts
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, sample: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: id_col, n_words, n_removed, kept (the words left, joined by a space).
 
     A word goes if a window of `window` words of its document covers it whose words also start in a
     document with a smaller id. Null text has no words; texts shorter than a window, and rows without
-    id, lose none and take none; rows of one id do not take words from each other.
+    id, lose none and take none; rows of one id do not take words from each other, each loses its own. An empty table gives no
+    rows; other columns, whatever their names, are left out.
+
+    The most frequent passages make a reference shard of bounded size (see frequent_passages), whose suffix
+    automaton is broadcast: documents stream past it, once for the smallest doc_id of each of its windows,
+    then to leave those windows out of the exchange, and at last to remove their spans. All other windows
+    are exchanged by anchor. Either way a window is found exactly once, whatever the shard holds.
     """
+    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    gone = repeated_spans(d, window).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    rows = d.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", F.col("gone.a").alias("a"), F.col("gone.b").alias("b"))
+    known = d.where("doc_id is not null")
+    shared = with_first_documents(known, texts, window) if (texts := frequent_passages(known, window, 4, passages, sample)) else None
+    gone = repeated_spans(d, window, shared=shared).groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    rows = d.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("gone_id")) & (version() == F.col("gone_version")), "left").select("doc_id", "text", F.col("gone.a").alias("a"), F.col("gone.b").alias("b"))
 
     def run(batches):
         import pyarrow as pa
 
+        held, first = (_passages(shared), shared.value[3]) if shared else (None, None)
         for batch in batches:
             total, removed, kept = [], [], []
-            for t, a, b in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            here = _held_starts(batch, held, first, window) if held else {}
+            for i, (t, a, b) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), strict=True)):
                 words = _WORDS.findall(t.as_py())
                 total.append(len(words))
-                if a.is_valid:
-                    # rows of one id may have texts of other lengths
+                if a.is_valid or i in here:
                     n = len(words)
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.minimum(a.values.to_numpy(), n), 1)
-                    np.add.at(edge, np.minimum(b.values.to_numpy(), n), -1)
+                    if a.is_valid:
+                        np.add.at(edge, a.values.to_numpy(), 1)
+                        np.add.at(edge, b.values.to_numpy(), -1)
+                    if i in here:
+                        np.add.at(edge, here[i], 1)
+                        np.add.at(edge, here[i] + window, -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(stay)]
                 removed.append(total[-1] - len(words))
@@ -264,5 +454,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 13 words that a document with a smaller doc_id has too; a row per row of documents, null and empty texts without words."""
     out = remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle(window: int = 13) -> str:
+    """DuckDB SQL of op10: the words of every window, and the smallest doc_id in which each starts."""
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {window - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS p FROM win JOIN firsts USING (s) WHERE f < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word.p) AS t FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p WHERE gone.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
