@@ -40,13 +40,13 @@ def _per_cell(keys: str, f: str) -> str:
     return "concat(" + ", ".join(f"transform(sequence(0L, {SIZE - 1}L), j -> {f.format(lying(keys, t))})" for t in range(TABLES)) + ")"
 
 
-def counts(keys: str) -> str:
-    """SQL: how many digests lie in each cell."""
-    return _per_cell(keys, "size({})")
+def sketch(keys: str) -> str:
+    """SQL: the cells (n, x) of an array of digests: their number and exclusive or."""
+    return _per_cell(keys, "transform(array({}), f -> named_struct('n', size(f), 'x', aggregate(f, 0L, (a, x) -> a ^ x)))[0]")
 
 
-def sketch(keys: str) -> str:
-    """SQL: the exclusive or of the digests of each cell."""
+def xors(keys: str) -> str:
+    """SQL: a sketch without the numbers."""
     return _per_cell(keys, "aggregate({}, 0L, (a, x) -> a ^ x)")
 
 
@@ -83,7 +83,7 @@ def peel_larger(a: str, b: str) -> str:
     """
     side = f"cast(ceil(sqrt((size({a}) + size({b})) / {float(LOAD)})) as int)"
     deal = lambda keys, shift, n: f"transform(sequence(0L, {n} - 1L), d -> filter({keys}, x -> pmod(shiftright(x, {shift}) & 4095L, {n}) = d))"
-    met = lambda x, y, larger: differing(x, y, subtract(sketch(x), sketch(y)), larger)
+    met = lambda x, y, larger: differing(x, y, subtract(xors(x), xors(y)), larger)
     plain = "concat(array_except(x3, y3), array_except(y3, x3))"
     third = f"flatten(zip_with({deal('x2', CHECK + 33, '8L')}, {deal('y2', CHECK + 33, '8L')}, (x3, y3) -> {met('x3', 'y3', plain)}))"
     second = f"flatten(zip_with({deal('x1', CHECK + 21, 'g')}, {deal('y1', CHECK + 21, 'g')}, (x2, y2) -> if(size(x2) + size(y2) = 0, cast(array() as array<bigint>), {met('x2', 'y2', third)})))"
@@ -101,9 +101,9 @@ def likeness(a: str, b: str, differ: str) -> Column:
     return F.when(n > 0, (n - F.size(differ)) / (n + F.size(differ))).otherwise(1.0)
 
 
-def text_form(keys: str, cells: str) -> str:
-    """SQL: a sketch as a string of count:digests for each cell."""
-    return f"array_join(zip_with({counts(keys)}, {cells}, (n, x) -> concat(hex(n), ':', hex(x))), '.')"
+def text_form(cells: str) -> str:
+    """SQL: a sketch as a string of number:digests for each cell."""
+    return f"array_join(transform({cells}, c -> concat(hex(c.n), ':', hex(c.x))), '.')"
 
 
 def _lot_of(bounds: list[int]) -> Column:
@@ -118,7 +118,7 @@ def _lot_of(bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, lots: int | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) with `next`: text and further columns of the next row by descending doc_id (nulls last, ties by the text's hash); the last one's is the first's.
+    """docs (doc_id, text) with `own`, the digests of the text, and `next`, text and digests of the next row by descending doc_id (nulls last, ties by the text's hash); the last one's is the first's.
 
     Rows are dealt to lots by quantiles of doc_id, as many as the texts' bytes ask for; a lot's first text
     is the next of the lot above it, so no task orders more than a lot.
@@ -127,14 +127,13 @@ def with_next(docs: DataFrame, lots: int | None = None) -> DataFrame:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         lots = min(MOST_LOTS, max(2 * parts(docs.sparkSession), size // LOT_BYTES))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / lots for i in range(1, lots)], max(10_000, 20 * lots))).first()[0] or []
-    carried = F.struct(*[c for c in docs.columns if c != "doc_id"])
-    d = docs.withColumn("lot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_lot_of(sorted(set(bounds))))).withColumn("h", F.xxhash64("text"))
+    d = docs.withColumn("own", F.expr(digests("text"))).withColumn("lot", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_lot_of(sorted(set(bounds))))).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lot").orderBy(F.col("doc_id").desc_nulls_last(), "h")
-    first = d.groupBy("lot").agg(F.max_by(carried, F.struct(F.coalesce("doc_id", F.lit(0)), F.bitwise_not("h"))).alias("edge"))
+    first = d.groupBy("lot").agg(F.max_by("text", F.struct(F.coalesce("doc_id", F.lit(0)), F.bitwise_not("h"))).alias("text"))
     # at most lots + 1 rows
     below = Window.orderBy("lot")
-    edges = first.select((F.coalesce(F.lead("lot").over(below), F.min("lot").over(Window.partitionBy()))).alias("edge_of"), "edge")
-    d = d.withColumn("next", F.lead(carried).over(order))
+    edges = first.select((F.coalesce(F.lead("lot").over(below), F.min("lot").over(Window.partitionBy()))).alias("edge_of"), F.struct("text", F.expr(digests("text")).alias("own")).alias("edge"))
+    d = d.withColumn("next", F.lead(F.struct("text", "own")).over(order))
     return d.join(edges.hint("shuffle_hash"), F.col("lot") == F.col("edge_of"), "left").withColumn("next", F.coalesce("next", "edge")).drop("edge", "edge_of", "h", "lot")
 
 
@@ -148,15 +147,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows; other columns, whatever their names, are left out.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    d = with_next(d.withColumn("own", F.expr(digests("text"))).withColumn("own_cells", F.expr(sketch("own"))))
+    d = with_next(d)
     half = F.floor(F.length("text") / 2).cast("int")
     d = d.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half)))
-    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "own_cells", F.col("next.own").alias("after"), F.col("next.own_cells").alias("after_cells"), F.expr(digests("edited")).alias("edit"))
-    d = d.withColumn("edit_cells", F.expr(sketch("edit")))
-    d = with_difference(d, "edited_differs", "own", "edit", "own_cells", "edit_cells")
-    d = with_difference(d, "next_differs", "own", "after", "own_cells", "after_cells")
+    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", F.col("next.own").alias("after"), F.expr(digests("edited")).alias("edit"))
+    d = d.withColumn("own_cells", F.expr(sketch("own"))).withColumn("edit_cells", F.expr(sketch("edit")))
+    d = with_difference(d, "edited_differs", "own", "edit", "own_cells.x", "edit_cells.x")
+    d = with_difference(d, "next_differs", "own", "after", "own_cells.x", xors("after"))
     return d.select(
-        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", F.expr(text_form("own", "own_cells")).alias("fingerprint"), F.expr(text_form("edit", "edit_cells")).alias("edited_fingerprint"),
+        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", F.expr(text_form("own_cells")).alias("fingerprint"), F.expr(text_form("edit_cells")).alias("edited_fingerprint"),
         likeness("own", "edit", "edited_differs").alias("near_edited"), likeness("own", "after", "next_differs").alias("near_next"), "edited_differs",
     )
 
