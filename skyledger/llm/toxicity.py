@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import read, text_of
+from skyledger.llm.common import read, settle, text_of
 
+#: Standard errors by which a word's log odds must speak for label 1.
+LEAST_Z = 2.0
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
 
@@ -44,41 +46,50 @@ class NoisyOr:
         return float(min(1.0, max(0.0, 1 - safe)))
 
 
-def train(texts: list[str], labels: list[int], prior: float, max_words: int = 4096, min_docs: int = 5, steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> NoisyOr:
-    """Fit by gradient descent on the documents' log loss, weighted so that label 1 has share `prior`.
+def telling_words(counts: Iterator[tuple[str, int, int]], n1: int, n0: int, max_words: int = 4096) -> list[str]:
+    """Of (word, documents of label 1, of label 0) those that speak for label 1, the most telling first (log odds over its standard error)."""
+    said = {}
+    for w, a, b in counts:
+        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+        z = (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        if z > LEAST_Z:
+            said[w] = z
+    return sorted(said, key=lambda w: (-said[w], w))[:max_words]
+
+
+def words_of(text: str) -> set[str]:
+    # a sentence's bounds are no word characters, so the words of a text are those of its sentences
+    return {m.group() for m in TOKEN.finditer(text.lower())}
+
 
-    Words are kept that occur in min_docs training documents at least, the most telling first (log odds
-    over its standard error). One class or no text gives a model without words, whose score is the prior.
+def known_sentences(text: str, index: dict[str, int]) -> Counter:
+    """How often each set of known words makes up the known words of a sentence."""
+    found = Counter()
+    for s in SENTENCE.finditer(text):
+        if got := {index[w] for w in TOKEN.findall(s.group().lower()) if w in index}:
+            found[tuple(sorted(got))] += 1
+    return found
+
+
+def fit(documents: list[tuple[int, Counter]], words: list[str], prior: float, steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> NoisyOr:
+    """Fit by gradient descent on the log loss of (label, known_sentences) of documents, weighted so that label 1 has share `prior`.
+
+    One class or no document gives a model without words, whose score is the prior.
     """
-    n1 = sum(labels)
-    n0 = len(labels) - n1
+    y = np.array([label for label, _ in documents], float)
+    n1 = int(y.sum())
+    n0 = len(y) - n1
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if not n1 or not n0:
         return NoisyOr({}, -30.0, prior if n1 or n0 else 0.0)
-    in1, in0 = Counter(), Counter()
-    # a sentence's bounds are no word characters, so the words of a text are those of its sentences
-    for t, y in zip(texts, labels, strict=True):
-        (in1 if y else in0).update({m.group() for m in TOKEN.finditer(t.lower())})
-    said = {}
-    for w in in1.keys() | in0.keys():
-        a, b = in1[w], in0[w]
-        if a + b >= min_docs:
-            p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-            z = (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z > 2:
-                said[w] = z
-    words = sorted(said, key=lambda w: (-said[w], w))[:max_words]
-    index = {w: i for i, w in enumerate(words)}
-    # flat rows of (sentence, word) and (sentence -> document), only sentences with a known word
-    sent, word, doc = array("q"), array("q"), array("q")
-    for d, t in enumerate(texts):
-        for s in SENTENCE.finditer(t):
-            if got := sorted({index[w] for w in TOKEN.findall(s.group().lower()) if w in index}):
-                sent.extend([len(doc)] * len(got))
-                word.extend(got)
-                doc.append(d)
-    sent, word, doc = (np.array(x, np.int64) for x in (sent, word, doc))
-    y = np.array(labels, float)
+    # flat rows of (sentence, word) and (sentence -> document, times)
+    sent, word, doc, times = array("q"), array("q"), array("q"), array("q")
+    for d, (_, sentences) in enumerate(documents):
+        for got, n in sentences.items():
+            sent.extend([len(doc)] * len(got))
+            word.extend(got)
+            doc.append(d), times.append(n)
+    sent, word, doc, times = (np.array(x, np.int64) for x in (sent, word, doc, times))
     weight = np.where(y > 0, prior / n1, (1 - prior) / n0)
     # what no word explains: the share of label 1 among documents without a known word
     bare = np.ones(len(y), bool)
@@ -90,35 +101,92 @@ def train(texts: list[str], labels: list[int], prior: float, max_words: int = 40
     for step in range(1, steps + 1):
         z = bias + np.bincount(sent, w[word], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_safe = np.log1p(-base) + np.bincount(doc, np.log(np.maximum(1e-12, 1 - p)), len(y))
+        log_safe = np.log1p(-base) + np.bincount(doc, times * np.log(np.maximum(1e-12, 1 - p)), len(y))
         pd = np.clip(1 - np.exp(log_safe), 1e-7, 1 - 1e-7)
         # d loss / d z of a sentence: p * (1 - y / pd)
-        g = (weight[doc] * (1 - y[doc] / pd[doc])) * p
+        g = times * (weight[doc] * (1 - y[doc] / pd[doc])) * p
         grad = np.append(np.bincount(word, g[sent], len(words)) + decay * w / len(words), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], float(np.clip(bias - move[-1], -12, 0))
-    return NoisyOr({x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-3}, bias, base)
+    return NoisyOr({x: float(w[i]) for i, x in enumerate(words) if abs(w[i]) > 1e-3}, bias, base)
+
+
+def train(texts: list[str], labels: list[int], prior: float, max_words: int = 4096, min_docs: int = 5, **how) -> NoisyOr:
+    """The model of a few texts at hand; words are kept that occur in min_docs of them at least."""
+    n1 = sum(labels)
+    in1, in0 = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        (in1 if y else in0).update(words_of(t))
+    words = telling_words(((w, in1[w], in0[w]) for w in in1.keys() | in0.keys() if in1[w] + in0[w] >= min_docs), n1, len(labels) - n1, max_words)
+    index = {w: i for i, w in enumerate(words)}
+    return fit([(int(y), known_sentences(t, index)) for t, y in zip(texts, labels, strict=True)], words, prior, **how)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 8192, id_col: str = "doc_id", label_col: str = "toxic", train_only: bool = True) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most `bound` labelled rows, half of each class where there are so many, in order of a hash of the id; and the share of label 1 among all of them.
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 8192, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", train_only: bool = True) -> tuple[DataFrame, float]:
+    """(l_id, text, y) of at most `bound` labelled ids, half of each class where there are so many, in order of a hash of the id; and the share of label 1 among all labelled ids.
 
-    train_only: only rows whose crc32(id as text) mod 3 is not 1.
+    train_only: only ids whose crc32(id as text) mod 3 is not 1. Ids and labels that are null are left
+    out; each id counts once for each label it has; rows of one id with different texts all train.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), (F.col(label_col) == 1).cast("int").alias("y")).distinct()
     if train_only:
         known = known.where(F.crc32(F.col("l_id").cast("string").cast("binary")) % 3 != 1)
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n = sum(c for y, c in counts.items() if y == 1), sum(counts.values())
-    some = None
-    for side in (F.col("y") == 1, F.col("y") != 1):
-        one = known.where(side).orderBy(F.xxhash64("l_id"), "l_id").limit(bound // 2)
-        some = one if some is None else some.unionByName(one)
+    n, n1 = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     # at most `bound` ids: small enough to broadcast
-    got = docs.join(F.broadcast(some), docs[id_col] == F.col("l_id")).select(F.col("l_id"), text_of().alias("text"), "y").collect()
-    got = sorted({(r.l_id, r.text, r.y) for r in got}, key=lambda r: (str(r[0]), r[1], r[2]))[: 2 * bound]
-    return [t for _, t, _ in got], [int(y == 1) for _, _, y in got], n1 / n if n else 0.0
+    one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(bound // 2)
+    some = F.broadcast(settle(one(1).unionByName(one(0))))
+    text = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text"))
+    return settle(text.join(some, F.col("d_id") == F.col("l_id")).select("l_id", "text", "y").distinct()), n1 / n if n else 0.0
+
+
+def train_on(docs: DataFrame, labels: DataFrame, max_words: int = 4096, min_docs: int = 5, **which) -> NoisyOr:
+    """The model of the labelled rows among docs (see training_rows), whose texts stay on the executors: words are counted there, and the driver gets the counts of words that occur in min_docs training texts, at most 64 * max_words of them, and the word numbers of each text's different sentences."""
+    rows, prior = training_rows(docs, labels, **which)
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+
+    def count(batches):
+        import pyarrow as pa
+
+        in1, in0 = Counter(), Counter()
+        for batch in batches:
+            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                (in1 if y else in0).update(words_of(t.as_py()))
+        words = list(in1.keys() | in0.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([in1[w] for w in words], pa.int64()), pa.array([in0[w] for w in words], pa.int64())], ["word", "a", "b"])
+
+    counts = rows.select("text", "y").mapInArrow(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # words that label 1 has in no larger share can't speak for it
+    counts = counts.where((F.col("a") + F.col("b") >= min_docs) & (F.col("a") * (n - n1) > F.col("b") * n1))
+    some = counts.orderBy(F.desc(F.col("a") / (F.col("b") + 1)), "word").limit(64 * max_words).collect()
+    words = telling_words(((r.word, r.a, r.b) for r in some), n1, n - n1, max_words)
+    index = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def known(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [known_sentences(t.as_py(), index.value) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.list_(pa.int32()))), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["l_id", "y", "sentences", "times"])
+
+    type_of = rows.schema["l_id"].dataType.simpleString()
+    got = rows.mapInArrow(known, f"l_id {type_of}, y int, sentences array<array<int>>, times array<long>").collect()
+    got.sort(key=lambda r: (str(r.l_id), r.sentences))
+    return fit([(r.y, Counter({tuple(w): n for w, n in zip(r.sentences, r.times, strict=True)})) for r in got], words, prior)
+
+
+def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold. A null text is the empty text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([shared.value.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -154,8 +222,9 @@ def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = 0.7, tex
 
 
 def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a row per row of documents, null and empty texts with the score of a text without known words. Repeated rows have equal scores."""
     docs = read(spark, sf_dir, "documents")
-    model = train(*training_rows(docs, read(spark, sf_dir, "labels")))
+    model = train_on(docs, read(spark, sf_dir, "labels"))
     scored = score_documents(docs.select("doc_id", "text"), model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.expr("transform(worst_sentences, s -> struct(s.start, s.end))").alias("worst_sentences"))
