@@ -195,8 +195,9 @@ def test_decontamination(spark, docs, none):
     mixed = other.replace("does Carol", "does Eve")
     df = spark.createDataFrame([(1, "Intro. " + QUESTION), (2, "x\n" + other + "."), (3, mixed), (4, None), (5, "")], "doc_id long, text string")
     got = {r.doc_id: (r.item_id, r.exact) for r in decontamination.find_leaks(df, bench).collect()}
-    assert got == {1: (1, True), 2: (1, False)}
-    assert [r.doc_id for r in decontamination.decontaminate(df, bench).orderBy("doc_id").collect()] == [3, 4, 5]
+    # document 3 names one person twice where the item has two: only the windows that hold both names are clean
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False)}
+    assert [r.doc_id for r in decontamination.decontaminate(df, bench).orderBy("doc_id").collect()] == [4, 5]
     assert decontamination.find_leaks(docs, bench).count() == 0 and decontamination.find_leaks(none, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
