@@ -183,8 +183,21 @@ def chunk_table(manifest: DataFrame, keep_bytes: bool = True) -> DataFrame:
 
 
 def op6_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back; a row per row of pages. Null payloads are empty ones; an empty table gives no archive and no row."""
     manifest = write_archives(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     last = chunk_table(manifest, keep_bytes=False).where("last")
     full = F.col("record_type") == "response"
     # a response's length and digest are those of the bytes read back; a revisit has none of its own
     return last.select("page_id", F.when(full, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), F.when(full, F.col("digest_so_far")).otherwise(F.col("declared_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """DuckDB SQL of op6: digests of the payloads, and the smallest page of equal ones."""
+    char = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {}) & 31 AS INT) + 1, 1)"
+    four = " || ".join(char.format(n) for n in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY n, h) AS holder FROM p),
+b AS (SELECT page_id, i, CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) AS v FROM p, range(8) r(i)),
+s AS (SELECT page_id, string_agg({four}, '' ORDER BY i) AS digest FROM b GROUP BY page_id)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to FROM d JOIN s USING (page_id)"""
