@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.operators import frames, scores, shapes, tracks
+from skyledger.operators import frames, fusion, scores, shapes, trackers, tracks
 from skyledger.plans import oracles
 from skyledger.sources.views import SOURCES
 from skyledger.streaming import edge
@@ -48,3 +48,10 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
     "persistence_gate": _VIEWS + _END + "SELECT global_id, camera_id, CASE WHEN count(*) >= 12 THEN 'pass' ELSE 'fail' END AS persistence, CASE WHEN max(confidence) IS NULL THEN 'skipped' WHEN max(confidence) >= 0.6 THEN 'pass' ELSE 'fail' END AS confidence FROM o GROUP BY 1, 2",
 }
 ORACLES |= oracles.build(_VIEWS)
+
+#: Modules that hold their queries' oracle SQL themselves, where they have any.
+MODULES = (trackers, fusion)
+for module in MODULES:
+    QUERIES |= {f.__name__: f for f in module.QUERIES}
+    ORACLES |= getattr(module, "ORACLES", {})
+NEW = [f.__name__ for m in MODULES for f in m.QUERIES]

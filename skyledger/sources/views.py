@@ -64,3 +64,25 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = e.select(F.col("vec_id").alias("id"), F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> if(embedding[i] > 0, s | shiftleft(1L, i), s))").alias("hash"))
     near = own.where("id % 20 = 0").select((F.col("id") + 10_000_000).alias("id"), F.expr("hash ^ (shiftleft(1L, cast(id div 20 % 7 as int)) - 1)").alias("hash"))
     return own.unionByName(near)
+
+
+def detection_columns(events: DataFrame) -> DataFrame:
+    """Detections on four moving objects per stream, a frame for each two hundred events. An object is seen by some of its events: boxes shake by a few pixels, scores are those of the events, vectors tell the objects apart."""
+    e = events.select("event_id", (F.col("user_id") % 8).alias("stream"), (F.col("event_id") % 4).alias("object"), F.floor(F.col("event_id") / 200).alias("frame"), "user_id")
+    # of a frame's events of one object only those of the first users count, or frames would be crowded
+    e = e.where((F.col("event_id") % 200) < 8 * 8)
+    x, y = F.col("object") * 260 + F.col("frame") * 5 % 900 + F.col("event_id") % 3, F.col("object") * 150 + F.col("frame") * 3 % 400 + F.col("event_id") % 5
+    e = e.select("stream", "frame", F.col("event_id").alias("detection"), "object", x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 48).cast("double").alias("x2"), (y + 36).cast("double").alias("y2"), (F.col("event_id") * 13 % 100 / 100.0).alias("confidence"), (F.col("event_id") % 29 == 0).cast("int").alias("class_id"))
+    return e.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == F.col("object"), 1.0).otherwise(0.05 * ((F.col("detection") + i) % 3))))
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection_columns(read(spark, sf_dir, "events"))
+
+
+def ground_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground positions of three objects per site, as four cameras see them, a frame for each sixty events; every 17th sighting has no position."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 8).alias("site"), (F.col("event_id") % 3).alias("object"), F.floor(F.col("event_id") / 60).alias("frame"))
+    x, y = F.col("object") * 100 + F.col("frame") % 500 * 0.4 + (F.col("event_id") % 7 - 3) * 0.3, F.col("object") * 50 + F.col("frame") % 500 * 0.3 + (F.col("event_id") % 5 - 2) * 0.3
+    e = e.select("site", "frame", F.col("event_id").alias("observation"), "object", (F.floor(F.col("event_id") / 3) % 4).alias("camera"), F.when(F.col("event_id") % 17 != 0, x).cast("double").alias("x"), y.cast("double").alias("y"))
+    return e.withColumn("node", F.col("camera") % 2).withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == F.col("object"), 1.0).otherwise(0.1)))
