@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import WORD, hash_words, mix, read, text_chunks, text_of, window_hashes
+from skyledger.llm.common import WORD, hash_words, mix, parts, read, text_chunks, text_of, window_hashes
 
 _WORDS = re.compile(WORD)
 
@@ -289,65 +290,191 @@ def version() -> Column:
     return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("version")
 
 
+class _Runs:
+    """Cuts texts into runs of windows that share their anchor, the gram of the smallest hash within the window. The windows of an anchor in a slot of `hot` are dealt to its parts by their own hash, each with a key of its own in place of the anchor; windows that the automaton of `shared` holds are left out."""
+
+    def __init__(self, window: int, gram: int, hot: dict[int, int] | None, shared):
+        self.window, self.gram, self.held = window, gram, _passages(shared) if shared else None
+        self.parts = np.ones(_SLOTS, np.uint64)
+        for slot, n in (hot or {}).items():
+            self.parts[slot] = n
+
+    def of(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, anchors, keys, first words, sizes, hashes of all windows) of each text with any."""
+        k = self.window
+        for a, b, data, offsets in text_chunks(column):
+            words, begins = hash_words(data, offsets)
+            grams, whole = window_hashes(words, self.gram), window_hashes(words, k)
+            likely = self.held.likely(whole) if self.held else None
+            for i in range(b - a):
+                s, e = begins[i], begins[i + 1]
+                n = e - s - k + 1
+                if n <= 0:
+                    continue
+                at = _anchors(grams, s, e, k, self.gram)
+                raw, ends = grams[s + at], np.diff(at) != 0
+                keys, of = raw, self.parts[(raw % np.uint64(_SLOTS)).astype(np.int64)]
+                if (of > 1).any():
+                    part = np.where(of > 1, whole[s : s + n] % of, np.uint64(0))
+                    ends |= np.diff(part) != 0
+                    keys = np.where(part > 0, mix(raw + part), raw)
+                sent = np.ones(n, bool)
+                if self.held and likely[s : s + n].any():
+                    sent[self.held.windows(column[a + i].as_py(), likely[s : s + n])[0]] = False
+                    ends |= np.diff(sent)
+                cut = np.concatenate(([0], np.flatnonzero(ends) + 1))
+                size, keep = np.diff(np.append(cut, n)), sent[cut]
+                if keep.any():
+                    yield a + i, raw[cut[keep]], keys[cut[keep]], cut[keep], size[keep], whole[s : s + n][sent]
+
+    def is_hot(self, raw: np.ndarray) -> np.ndarray:
+        return self.parts[(raw % np.uint64(_SLOTS)).astype(np.int64)] > 1
+
+
+_RUN_SCHEMA = "anchor long, doc_id long, first long, hashes binary"
+
+
+def _run_batch(rows: list[tuple]):
+    """Arrow rows of _RUN_SCHEMA from (doc_id, version, keys, first, sizes, hashes)."""
+    import pyarrow as pa
+
+    sizes = np.concatenate([r[4] for r in rows]) if rows else np.empty(0, np.int64)
+    joined = lambda k, t: np.concatenate([np.asarray(r[k]) for r in rows]).astype(t) if rows else np.empty(0, t)
+    firsts = np.concatenate([r[3] + (int(r[1]) << 32) for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+    docs = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[3]) for r in rows])
+    bounds = np.concatenate(([0], np.cumsum(sizes) * _KEPT)).astype(np.int32)
+    hashes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(joined(5, np.uint64).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(joined(2, np.uint64).view(np.int64)), pa.array(docs), pa.array(firsts), hashes], ["anchor", "doc_id", "first", "hashes"])
+
+
 def anchored_windows(docs: DataFrame, window: int, gram: int, hot: dict[int, int] | None = None, shared=None) -> DataFrame:
-    """(anchor, doc_id, first, hashes): first is the run's place, above it the 31 bits of its text's version; the windows of each document in runs that share their anchor, the gram of the smallest hash within the window. Equal windows have equal anchors, so only what shares an anchor need meet.
+    """(anchor, doc_id, first, hashes) of all runs of docs (see _Runs): first is the run's place, above it the 31 bits of its text's version. Equal windows have equal anchors, so only what shares an anchor need meet."""
+
+    def run(batches):
+        cut = _Runs(window, gram, hot, shared)
+        for batch in batches:
+            ids, versions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            yield _run_batch([(ids[i], versions[i], keys, first, sizes, hashes) for i, _, keys, first, sizes, hashes in cut.of(batch.column(1)) if ids[i] is not None])
+
+    return docs.select("doc_id", "text", version()).mapInArrow(run, _RUN_SCHEMA)
+
+
+def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id, text) as (bucket, doc_id, version, text). Rows without id take no part in what follows and are spread evenly."""
+    return docs.select(_bucket(buckets), "doc_id", version(), "text")
+
 
-    The windows of an anchor in a slot of `hot` are dealt to its parts by their own hash, each with a key of its own in place of the anchor.
-    Windows that the automaton of `shared` holds (see with_first_documents) are left out.
+def _bucket(buckets: int) -> Column:
+    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(buckets))
+    return F.when(F.col("doc_id").isNull(), anywhere).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(buckets))).cast("int").alias("bucket")
+
+
+def _code(raw: np.ndarray, slices: int) -> np.ndarray:
+    return ((raw % np.uint64(slices)) << np.uint64(32)) | (raw >> np.uint64(32))
+
+
+def shared_anchors(docs: DataFrame, window: int, gram: int, buckets: int, hot: dict[int, int] | None = None, shared=None, most: int = 1 << 20) -> DataFrame:
+    """docs (bucket, doc_id, version, text) -> (bucket, slice, anchors): for each bucket, those of its anchors that more than one document has. Only the texts at such anchors need be looked at again.
+
+    Anchors go out in slices by hash, 32 bits of each, packed by bucket for up to `most` of them; a slice
+    keeps those that come from two documents, or by chance seem to, which costs work but changes nothing.
+    Anchors in hot slots are not asked about: they always count as shared.
     """
-    parts = np.ones(_SLOTS, np.uint64)
-    for slot, n in (hot or {}).items():
-        parts[slot] = n
 
-    def run(batches):
+    def send(batches):
         import pyarrow as pa
 
-        held = _passages(shared) if shared else None
+        cut, held, n = _Runs(window, gram, hot, shared), [], 0
+
+        def flush():
+            bucket, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((code, bucket, code >> np.uint64(32)))
+            bucket, code = bucket[order], code[order]
+            new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])))
+            at = np.flatnonzero(new)
+            twice = np.diff(np.append(at, len(code))) > 1
+            bucket, code = bucket[at], code[at]
+            part = code >> np.uint64(32)
+            head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))))
+            ends = np.append(head[1:], len(code))
+            low = code.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(bucket[head].astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(head, ends, strict=True)], pa.binary()), pa.array([low[i:j][twice[i:j]].tobytes() for i, j in zip(head, ends, strict=True)], pa.binary())], ["slice", "bucket", "anchors", "twice"])
+
         for batch in batches:
-            ids, versions = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                words, begins = hash_words(data, offsets)
-                grams, whole = window_hashes(words, gram), window_hashes(words, window)
-                likely = held.likely(whole) if held else None
-                anchor, doc, first, sizes, hashes = [], [], [], [], []
-                for i in range(b - a):
-                    s, e = begins[i], begins[i + 1]
-                    n = e - s - window + 1
-                    if n <= 0:
-                        continue
-                    at = _anchors(grams, s, e, window, gram)
-                    keys, ends = grams[s + at], np.diff(at) != 0
-                    if hot:
-                        of = parts[(keys % np.uint64(_SLOTS)).astype(np.int64)]
-                        part = np.where(of > 1, whole[s : s + n] % of, np.uint64(0))
-                        ends |= np.diff(part) != 0
-                        keys = np.where(part > 0, mix(keys + part), keys)
-                    sent = np.ones(n, bool)
-                    if held and likely[s : s + n].any():
-                        sent[held.windows(batch.column(1)[a + i].as_py(), likely[s : s + n])[0]] = False
-                        ends |= np.diff(sent)
-                    cut = np.concatenate(([0], np.flatnonzero(ends) + 1))
-                    of_run = sent[cut]
-                    size, cut = np.diff(np.append(cut, n))[of_run], cut[of_run]
-                    anchor.append(keys[cut]), first.append(cut + (versions[a + i] << 32)), doc.append(np.full(len(cut), ids[a + i]))
-                    sizes.append(size)
-                    hashes.append(whole[s : s + n][sent])
-                if not anchor:
+            of, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, raw, *_ in cut.of(batch.column(3)):
+                if ids[i] is None:
                     continue
-                packed = np.concatenate(hashes).view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
-                bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) * _KEPT)).astype(np.int32)
-                runs = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(first).astype(np.int64)), runs], ["anchor", "doc_id", "first", "hashes"])
+                raw = np.unique(raw[~cut.is_hot(raw)])
+                held.append((np.full(len(raw), of[i], np.int64), _code(raw, buckets)))
+                n += len(raw)
+                if n >= most:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def answer(batches):
+        import pyarrow as pa
+
+        def said(rows):
+            keys = np.concatenate([np.frombuffer(k, np.uint32) for _, k, _ in rows])
+            found, n = np.unique(keys, return_counts=True)
+            common = np.union1d(found[n > 1], np.concatenate([np.frombuffer(k, np.uint32) for _, _, k in rows]))
+            out = [(b, np.intersect1d(np.frombuffer(k, np.uint32), common, assume_unique=True)) for b, k, _ in rows]
+            return [(b, here, k.tobytes()) for b, k in out if len(k)]
+
+        here, rows = None, []
+        for batch in batches:
+            out = []
+            for part, bucket, keys, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != here and rows:
+                    out += said(rows)
+                    rows = []
+                here = part
+                rows.append((bucket, keys, twice))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "slice", "anchors"])
+        if rows:
+            out = said(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "slice", "anchors"])
+
+    sent = docs.mapInArrow(send, "slice int, bucket int, anchors binary, twice binary")
+    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(answer, "bucket int, slice int, anchors binary")
 
-    return docs.select("doc_id", "text", version()).mapInArrow(run, "anchor long, doc_id long, first long, hashes binary")
 
+def shared_windows(docs: DataFrame, window: int, gram: int, buckets: int, hot: dict[int, int] | None = None, shared=None) -> DataFrame:
+    """anchored_windows of docs (bucket, doc_id, version, text) without the runs of anchors that no other document has. A bucket of documents meets its shared anchors in one task."""
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int = 1 << 17, sample: int = _SAMPLE, shared=None) -> DataFrame:
+    def run(texts, anchors):
+        import pyarrow as pa
+
+        known = np.concatenate([np.frombuffer(k.as_py(), np.uint32).astype(np.uint64) | (np.uint64(t.as_py()) << np.uint64(32)) for t, k in zip(anchors.column("slice"), anchors.column("anchors"), strict=True)] or [np.empty(0, np.uint64)])
+        known.sort()
+        cut, out = _Runs(window, gram, hot, shared), []
+        for batch in texts.to_batches():
+            ids, versions = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "version"))
+            for i, raw, keys, first, sizes, hashes in cut.of(batch.column(batch.schema.get_field_index("text"))):
+                if ids[i] is None:
+                    continue
+                keep = cut.is_hot(raw)
+                if len(known):
+                    code = _code(raw, buckets)
+                    keep |= known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+                if keep.any():
+                    out.append((ids[i], versions[i], keys[keep], first[keep], sizes[keep], hashes[np.repeat(keep, sizes)]))
+        return pa.Table.from_batches([_run_batch(out)])
+
+    asked = shared_anchors(docs, window, gram, buckets, hot, shared)
+    return docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, _RUN_SCHEMA)
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int = 1 << 17, sample: int = _SAMPLE, shared=None, buckets: int = 8) -> DataFrame:
     """(doc_id, version, a, b): word spans [a, b) of docs (doc_id, text) that windows cover which also start in a document with a smaller doc_id.
 
-    The runs of an anchor come by ascending doc_id; of them, only the first document of each different
-    window is held. An anchor of more than about `most` windows is split by the windows' hashes (see hot_anchors).
-    Windows that the automaton of `shared` holds are left out.
+    Runs whose anchor another document has too come together by anchor and ascending doc_id; of them,
+    only the first document of each different window is held. An anchor of more than about `most`
+    windows is split by the windows' hashes (see hot_anchors). Windows that the automaton of `shared`
+    holds are left out.
     """
 
     def run(batches):
@@ -384,8 +511,9 @@ def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 4, most: int =
                 doc, a, b = (np.array(c, np.int64) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array((a >> 32).astype(np.int32)), pa.array((a & _PLACE).astype(np.int32)), pa.array((b & _PLACE).astype(np.int32))], ["doc_id", "version", "a", "b"])
 
-    docs = docs.where("doc_id is not null")
-    runs = anchored_windows(docs, window, gram, hot_anchors(docs, window, gram, most, sample), shared)
+    hot = hot_anchors(docs.where("doc_id is not null").select("doc_id", "text"), window, gram, most, sample)
+    bucketed = docs if "bucket" in docs.columns else in_buckets(docs, buckets)
+    runs = shared_windows(bucketed, window, gram, buckets, hot, shared)
     return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "doc_id long, version int, a int, b int")
 
 
@@ -405,7 +533,7 @@ def _held_starts(batch, held: Passages, first: np.ndarray, window: int) -> dict[
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, sample: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, sample: int = 16, bucket_bytes: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: id_col, n_words, n_removed, kept (the words left, joined by a space).
 
     A word goes if a window of `window` words of its document covers it whose words also start in a
@@ -415,32 +543,42 @@ def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, samp
 
     The most frequent passages make a reference shard of bounded size (see frequent_passages), whose suffix
     automaton is broadcast: documents stream past it, once for the smallest doc_id of each of its windows,
-    then to leave those windows out of the exchange, and at last to remove their spans. All other windows
-    are exchanged by anchor. Either way a window is found exactly once, whatever the shard holds.
+    then to leave those windows out of the exchange, and at last to remove their spans. Of all other
+    windows, those whose anchor a second document has are exchanged by it. Texts are exchanged once, by
+    buckets of about bucket_bytes. Either way a window is found exactly once, whatever the shard holds.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     known = d.where("doc_id is not null")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a bucket is what one task holds of the texts at once
+    buckets = max(parts(d.sparkSession), size // bucket_bytes)
+    bucketed = in_buckets(d, buckets)
     shared = with_first_documents(known, texts, window) if (texts := frequent_passages(known, window, 4, passages, sample)) else None
-    gone = repeated_spans(d, window, shared=shared).groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    rows = d.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("gone_id")) & (version() == F.col("gone_version")), "left").select("doc_id", "text", F.col("gone.a").alias("a"), F.col("gone.b").alias("b"))
+    gone = repeated_spans(bucketed, window, shared=shared, buckets=buckets).select(_bucket(buckets), "doc_id", "version", "a", "b")
 
-    def run(batches):
+    def run(texts, gone):
         import pyarrow as pa
 
         held, first = (_passages(shared), shared.value[3]) if shared else (None, None)
-        for batch in batches:
+        # spans of a document lie side by side after the sort
+        who = np.stack([gone.column(c).to_numpy() for c in ("doc_id", "version")], axis=1).astype(np.int64).reshape(-1, 2)
+        order = np.lexsort((who[:, 1], who[:, 0]))
+        who, a, b = who[order], gone.column("a").to_numpy()[order], gone.column("b").to_numpy()[order]
+        heads = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]).any(axis=1)))) if len(who) else np.empty(0, np.int64)
+        span_of = {(int(who[h, 0]), int(who[h, 1])): (h, t) for h, t in zip(heads, np.append(heads, len(who))[1:], strict=True)}
+        out = []
+        for batch in texts.select(["doc_id", "text", "version"]).to_batches():
             total, removed, kept = [], [], []
             here = _held_starts(batch, held, first, window) if held else {}
-            for i, (t, a, b) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), strict=True)):
+            for i, (doc, t, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 words = _WORDS.findall(t.as_py())
                 total.append(len(words))
-                if a.is_valid or i in here:
-                    n = len(words)
-                    edge = np.zeros(n + 1, np.int64)
-                    if a.is_valid:
-                        np.add.at(edge, a.values.to_numpy(), 1)
-                        np.add.at(edge, b.values.to_numpy(), -1)
+                spans = span_of.get((doc, v))
+                if spans or i in here:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    if spans:
+                        np.add.at(edge, a[slice(*spans)], 1)
+                        np.add.at(edge, b[slice(*spans)], -1)
                     if i in here:
                         np.add.at(edge, here[i], 1)
                         np.add.at(edge, here[i] + window, -1)
@@ -448,9 +586,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, samp
                     words = [words[i] for i in np.flatnonzero(stay)]
                 removed.append(total[-1] - len(words))
                 kept.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", id_col)
+    return bucketed.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", id_col)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
