@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.operators import frames, fusion, scores, shapes, trackers, tracks
+from skyledger.operators import coverage, curation, experiments, frames, fusion, scores, shapes, trackers, tracks
 from skyledger.plans import oracles
 from skyledger.sources.views import SOURCES
 from skyledger.streaming import edge
@@ -50,8 +50,8 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
 ORACLES |= oracles.build(_VIEWS)
 
 #: Modules that hold their queries' oracle SQL themselves, where they have any.
-MODULES = (trackers, fusion)
+MODULES = (trackers, fusion, experiments, curation, coverage)
 for module in MODULES:
     QUERIES |= {f.__name__: f for f in module.QUERIES}
-    ORACLES |= getattr(module, "ORACLES", {})
-NEW = [f.__name__ for m in MODULES for f in m.QUERIES]
+    if hasattr(module, "oracles"):
+        ORACLES |= module.oracles(_VIEWS)
