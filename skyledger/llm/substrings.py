@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import WORD, hash_words, mix, parts, read, text_chunks, text_of, window_hashes
+from skyledger.llm.common import WORD, hash_words, mix, read, text_chunks, text_of, window_hashes
 
 _WORDS = re.compile(WORD)
 
@@ -421,8 +421,13 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, buckets: int, hot: d
             keys = np.concatenate([np.frombuffer(k, np.uint32) for _, k, _ in rows])
             found, n = np.unique(keys, return_counts=True)
             common = np.union1d(found[n > 1], np.concatenate([np.frombuffer(k, np.uint32) for _, _, k in rows]))
-            out = [(b, np.intersect1d(np.frombuffer(k, np.uint32), common, assume_unique=True)) for b, k, _ in rows]
-            return [(b, here, k.tobytes()) for b, k in out if len(k)]
+            of = np.repeat(np.array([b for b, _, _ in rows]), [len(k) // 4 for _, k, _ in rows])
+            hit = np.isin(keys, common)
+            # a bucket's answer is one row, however many tasks asked for it
+            both = np.unique(of[hit].astype(np.uint64) << np.uint64(32) | keys[hit].astype(np.uint64))
+            bucket, low = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            return [(int(bucket[i]), here, low[i:j].tobytes()) for i, j in zip([0, *cut], [*cut, len(both)], strict=True)] if len(both) else []
 
         here, rows = None, []
         for batch in batches:
@@ -551,7 +556,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, passages: int = 4096, samp
     known = d.where("doc_id is not null")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a bucket is what one task holds of the texts at once
-    buckets = max(parts(d.sparkSession), size // bucket_bytes)
+    buckets = max(32, size // bucket_bytes)
     bucketed = in_buckets(d, buckets)
     shared = with_first_documents(known, texts, window) if (texts := frequent_passages(known, window, 4, passages, sample)) else None
     gone = repeated_spans(bucketed, window, shared=shared, buckets=buckets).select(_bucket(buckets), "doc_id", "version", "a", "b")
