@@ -152,28 +152,14 @@ def whole_copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights
     """
     d = _placed(docs, share, most, weights, block_words, shards, seed, id_col, text_col, source_col)
     d = d.groupBy("source", "lot", "place", "doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    longest_first = F.when(F.col("doc_id").isNull(), F.lit(-64)).otherwise(-F.floor(F.log2(F.col("size") + 1)))
-    d = d.withColumn("class", longest_first).repartition("source", "lot").sortWithinPartitions("source", "lot", "class", "place", "doc_id")
-    top = int(most)
-
-    def run(batches):
-        import pyarrow as pa
-
-        key, left = None, 0
-        for batch in batches:
-            ids, sources, lots, sizes, taken = (c.to_pylist() for c in batch.columns)
-            copies = []
-            for i, source, lot, size, words in zip(ids, sources, lots, sizes, taken, strict=True):
-                if (source, lot) != key:
-                    key, left = (source, lot), 0
-                left += words
-                n = 1 if i is None or not size else min(top, max(0, (2 * left + size) // (2 * size)))
-                left -= n * size
-                copies.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copies, pa.int32())], ["doc_id", "source", "copies"])
-
-    schema = d.select("doc_id", "source").schema.add("copies", "integer")
-    return d.select("doc_id", "source", "lot", "size", "taken").mapInArrow(run, schema).withColumnsRenamed({"doc_id": id_col, "source": source_col})
+    longest_first = F.when(F.col("doc_id").isNull(), F.lit(-64)).otherwise(-F.floor(F.log2(F.col("size") + 1))).cast("int")
+    # a lot is bounded (see LOT_DOCS), so its rows may be folded as one array
+    lots = d.groupBy("source", "lot").agg(F.array_sort(F.collect_list(F.struct(longest_first.alias("class"), "place", "doc_id", "size", "taken"))).alias("rows"))
+    n = f"if(x.doc_id is null or x.size = 0, 1, cast(least({int(most)}L, greatest(0L, (2 * l + x.size) div (2 * x.size))) as int))"
+    step = f"transform(array(s.left + x.taken), l -> transform(array({n}), n -> named_struct('left', l - n * x.size, 'copies', concat(s.copies, array(n))))[0])[0]"
+    folded = F.expr(f"aggregate(rows, named_struct('left', 0L, 'copies', cast(array() as array<int>)), (s, x) -> {step}, s -> s.copies)")
+    out = lots.select("source", F.explode(F.arrays_zip(F.col("rows.doc_id").alias("doc_id"), folded.alias("copies"))).alias("r"))
+    return out.select(F.col("r.doc_id").alias(id_col), F.col("source").alias(source_col), F.col("r.copies").alias("copies"))
 
 
 def op3_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
