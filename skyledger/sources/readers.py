@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ def read_index(spark: SparkSession, root: str, dataset: str | None = None, varia
     """A frame index partitioned by dataset and variant, pruned to what is asked for; empty where nothing has been written."""
     try:
         found = spark.read.schema(INDEX_SCHEMA).parquet(root)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], INDEX_SCHEMA)
     for col, value in (("dataset", dataset), ("variant", variant)):
         if value is not None:
@@ -35,13 +39,15 @@ def _fields() -> Column:
     return F.split(F.trim(F.regexp_replace("value", r"[,\s]+", " ")), " ")
 
 
-def _sequence(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+def below(path: Column, root: str) -> Column:
+    """A file's path below the root that was read; its name alone where the root is the file or a pattern."""
+    base = quote(root.removeprefix("file://").rstrip("/"), safe="/:") + "/"
+    return F.when(path.contains(base), F.substring_index(path, base, -1)).otherwise(F.element_at(F.split(path, "/"), -1))
 
 
 def read_mot(spark: SparkSession, path: str, least: int = 6) -> DataFrame:
-    """Tracking text, commas or blanks: file, frame, id, x1, y1, w, h, conf, class, visibility. Rows of fewer fields than `least`, or with a first six that are no numbers, are left out; visibility is 1 where it is missing."""
-    d = spark.read.text(path).select(_sequence(F.col("_metadata.file_path")).alias("file"), _fields().alias("f")).where(F.size("f") >= least)
+    """Tracking text of all files below path, commas or blanks: file (its path below, so that files of one name stay apart), frame, id, x1, y1, w, h, conf, class, visibility. Rows of fewer fields than `least`, or with a first six that are no numbers, are left out; visibility is 1 where it is missing."""
+    d = spark.read.option("recursiveFileLookup", "true").text(path).select(below(F.col("_metadata.file_path"), path).alias("file"), _fields().alias("f")).where(F.size("f") >= least)
     at = lambda i, kind: F.get("f", F.lit(i)).try_cast(kind)
     d = d.select("file", at(0, "double").cast("int").alias("frame"), at(1, "double").cast("int").alias("id"), *[at(i, "double").alias(n) for i, n in ((2, "x1"), (3, "y1"), (4, "w"), (5, "h"))], F.coalesce(at(6, "double"), F.lit(1.0)).alias("conf"), F.coalesce(at(7, "double").cast("int"), F.lit(1)).alias("class"), F.coalesce(at(8, "double"), F.lit(1.0)).alias("visibility"))
     return d.dropna(subset=["frame", "id", "x1", "y1", "w", "h"])
@@ -58,8 +64,8 @@ def label_rows(spark: SparkSession, path: str, width: int, height: int, names: d
     reason: kept, degenerate (short, no number, no extent), unknown (class), out_of_frame (centre outside),
     tiny (a side under least_px after clamping). Comments begin with #.
     """
-    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    d = d.select(_sequence(F.col("path")).alias("file"), _fields().alias("f"))
+    d = spark.read.option("recursiveFileLookup", "true").text(path).select(below(F.col("_metadata.file_path"), path).alias("file"), "value").where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    d = d.select("file", _fields().alias("f"))
     for i, n in ((1, "cx"), (2, "cy"), (3, "bw"), (4, "bh")):
         d = d.withColumn(n, F.get("f", F.lit(i)).try_cast("double"))
     kind = F.get("f", F.lit(0)).try_cast("int")
@@ -90,7 +96,7 @@ def read_frame_objects(spark: SparkSession, path: str) -> DataFrame:
     Frames without an object, and objects that are marked absent, are rows with a null box. A document of
     another shape is an error.
     """
-    d = spark.read.text(path, wholetext=True).select(_sequence(F.col("_metadata.file_path")).alias("file"), F.trim("value").alias("doc"))
+    d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(below(F.col("_metadata.file_path"), path).alias("file"), F.trim("value").alias("doc"))
     obj = "array<map<string,string>>"
     nested, flat = F.from_json(F.get_json_object("doc", "$.frames"), f"map<string,{obj}>"), F.from_json("doc", f"map<string,{obj}>")
     rows = F.map_from_entries(F.transform(F.from_json("doc", f"array<struct<frame_id:string,objects:{obj}>>"), lambda r: F.struct(r["frame_id"].alias("key"), r["objects"].alias("value"))))
