@@ -98,8 +98,8 @@ QUERIES = (duplicate_components, first_fit_clusters, duplicate_report)
 
 def oracles(views: str) -> dict[str, str]:
     return {
-        "duplicate_components": """WITH RECURSIVE own AS (SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::BIGINT ELSE 1::BIGINT << i END ELSE 0::BIGINT END)), lambda s, x: xor(s, x)) AS hash FROM embeddings),
-h AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT id + 10000000, xor(hash, (1::BIGINT << (id // 20 % 7)::INT) - 1) FROM own WHERE id % 20 = 0),
+        "duplicate_components": """WITH RECURSIVE own AS (SELECT vec_id AS id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END)), lambda s, x: xor(s, x)) AS hash FROM embeddings),
+h AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT id + 10000000, xor(hash, ((1::UBIGINT << (id // 20 % 7)::UBIGINT) - 1)::UBIGINT) FROM own WHERE id % 20 = 0),
 e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 4),
 w AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON w.id = e.a),
 r AS (SELECT id, min(root) AS root FROM w GROUP BY 1)

@@ -26,10 +26,11 @@ def _id_events(d: DataFrame, *more: str) -> DataFrame:
 
 def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sequence and modality: matches, misses, false alarms, identity switches, fragmentations, MOTA, detection F1, mean track length."""
-    f = _keyed(spark, sf_dir)
-    gt = views.boxes(spark, sf_dir).select("l_orderkey", F.col("box_ord").alias("gt_id"))
-    n_pred = f.join(views.predictions(spark, sf_dir).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("p")), "l_orderkey").groupBy("sequence_id", "modality").agg(F.sum("p").alias("pred"))
-    m = gt.join(tracks.greedy_match(spark, sf_dir).select("l_orderkey", "gt_id", "pred_id"), ["l_orderkey", "gt_id"], "left").join(f, "l_orderkey")
+    f = views.key_columns(tracks.matched_frames(views.frame_boxes(spark, sf_dir)))
+    n_pred = f.groupBy("sequence_id", "modality").agg(F.sum(F.size("pred")).alias("pred"))
+    # within a sequence, frames are in the order of their key
+    own = F.expr("transform(gt, a -> named_struct('gt_id', a.box_ord, 'pred_id', try_element_at(filter(pairs, x -> x.g = a.box_ord), 1).p))")
+    m = f.select("sequence_id", "modality", F.col("l_orderkey").alias("frame_index"), F.explode(own).alias("m")).select("sequence_id", "modality", "frame_index", "m.*")
     s = _id_events(m).groupBy("sequence_id", "modality").agg(F.count(F.lit(1)).alias("gt"), F.count("pred_id").alias("tp"), F.sum("switch").alias("idsw"), F.sum("fragment").alias("fragments"), F.countDistinct("pred_id").alias("ids"))
     s = s.join(n_pred, ["sequence_id", "modality"], "left").withColumn("pred", F.coalesce("pred", F.lit(0)))
     gt_n, fp = F.col("gt"), F.col("pred") - F.col("tp")
@@ -40,7 +41,24 @@ def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus ratios from summed counts, and the sequences' mean F1."""
     s = tracking_scores(spark, sf_dir)
     t = s.groupBy().agg(*[F.sum(c).alias(c) for c in ("gt", "tp", "fp", "fn", "idsw", "fragments")], F.round(F.avg("idf1"), 9).alias("idf1_mean"))
-    return t.withColumn("mota", 1 - (F.col("fn") + F.col("fp") + F.col("idsw")) / F.col("gt"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return t.withColumns({"mota": 1 - (fn + fp + F.col("idsw")) / F.col("gt"), "idf1": 2 * tp / (2 * tp + fp + fn), "precision": tp / (tp + fp), "recall": tp / (tp + fn)})
+
+
+def hota_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the higher-order score over its ten thresholds for each sequence and modality, and over all of them."""
+    per = hota(spark, sf_dir).groupBy("sequence_id", "modality").agg(F.avg("score").alias("m"))
+    return per.rollup(F.concat_ws("/", "sequence_id", "modality").alias("g")).agg(F.round(F.avg("m"), 9).alias("hota"), F.count(F.lit(1)).alias("sequences")).withColumn("group", F.coalesce("g", F.lit("ALL"))).drop("g")
+
+
+def visible_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each sequence by visibility: a frame with a visible target counts its best overlap with any prediction (0 without one), a frame without counts 1 if nothing was predicted, else 0. Null for sequences that never show a target. Every seventh box is hidden."""
+    f = views.key_columns(views.frame_boxes(spark, sf_dir)).withColumn("seen", F.expr("filter(gt, a -> (a.box_ord + l_orderkey) % 7 <> 0 and l_orderkey % 5 <> 0)")).withColumn("pred", F.when(F.col("l_orderkey") % 4 != 0, F.col("pred")).otherwise(F.expr("slice(pred, 1, 0)")))
+    both = "greatest(least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1), 0) * greatest(least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1), 0)"
+    best = F.expr(f"array_max(flatten(transform(seen, a -> transform(pred, b -> transform(array({both}), i -> i / (a.w * a.h + b.w * b.h - i))[0]))))")
+    score = F.when(F.size("seen") > 0, F.coalesce(best, F.lit(0.0))).otherwise(F.when(F.size("pred") == 0, 1.0).otherwise(0.0))
+    s = f.groupBy("sequence_id", "modality").agg(F.avg(score).alias("a"), F.max(F.size("seen")).alias("most"))
+    return s.select("sequence_id", "modality", F.round(F.when(F.col("most") > 0, F.col("a")), 9).alias("accuracy"))
 
 
 def hota(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,19 +22,29 @@ def iou_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataF
     return _pairs(spark, sf_dir, threshold).select("l_orderkey", F.col("g_box_ord").alias("gt_id"), F.col("p_box_ord").alias("pred_id"), "iou")
 
 
-def greedy_match(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """One-to-one pairs of each frame, taken by descending overlap, ties in (gt, pred) order. A frame's pairs are one ordered array, walked once."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), F.col("g_box_ord").alias("g"), F.col("p_box_ord").alias("p"))))
+def matched_frames(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """frames with arrays gt and pred of (box_ord, x1, y1, w, h) -> adds pairs, an array of (k, g, p): one-to-one pairs by descending overlap -k, ties in (gt, pred) order.
+
+    A frame is one row, matched where it lies: its pairs of enough overlap are sorted and walked once,
+    each looked up among those taken, which are no more than the frame has boxes.
+    """
+    both = "greatest(least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1), 0) * greatest(least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1), 0)"
+    overlap = f"transform(array({both}), i -> if(a.w * a.h + b.w * b.h - i > 0, i / (a.w * a.h + b.w * b.h - i), 0D))[0]"
+    near = f"filter(flatten(transform(gt, a -> transform(pred, b -> named_struct('k', -{overlap}, 'g', a.box_ord, 'p', b.box_ord)))), x -> x.k <= -{float(threshold)}D)"
     walk = "aggregate(rows, cast(array() as array<struct<k:double,g:int,p:int>>), (s, r) -> if(exists(s, x -> x.g = r.g or x.p = r.p), s, concat(s, array(r))))"
-    frames = _pairs(spark, sf_dir, threshold).groupBy("l_orderkey").agg(rows.alias("rows"))
-    return frames.select("l_orderkey", F.explode(F.expr(walk)).alias("m")).select("l_orderkey", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
+    return frames.withColumn("rows", F.array_sort(F.expr(near))).withColumn("pairs", F.expr(walk)).drop("rows")
+
+
+def greedy_match(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """One-to-one pairs of each frame, taken by descending overlap, ties in (gt, pred) order."""
+    m = matched_frames(views.frame_boxes(spark, sf_dir), threshold).select("l_orderkey", F.explode("pairs").alias("m"))
+    return m.select("l_orderkey", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
 
 
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per sequence: matches, misses, false alarms and the ratios made from those counts."""
-    n = lambda df, name: df.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias(name))
-    f = views.frame_keys(spark, sf_dir).join(n(views.boxes(spark, sf_dir), "gt"), "l_orderkey").join(n(views.predictions(spark, sf_dir), "pred"), "l_orderkey", "left").join(n(greedy_match(spark, sf_dir), "tp"), "l_orderkey", "left")
-    s = f.groupBy("sequence_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("gt", "pred", "tp")])
+    """Per sequence: matches, misses, false alarms and the ratios made from those counts. One scan, one exchange of boxes; counts come from the matched row itself."""
+    f = views.key_columns(matched_frames(views.frame_boxes(spark, sf_dir)))
+    s = f.groupBy("sequence_id").agg(F.sum(F.size("gt")).alias("gt"), F.sum(F.size("pred")).alias("pred"), F.sum(F.size("pairs")).alias("tp"))
     return s.select("sequence_id", "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"), (F.col("tp") / F.col("pred")).alias("precision"), (F.col("tp") / F.col("gt")).alias("recall"))
 
 
@@ -67,7 +77,7 @@ def persistence_gate(spark: SparkSession, sf_dir: str, hits: int = 12, initiate:
 
 
 def gallery_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each identity's mean vector against its own vectors whose id divides by 20: the cosine, to six places. Both sides are aggregated or selected first; there are as many means as labels."""
+    """Each identity's mean vector against its own vectors whose id divides by 20: the cosine, to six places (the best over all vectors is gallery_best). Both sides are aggregated or selected first; there are as many means as labels."""
     e = views.read(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.expr("transform(array_sort(collect_list(struct(i, m))), x -> x.m)").alias("mean"))
     q = e.where("vec_id % 20 = 0").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("q"), F.col("label").alias("own"))

@@ -8,7 +8,7 @@ from skyledger.sources.views import SOURCES
 from skyledger.streaming import edge
 
 QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity, tracks.ground_positions)}
-QUERIES |= {f.__name__: f for f in (shapes.box_scalars, shapes.yolo_rows, shapes.giou_pairs, shapes.nms_survivors, shapes.tile_grid, shapes.tile_boxes, shapes.motion_compensated, shapes.geofence_hits, shapes.fence_areas, shapes.handoff_candidates, scores.tracking_scores, scores.corpus_scores, scores.hota, scores.rule_verdicts, scores.confidence_bands, scores.predicted_positions, scores.hover_spans, scores.side_percentiles, scores.sanity_checks, scores.val_fraction_needed, scores.holdout_split, scores.largest_clusters, scores.hamming_pairs, scores.cluster_sources, edge.stream_window_counts, edge.stream_edge_gate)}
+QUERIES |= {f.__name__: f for f in (shapes.box_scalars, shapes.yolo_rows, shapes.giou_pairs, shapes.nms_survivors, shapes.tile_grid, shapes.tile_boxes, shapes.motion_compensated, shapes.geofence_hits, shapes.fence_areas, shapes.handoff_candidates, scores.tracking_scores, scores.corpus_scores, scores.hota, scores.hota_overall, scores.visible_accuracy, scores.rule_verdicts, scores.confidence_bands, scores.predicted_positions, scores.hover_spans, scores.side_percentiles, scores.sanity_checks, scores.val_fraction_needed, scores.holdout_split, scores.largest_clusters, scores.hamming_pairs, scores.cluster_sources, edge.stream_window_counts, edge.stream_edge_gate)}
 
 _VIEWS = """WITH b AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS box_ord,
   l_partkey % 1800 AS x1, l_suppkey * 7 % 1000 AS y1, CAST(floor(l_quantity) AS BIGINT) + 4 AS w, CAST(l_linenumber * 5 + 3 AS BIGINT) AS h, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS class_id FROM lineitem),

@@ -46,20 +46,26 @@ n AS (SELECT *, count(*) FILTER (WHERE long) OVER (PARTITION BY dataset, modalit
 s AS (SELECT dataset, modality, sequence_id, frames, CASE WHEN long AND r <= CASE WHEN n >= 3 THEN greatest(CAST(round_even(n * 0.15, 0) AS INT), least(2, n // 2)) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM n),
 """
     dup = "c AS (SELECT min(doc_id) AS first, count(*) AS members, min(source) <> max(source) AS cross_source FROM documents GROUP BY md5(text) HAVING count(*) > 1)"
-    return {
-        "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, max(value) AS most FROM events GROUP BY 1, 2",
-        "greedy_match": greedy + end + "SELECT * FROM match",
-        "detection_counts": greedy + "c AS (SELECT sequence_id, sum((SELECT count(*) FROM b WHERE b.l_orderkey = f.l_orderkey)) AS gt, sum((SELECT count(*) FROM p WHERE p.l_orderkey = f.l_orderkey)) AS pred, sum((SELECT count(*) FROM match WHERE match.l_orderkey = f.l_orderkey)) AS tp FROM f GROUP BY 1) SELECT sequence_id, tp::BIGINT AS tp, (pred - tp)::BIGINT AS fp, (gt - tp)::BIGINT AS fn, tp / pred AS precision, tp / gt AS recall FROM c",
-        "tracking_scores": tracked + "SELECT * FROM sc",
-        "corpus_scores": tracked + "SELECT *, 1 - (fn + fp + idsw) / gt AS mota FROM (SELECT sum(gt)::BIGINT AS gt, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(idsw)::BIGINT AS idsw, sum(fragments)::BIGINT AS fragments, round(avg(idf1), 9) AS idf1_mean FROM sc)",
-        "hota": greedy + """th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold),
+    hota = greedy + """th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold),
 mt AS (SELECT sequence_id, modality, threshold, gt_id, pred_id, frame_index FROM match JOIN fr USING (l_orderkey) JOIN th ON iou >= threshold),
 sw AS (SELECT *, lag(frame_index) OVER w = frame_index - 1 AND lag(pred_id) OVER w <> pred_id AS sw FROM mt WINDOW w AS (PARTITION BY sequence_id, modality, threshold, gt_id ORDER BY frame_index)),
 ct AS (SELECT sequence_id, modality, threshold, count(*) AS tp, count(*) FILTER (WHERE sw) AS idsw FROM sw GROUP BY ALL),
 gn AS (SELECT sequence_id, modality, count(*) AS gt FROM b JOIN fr USING (l_orderkey) GROUP BY ALL),
 pn AS (SELECT sequence_id, modality, count(*) AS pred FROM p JOIN fr USING (l_orderkey) GROUP BY ALL),
 al AS (SELECT gn.sequence_id, gn.modality, th.threshold, gt, coalesce(pred, 0) AS pred, coalesce(tp, 0) AS tp, coalesce(idsw, 0) AS idsw FROM gn CROSS JOIN th LEFT JOIN pn USING (sequence_id, modality) LEFT JOIN ct ON ct.sequence_id = gn.sequence_id AND ct.modality = gn.modality AND ct.threshold = th.threshold)
-SELECT sequence_id, modality, threshold, tp, pred - tp AS fp, gt - tp AS fn, idsw, tp / greatest(gt + pred - tp, 1) AS det_a, tp / greatest(gt + idsw, 1) AS ass_a, sqrt((tp / greatest(gt + pred - tp, 1)) * (tp / greatest(gt + idsw, 1))) AS score FROM al""",
+"""
+    return {
+        "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, max(value) AS most FROM events GROUP BY 1, 2",
+        "greedy_match": greedy + end + "SELECT * FROM match",
+        "detection_counts": greedy + "c AS (SELECT sequence_id, sum((SELECT count(*) FROM b WHERE b.l_orderkey = f.l_orderkey)) AS gt, sum((SELECT count(*) FROM p WHERE p.l_orderkey = f.l_orderkey)) AS pred, sum((SELECT count(*) FROM match WHERE match.l_orderkey = f.l_orderkey)) AS tp FROM f GROUP BY 1) SELECT sequence_id, tp::BIGINT AS tp, (pred - tp)::BIGINT AS fp, (gt - tp)::BIGINT AS fn, tp / pred AS precision, tp / gt AS recall FROM c",
+        "tracking_scores": tracked + "SELECT * FROM sc",
+        "corpus_scores": tracked + "SELECT *, 1 - (fn + fp + idsw) / gt AS mota, 2 * tp / (2 * tp + fp + fn) AS idf1, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM (SELECT sum(gt)::BIGINT AS gt, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(idsw)::BIGINT AS idsw, sum(fragments)::BIGINT AS fragments, round(avg(idf1), 9) AS idf1_mean FROM sc)",
+        "hota": hota + """SELECT sequence_id, modality, threshold, tp, pred - tp AS fp, gt - tp AS fn, idsw, tp / greatest(gt + pred - tp, 1) AS det_a, tp / greatest(gt + idsw, 1) AS ass_a, sqrt((tp / greatest(gt + pred - tp, 1)) * (tp / greatest(gt + idsw, 1))) AS score FROM al""",
+        "hota_overall": hota + """, sx AS (SELECT sequence_id || '/' || modality AS g, avg(sqrt((tp / greatest(gt + pred - tp, 1)) * (tp / greatest(gt + idsw, 1)))) AS m FROM al GROUP BY 1) SELECT coalesce(g, 'ALL') AS "group", round(avg(m), 9) AS hota, count(*) AS sequences FROM sx GROUP BY ROLLUP (g)""",
+        "visible_accuracy": views + """sn AS (SELECT * FROM b WHERE (box_ord + l_orderkey) % 7 <> 0 AND l_orderkey % 5 <> 0), pv AS (SELECT * FROM p WHERE l_orderkey % 4 <> 0),
+io AS (SELECT l_orderkey, max(i / (a - i)) AS best FROM (SELECT l_orderkey, x.w * x.h + y.w * y.h AS a, greatest(least(x.x1 + x.w, y.x1 + y.w) - greatest(x.x1, y.x1), 0) * greatest(least(x.y1 + x.h, y.y1 + y.h) - greatest(x.y1, y.y1), 0) AS i FROM sn x JOIN pv y USING (l_orderkey)) GROUP BY 1),
+fs AS (SELECT f.*, (SELECT count(*) FROM sn WHERE sn.l_orderkey = f.l_orderkey) AS n, (SELECT count(*) FROM pv WHERE pv.l_orderkey = f.l_orderkey) AS m FROM f)
+SELECT sequence_id, modality, round(CASE WHEN max(n) > 0 THEN avg(CASE WHEN n > 0 THEN coalesce(best, 0) WHEN m = 0 THEN 1 ELSE 0 END) END, 9) AS accuracy FROM fs LEFT JOIN io USING (l_orderkey) GROUP BY 1, 2""",
         "box_scalars": views + end + f"SELECT l_orderkey, box_ord, x1 + w / 2 AS cx, y1 + h / 2 AS cy, w * h AS area, w / h AS aspect, least(x1 + w, {WIDTH}) AS x2, least(y1 + h, {HEIGHT}) AS y2, round({scale}, 9) AS scale, CASE WHEN {scale} < 0.33 THEN 'small' WHEN {scale} < 0.66 THEN 'medium' ELSE 'large' END AS band, ({_case([(f'w * h >= {a * a}', str(t)) for a, t in OVERLAP_BY_SIDE[:-1]], str(OVERLAP_BY_SIDE[-1][1]))})::DOUBLE AS overlap FROM b",
         "yolo_rows": views + f"e AS (SELECT *, least(x1 + w, {WIDTH}) AS x2, least(y1 + h, {HEIGHT}) AS y2 FROM b) SELECT l_orderkey, box_ord, class_id, (x1 + x2) / {2 * WIDTH} AS cx, (y1 + y2) / {2 * HEIGHT} AS cy, (x2 - x1) / {WIDTH} AS bw, (y2 - y1) / {HEIGHT} AS bh FROM e WHERE x2 - x1 >= 2 AND y2 - y1 >= 2",
         "giou_pairs": views + "e AS (SELECT b.l_orderkey, b.box_ord, b.w * b.h + p.w * p.h AS areas, greatest(least(b.x1 + b.w, p.x1 + p.w) - greatest(b.x1, p.x1), 0) * greatest(least(b.y1 + b.h, p.y1 + p.h) - greatest(b.y1, p.y1), 0) AS i, (greatest(b.x1 + b.w, p.x1 + p.w) - least(b.x1, p.x1)) * (greatest(b.y1 + b.h, p.y1 + p.h) - least(b.y1, p.y1)) AS enc FROM b JOIN p USING (l_orderkey, box_ord)) SELECT l_orderkey, box_ord, i / (areas - i) - (enc - (areas - i)) / enc AS giou FROM e",

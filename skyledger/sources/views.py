@@ -36,6 +36,22 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_columns(frames: DataFrame) -> DataFrame:
+    """frames with sequence, modality and source of their l_orderkey."""
+    seq = F.col("l_orderkey") % 97
+    return frames.withColumns({"sequence_id": F.concat(F.lit("seq_"), seq.cast("string")), "modality": F.when(F.col("l_orderkey") % 3 == 0, "ir").otherwise("rgb"), "dataset": F.concat(F.lit("src"), (seq % 8).cast("string"))})
+
+
+def frame_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per frame with its boxes and its predictions as arrays of (box_ord, x1, y1, w, h): one scan and one exchange give both."""
+    raw = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")))
+    f = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(raw.alias("raw"))
+    box = "named_struct('box_ord', i + 1, 'x1', r.l_partkey % 1800, 'y1', r.l_suppkey * 7 % 1000, 'w', floor(r.l_quantity) + 4, 'h', cast(r.l_linenumber * 5 + 3 as bigint))"
+    f = f.select("l_orderkey", F.expr(f"transform(raw, (r, i) -> {box})").alias("gt"))
+    moved = "named_struct('box_ord', b.box_ord, 'x1', b.x1 + b.box_ord % 3, 'y1', b.y1, 'w', b.w, 'h', b.h)"
+    return f.withColumn("pred", F.expr(f"transform(filter(gt, b -> (l_orderkey + b.box_ord) % 11 <> 0), b -> {moved})"))
+
+
 def frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per frame with its sequence, modality and source; frame_index counts within sequence and modality."""
     f = read(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
