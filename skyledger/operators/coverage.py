@@ -252,7 +252,55 @@ def zone_shares(spark: SparkSession, sf_dir: str, steps: int = 64) -> DataFrame:
     return hits.join(total, "zone").select("zone", "camera", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
-QUERIES = (camera_views, cameras_seeing, camera_overlaps, zone_watch, node_totals, view_exits, handover_candidates, angles, crossings, zone_shares)
+def _sweep() -> Column:
+    """How far a camera is from looking at (tx, ty, height): the angles' root of squares, not wrapped."""
+    return F.sqrt(F.pow(F.col("yaw_to") - F.col("yaw"), 2) + F.pow(F.col("elevation") - F.col("pitch"), 2))
+
+
+def search_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras to search a lost target with: those that see its place, by distance and 25 m for each second they need to turn there, ties by number."""
+    v = with_views(cameras(spark, sf_dir)).where("enabled").drop("declared")
+    hits = _near(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty").where(holds("polygon", "tx", "ty"))
+    dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
+    turn = F.abs((F.degrees(F.atan2(dx, dy)) + 540) % 360 - 180 - F.col("yaw")) / SPEED[0] + SETTLE
+    score = F.round(F.sqrt(dx * dx + dy * dy) + F.when(F.col("moves"), turn).otherwise(0.0) * 25, 6)
+    w = Window.partitionBy("target").orderBy("score", "camera")
+    return hits.withColumn("score", score).select("target", "camera", "score", F.row_number().over(w).alias("rank"))
+
+
+def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each zone that no camera sees: the moving camera that has the least way to turn to its middle, less twice the zone's priority; null where none can."""
+    unseen = zone_watch(spark, sf_dir).where("state <> 'seen'").select("zone")
+    order = spark.createDataFrame([(z[0], float(i + 1)) for i, z in enumerate(ZONES)], "zone string, priority double")
+    middle = _samples(_zones(spark)).where("sample = 0").join(unseen, "zone").join(order, "zone")
+    p = _poses(middle.crossJoin(F.broadcast(cameras(spark, sf_dir).where("moves"))), F.lit(0.0)).where("within").withColumn("score", F.round(_sweep() - 2 * F.col("priority"), 6))
+    best = p.groupBy("zone").agg(F.min(F.struct("score", "camera")).alias("b"))
+    return unseen.join(best, "zone", "left").select("zone", "b.camera", "b.score")
+
+
+def preposition_tasks(spark: SparkSession, sf_dir: str, lead_s: float = 3.0) -> DataFrame:
+    """For each moving target, the moving camera within reach of where it will be in lead_s seconds that is to be turned there: the least of distance and 25 m for each degree to turn."""
+    t = targets(spark, sf_dir).where("vx <> 0 or vy <> 0").select("target", (F.col("tx") + F.col("vx") * lead_s).alias("tx"), (F.col("ty") + F.col("vy") * lead_s).alias("ty"), "tz")
+    p = _poses(_near(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty"), F.col("tz")).where((F.col("distance") <= CELL) & F.col("within"))
+    return p.withColumn("score", F.round(F.col("distance") + 25 * _sweep(), 5)).groupBy("target").agg(F.min(F.struct("score", "camera")).alias("b")).select("target", "b.camera", "b.score")
+
+
+def turn_schedule(spark: SparkSession, sf_dir: str, frame: int = 10) -> DataFrame:
+    """What becomes of the best hand-over of each target in one cycle: tasks go by priority and then urgency; a camera takes the first that is due, later ones wait while it settles, and none may take it from a zone that it alone watches, unless it sees the target already."""
+    best = handover_candidates(spark, sf_dir).where("rank = 1").select("target", "camera")
+    tasks = best.withColumn("priority", F.col("target") % 4).withColumn("urgency", F.col("target") % 10).withColumn("due", F.col("target") % 3 * 5)
+    cams = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "enabled", "polygon")
+    middle = _samples(_zones(spark)).where("sample = 0")
+    watch = _near(middle, cams.where("enabled"), "tx", "ty").where(holds("polygon", "tx", "ty")).select("zone", "camera")
+    alone = watch.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("camera").alias("camera")).where("n = 1").select("camera").distinct().withColumn("alone", F.lit(True))
+    j = tasks.join(targets(spark, sf_dir).select("target", "tx", "ty"), "target").join(cams.select("camera", "polygon"), "camera").join(F.broadcast(alone), "camera", "left")
+    j = j.withColumn("sees", F.expr(holds("polygon", "tx", "ty"))).withColumn("vetoed", F.coalesce("alone", F.lit(False)) & ~F.col("sees")).withColumn("ready", (F.col("due") <= frame) & ~F.col("vetoed"))
+    w = Window.partitionBy("camera", "ready").orderBy("priority", F.desc("urgency"), "target")
+    state = F.when(F.col("due") > frame, "deferred").when(F.col("vetoed"), "rejected").when(F.row_number().over(w) == 1, "assigned").otherwise("deferred")
+    return j.select("target", "camera", "priority", "urgency", state.alias("state"), F.when(state == "assigned", F.lit(frame + max(1, int(SETTLE * (1 + OVERSHOOT) * 30)))).alias("settled_at"))
+
+
+QUERIES = (search_order, restore_tasks, preposition_tasks, turn_schedule, camera_views, cameras_seeing, camera_overlaps, zone_watch, node_totals, view_exits, handover_candidates, angles, crossings, zone_shares)
 
 
 def oracles(views: str) -> dict[str, str]:
@@ -287,7 +335,23 @@ po AS (SELECT *, one OR two AS within, CASE WHEN one THEN pm ELSE elevation END
     angle = lambda px: round(math.degrees(2 * math.atan(px / (2 * FOCAL))), 6)
     cross = "(ax * ay2 - ax2 * ay)"
     den = "((tx - (tx + 60 * vx)) * (0.0 - 1000.0) - (ty - (ty + 60 * vy)) * (500.0 - 450.0))"
+    watch = polygons + zone + f"""zs AS (SELECT zone, bb.camera FROM sm JOIN bb ON tx BETWEEN x1 AND x2 AND ty BETWEEN y1 AND y2 JOIN cam ON cam.camera = bb.camera AND enabled JOIN ed ON ed.camera = bb.camera GROUP BY zone, bb.camera, tx, ty HAVING {inside('tx', 'ty')}),
+"""
+    sweep = "sqrt(pow(yaw_to - yaw, 2) + pow(elevation - pitch, 2))"
+    orders = ", ".join(f"('{z[0]}', {i + 1})" for i, z in enumerate(ZONES))
+    rated = "mv AS (SELECT tgt.*, cam.* FROM tgt, cam WHERE moves AND enabled AND sqrt((tx - x) * (tx - x) + (ty - y) * (ty - y)) <= 250),\n" + poses("mv", "tz") + f"""sl AS (SELECT *, sqrt(pow(abs((yaw_to - yaw + 900) % 360 - 180) / {SPEED[0]}, 2) + pow(abs(pitch_to - pitch) / {SPEED[1]}, 2)) + {SETTLE} * {1 + OVERSHOOT}::DOUBLE AS acquire_s FROM po WHERE within),
+tk AS (SELECT target, camera, tx, ty, target % 4 AS priority, target % 10 AS urgency, target % 3 * 5 AS due FROM sl QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(least(1, 0.5 / (1 + distance / 150) + 0.5 / (1 + acquire_s / 2)), 9) DESC, camera) = 1),
+"""
     return {
+        "search_order": polygons + seen + f"sc AS (SELECT see.target, see.camera, round(sqrt(pow(tx - x, 2) + pow(ty - y, 2)) + 25 * CASE WHEN moves THEN abs((degrees(atan2(tx - x, ty - y)) + 540) % 360 - 180 - yaw) / {SPEED[0]} + {SETTLE} ELSE 0 END, 6) AS score FROM see JOIN tgt USING (target) JOIN cam ON cam.camera = see.camera WHERE enabled) SELECT *, row_number() OVER (PARTITION BY target ORDER BY score, camera)::INT AS rank FROM sc",
+        "restore_tasks": watch + "mv AS (SELECT zone, avg(zx) AS tx, avg(zy) AS ty, cam.* FROM zc, cam WHERE moves AND zone NOT IN (SELECT zone FROM zs) GROUP BY ALL),\n" + poses("mv", "0") + f"sc AS (SELECT zone, camera, round({sweep} - 2 * o.p, 6) AS score FROM po JOIN (VALUES {orders}) o(z, p) ON o.z = zone WHERE within), un AS (SELECT DISTINCT zone FROM zc WHERE zone NOT IN (SELECT zone FROM zs)) SELECT un.zone, (SELECT arg_min(camera, score * 1000 + camera / 1000.0) FROM sc WHERE sc.zone = un.zone) AS camera, (SELECT min(score) FROM sc WHERE sc.zone = un.zone) AS score FROM un",
+        "preposition_tasks": cams + "ld AS (SELECT target, tx + vx * 3 AS tx, ty + vy * 3 AS ty, tz FROM tgt WHERE vx <> 0 OR vy <> 0), mv AS (SELECT ld.*, cam.* FROM ld, cam WHERE moves AND enabled AND sqrt((tx - x) * (tx - x) + (ty - y) * (ty - y)) <= 320),\n" + poses("mv", "tz") + f"sc AS (SELECT target, camera, round(distance + 25 * {sweep}, 5) AS score FROM po WHERE within) SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY target ORDER BY score, camera) = 1",
+        "turn_schedule": watch.replace("FROM sm JOIN bb", "FROM (SELECT zone, avg(zx) AS tx, avg(zy) AS ty FROM zc GROUP BY 1) JOIN bb") + rated + f"""al AS (SELECT DISTINCT camera FROM (SELECT zone, min(camera) AS camera FROM zs GROUP BY 1 HAVING count(*) = 1)),
+st AS (SELECT tk.target, tk.camera FROM tk JOIN ed USING (camera) GROUP BY tk.target, tk.camera, tx, ty HAVING {inside('tx', 'ty')}),
+vt AS (SELECT tk.*, tk.camera IN (SELECT camera FROM al) AND (tk.target, tk.camera) NOT IN (SELECT (target, camera) FROM st) AS vetoed FROM tk),
+r AS (SELECT *, due <= 10 AND NOT vetoed AS ready FROM vt), n AS (SELECT *, row_number() OVER (PARTITION BY camera, ready ORDER BY priority, urgency DESC, target) AS n FROM r),
+z AS (SELECT *, CASE WHEN due > 10 THEN 'deferred' WHEN vetoed THEN 'rejected' WHEN n = 1 THEN 'assigned' ELSE 'deferred' END AS state FROM n)
+SELECT target, camera, priority, urgency, state, CASE WHEN state = 'assigned' THEN {10 + max(1, int(SETTLE * (1 + OVERSHOOT) * 30))} END AS settled_at FROM z""",
         "camera_views": polygons + f"""nx AS (SELECT camera, gx AS ax, gy AS ay, coalesce(lead(gx) OVER o, first_value(gx) OVER o) AS ax2, coalesce(lead(gy) OVER o, first_value(gy) OVER o) AS ay2 FROM pt WINDOW o AS (PARTITION BY camera ORDER BY i)),
 ar AS (SELECT camera, sum({cross}) AS tw, sum((ax + ax2) * {cross}) AS sx, sum((ay + ay2) * {cross}) AS sy, avg(ax) AS mx, avg(ay) AS my FROM nx GROUP BY 1),
 hz AS (SELECT camera, coalesce(declared, CASE WHEN abs(sin(radians(pitch - 90))) < 1e-6 THEN 0.5 ELSE least(1, greatest(0, ({h / 2} + {f}::DOUBLE * (-cos(radians(pitch - 90)) / sin(radians(pitch - 90)))) / {h})) END) AS horizon FROM cam)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.operators import alerts, clusters, conversions, coverage, curation, experiments, frames, fusion, scores, shapes, trackers, tracks
+from skyledger.operators import alerts, clusters, conversions, coordination, coverage, curation, experiments, frames, fusion, scores, shapes, trackers, tracks
 from skyledger.plans import oracles
 from skyledger.sources.views import SOURCES
 from skyledger.streaming import edge
@@ -50,7 +50,7 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
 ORACLES |= oracles.build(_VIEWS)
 
 #: Modules that hold their queries' oracle SQL themselves, where they have any.
-MODULES = (trackers, fusion, experiments, curation, coverage, alerts, conversions, clusters)
+MODULES = (trackers, fusion, experiments, curation, coverage, alerts, conversions, clusters, coordination)
 for module in MODULES:
     QUERIES |= {f.__name__: f for f in module.QUERIES}
     if hasattr(module, "oracles"):
