@@ -129,7 +129,19 @@ def gallery_best(spark: SparkSession, sf_dir: str, block: int = 1024) -> DataFra
     return best.select("vec_id", F.greatest(F.col("s"), F.lit(0.0)).alias("cosine"), "other")
 
 
-QUERIES = (box_forms, letterboxed, expected_boxes, track_labels, tile_costs, neighbour_cosines, gallery_best)
+def dense_suppression(spark: SparkSession, sf_dir: str, threshold: float = 0.7, most: int = 3) -> DataFrame:
+    """Detections of crowded frames left by descending confidence, each suppressing those it overlaps by more than the threshold, then the `most` surest of them; and how many were suppressed."""
+    row = F.struct((-F.col("confidence")).alias("k"), F.col("detection").alias("id"), "x1", "y1", "x2", "y2")
+    both = "greatest(least(x.x2, r.x2) - greatest(x.x1, r.x1), 0D) * greatest(least(x.y2, r.y2) - greatest(x.y1, r.y1), 0D)"
+    area = lambda v: f"({v}.x2 - {v}.x1) * ({v}.y2 - {v}.y1)"
+    over = f"transform(array({both}), i -> i > {threshold}D * ({area('x')} + {area('r')} - i))[0]"
+    kind = "array<struct<k:double,id:bigint,x1:double,y1:double,x2:double,y2:double>>"
+    f = views.detections(spark, sf_dir).groupBy("stream", "frame").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    f = f.withColumn("kept", F.expr(f"aggregate(rows, cast(array() as {kind}), (s, r) -> if(exists(s, x -> {over}), s, concat(s, array(r))))"))
+    return f.select("stream", "frame", (F.size("rows") - F.size("kept")).alias("suppressed"), F.array_join(F.transform(F.slice("kept", 1, most), lambda x: x["id"]), ",").alias("survivors"))
+
+
+QUERIES = (dense_suppression, box_forms, letterboxed, expected_boxes, track_labels, tile_costs, neighbour_cosines, gallery_best)
 
 
 def oracles(views: str) -> dict[str, str]:
@@ -137,6 +149,10 @@ def oracles(views: str) -> dict[str, str]:
     stride = 480
     starts = lambda e: f"(SELECT count(DISTINCT s) FROM (SELECT s FROM range(0, greatest(0, {e} - 640) + 1, {stride}) r(s) WHERE s = 0 OR s = greatest(0, {e} - 640) OR greatest(0, {e} - 640) - s >= 80 UNION ALL SELECT greatest(0, {e} - 640)))"
     return {
+        "dense_suppression": """WITH d AS (SELECT event_id AS id, user_id % 8 AS stream, event_id // 200 AS frame, (event_id % 4 * 260 + event_id // 200 * 5 % 900 + event_id % 3)::DOUBLE AS x1, (event_id % 4 * 150 + event_id // 200 * 3 % 400 + event_id % 5)::DOUBLE AS y1, (event_id * 13 % 100) / 100.0::DOUBLE AS confidence FROM events WHERE event_id % 200 < 64),
+r AS (SELECT stream, frame, count(*) AS n, list(struct_pack(k := -confidence, id := id, x1 := x1, y1 := y1) ORDER BY -confidence, id) AS r FROM d GROUP BY 1, 2),
+k AS (SELECT stream, frame, n, list_reduce(list_prepend(CAST([] AS STRUCT(k DOUBLE, id BIGINT, x1 DOUBLE, y1 DOUBLE)[]), list_transform(r, lambda x: [x])), lambda s, x: CASE WHEN len(list_filter(s, lambda y: greatest(48 - abs(y.x1 - x[1].x1), 0) * greatest(36 - abs(y.y1 - x[1].y1), 0) > 0.7::DOUBLE * (2 * 48 * 36 - greatest(48 - abs(y.x1 - x[1].x1), 0) * greatest(36 - abs(y.y1 - x[1].y1), 0)))) > 0 THEN s ELSE list_concat(s, x) END) AS kept FROM r)
+SELECT stream, frame, (n - len(kept))::INT AS suppressed, array_to_string(list_transform(kept[1:3], lambda x: x.id), ',') AS survivors FROM k""",
         "box_forms": views + f"""c AS (SELECT l_orderkey, box_ord, x1 - 100.0::DOUBLE AS x1, y1 - 100.0::DOUBLE AS y1, x1 - 100 + w::DOUBLE AS x2, y1 - 100 + h::DOUBLE AS y2 FROM b),
 k AS (SELECT *, least({WIDTH}, greatest(0, x1)) AS kx1, least({HEIGHT}, greatest(0, y1)) AS ky1, greatest(least({WIDTH}, greatest(0, x1)), least({WIDTH}, greatest(0, x2))) AS kx2, greatest(least({HEIGHT}, greatest(0, y1)), least({HEIGHT}, greatest(0, y2))) AS ky2 FROM c)
 SELECT l_orderkey, box_ord, x2, y2, round((x1 + x2) / 2 / {WIDTH}, 9) AS cx, round((y1 + y2) / 2 / {HEIGHT}, 9) AS cy, round((x2 - x1) / {WIDTH}, 9) AS rw, round((y2 - y1) / {HEIGHT}, 9) AS rh, round(x1, 6) AS back_x1, kx1, ky1, kx2, ky2, (kx2 - kx1) * (ky2 - ky1) AS cut_area, 400 BETWEEN x1 AND x2 AND 300 BETWEEN y1 AND y2 AS holds_point FROM k""",
