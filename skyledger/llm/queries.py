@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import fingerprints, licenses, secrets, substrings, warc
+from skyledger.llm import fingerprints, licenses, secrets, sharding, substrings, warc
 from skyledger.llm.decontamination import op7_template_decontamination
 from skyledger.llm.fingerprints import op5_invertible_fingerprints
 from skyledger.llm.licenses import op9_license_digest_scan
@@ -31,6 +31,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_histogram_sharding": sharding.oracle(),
     "op5_invertible_fingerprints": fingerprints.oracle(),
     "op6_chunked_warc": warc.oracle(),
     "op8_trigram_secret_scan": secrets.oracle(),
