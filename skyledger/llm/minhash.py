@@ -175,7 +175,8 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, p: NearParams, lot: int = 512
     to_b = pairs.join(spread, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), F.lit(1).alias("role"))
     to_a = spread.select(F.col("a").alias("id"), "a", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(0).alias("role"))
     sent = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(to_a.unionByName(to_b).hint("shuffle_hash"), "id")
-    near = sent.select("a", "lot", "role", "id", "text").repartition("a", "lot").sortWithinPartitions("a", "lot", "role")
+    # by the text's hash too: of several texts of one id the same one is held in every run
+    near = sent.select("a", "lot", "role", "id", "text", F.xxhash64("text").alias("h")).repartition("a", "lot").sortWithinPartitions("a", "lot", "role", "id", "h")
 
     def run(batches):
         import pyarrow as pa
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
     wanted = settle(rest.select(F.col("id").alias("w")).distinct())
     if wanted.limit(1).count():
         texts = texts_of(d, wanted).select("doc_id", text_of().alias("text"), F.md5(text_of().cast("binary")).alias("digest"))
-        texts = settle(texts.join(classes.join(wanted, F.col("id") == F.col("w"), "left_semi"), "digest").where("doc_id = id").select("id", "text", "bands", "sample"))
+        texts = settle(texts.join(classes.where("bands is not null").join(wanted, F.col("id") == F.col("w"), "left_semi"), "digest").where("doc_id = id").select("id", "text", "bands", "sample"))
         links = settle(links.unionByName(links_within(rest, texts, idf, p)))
         found = components(links)
     whole = sigs.join(classes.select("digest", "id"), "digest").join(found, "id", "left")
@@ -344,4 +345,5 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), id_col: str =
 
 
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document; a row per row of documents. Null and empty texts are one class; other columns are left out."""
     return near_duplicates(read(spark, sf_dir, "documents"))
