@@ -52,7 +52,8 @@ def test_large_sources(spark):
         long, short = size % blocks, size // blocks
         want = 0
         start = lambda i: i * short + min(i, long)  # noqa: B023, E731
-        for i in range(max(0, begin // (short + 1) - 2), (begin + n) // short + 2):
+        at = begin // (short + 1) if begin < long * (short + 1) else long + (begin - long * (short + 1)) // short
+        for i in range(max(0, at - 2), at + n // short + 3):
             words = min(begin + n, start(i + 1)) - max(begin, start(i))
             seat = (i * (2_147_483_647 % blocks) + 12345) % blocks
             want += max(0, words) * sum(seat + c * blocks < q["a"].quota for c in range(2)) if i < blocks else 0
