@@ -101,3 +101,23 @@ def test_gaps_are_misses(spark):
     assert [(r.frame, r.track_id, r.misses, r.detection) for r in sorted(got, key=lambda r: r.frame) if r.stream == 1] == [(0, 1, 0, 0), (1, 1, 1, None), (2, 1, 2, None), (3, 1, 0, 1)]
     assert {r.track_id for r in got if r.stream == 2} == {1, 2}
     assert trackers.track(df.limit(0)).count() == 0
+
+
+def test_replay_against_a_plain_loop(spark):
+    """A switch after a miss is none; frames of one side alone count."""
+    box = lambda x: (float(x), 0.0, x + 10.0, 10.0)
+    truth = [(1, f, 0, *box(0)) for f in range(6)] + [(1, f, 1, *box(50)) for f in range(3)]
+    found = [(1, 0, 7, *box(0)), (1, 1, 8, *box(1)), (1, 3, 9, *box(0)), (1, 4, 9, *box(0)), (1, 9, 9, *box(0)), (1, 0, 5, *box(50)), (1, 1, 5, *box(90)), (2, 0, 1, *box(0))]
+    schema = "stream long, frame long, {} long, x1 double, y1 double, x2 double, y2 double"
+    got = {r.stream: r for r in trackers.replayed(spark.createDataFrame(truth, schema.format("object")), spark.createDataFrame(found, schema.format("track_id"))).collect()}
+    r = got[1]
+    # object 0: 7, 8, -, 9, 9, -; object 1: 5, -, -
+    assert (r.gt, r.pred, r.tp, r.idsw, r.fragments) == (9, 7, 5, 1, 3)
+    assert r.mota == pytest.approx(1 - (4 + 2 + 1) / 9) and r.idf1 == pytest.approx(10 / 16)
+    assert (got[2].gt, got[2].pred, got[2].mota, got[2].idsw) == (0, 1, 0.0, 0)
+
+
+def test_replay_scores(spark):
+    got = {r.tracker: r for r in trackers.replay_scores(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(trackers.KINDS) and len({r.gt for r in got.values()}) == 1
+    assert got["bytetrack"].tp >= got["sort"].tp > 0
