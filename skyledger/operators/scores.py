@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -165,15 +167,17 @@ def largest_clusters(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFram
 
 
 def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
-    """Pairs of 64-bit sign hashes that differ in at most four bits. Of five bands of bits one at least is equal in such a pair, so only rows that share a band meet; a pair counts in its first one, and equal hashes are one node."""
+    """Pairs of 64-bit sign hashes that differ in at most four bits. Of six bands of bits at least two are equal in such a pair, so only rows that share two bands, some 21 bits, meet; a pair counts in its first two, and equal hashes are one node."""
     nodes = views.hashes(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id"))
-    cut = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-    bands = F.array(*[F.shiftright("hash", a).bitwiseAND((1 << n) - 1) for a, n in cut])
-    d = nodes.select("id", "hash", F.posexplode(bands).alias("band", "part"))
-    o = d.select(F.col("id").alias("other"), F.col("hash").alias("o_hash"), "band", "part")
+    cut = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+    band = lambda c, k: F.shiftright(c, cut[k][0]).bitwiseAND((1 << cut[k][1]) - 1)
+    twos = list(combinations(range(len(cut)), 2))
+    parts = F.array(*[F.shiftleft(band("hash", i), 11).bitwiseOR(band("hash", j)) for i, j in twos])
+    d = nodes.select("id", "hash", F.posexplode(parts).alias("two", "part"))
+    o = d.select(F.col("id").alias("other"), F.col("hash").alias("o_hash"), "two", "part")
     x = F.col("hash").bitwiseXOR(F.col("o_hash"))
-    earlier = F.coalesce(*[F.when(F.shiftright(x, a).bitwiseAND((1 << n) - 1) == 0, F.lit(i)) for i, (a, n) in enumerate(cut)])
-    near = d.join(o, ["band", "part"]).where((F.col("id") < F.col("other")) & (F.bit_count(x) <= most) & (earlier == F.col("band")))
+    earlier = F.coalesce(*[F.when((band(x, i) == 0) & (band(x, j) == 0), F.lit(k)) for k, (i, j) in enumerate(twos)])
+    near = d.join(o, ["two", "part"]).where((F.col("id") < F.col("other")) & (F.bit_count(x) <= most) & (earlier == F.col("two")))
     return near.select(F.col("id").alias("a"), F.col("other").alias("b"), F.bit_count(x).alias("distance"))
 
 
