@@ -97,7 +97,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, least: int = 1
 
         out = out.mapInArrow(run, schema)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    kept = F.expr("filter(transform(w, (x, i) -> if(array_contains(gone, i), null, x)), x -> x is not null)")
+    kept = F.expr("if(size(w) = 0, w, transform(array_except(sequence(0, size(w) - 1), gone), i -> w[i]))")
     return out.withColumn("w", words).select(F.col("doc_id").alias(id_col), F.array_join(kept, " ").alias("text"), F.size("w").cast("long").alias("n_words"), F.size("gone").cast("long").alias("n_removed"))
 
 
