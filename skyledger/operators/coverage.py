@@ -60,7 +60,7 @@ def view_polygon(plane: float = 0.0) -> Column:
 
 
 def holds(polygon: str, x: str, y: str) -> str:
-    """SQL: whether a polygon of structs holds a point, by the parity of the edges that a ray to the right crosses; the divisor is kept from zero as the reference values have it."""
+    """SQL: whether a polygon of structs holds a point, by the parity of the edges that a ray to the right crosses; the divisor is kept from zero."""
     a, b = f"{polygon}[e]", f"{polygon}[(e + size({polygon}) - 1) % size({polygon})]"
     crossing = f"({a}.y > {y}) <> ({b}.y > {y}) and {x} < {a}.x + ({y} - {a}.y) / (({b}.y - {a}.y) + 1e-9D) * ({b}.x - {a}.x)"
     return f"(size({polygon}) >= 3 and aggregate(sequence(0, size({polygon}) - 1), 0, (s, e) -> s + if({crossing}, 1, 0)) % 2 = 1)"
