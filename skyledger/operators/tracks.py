@@ -36,9 +36,11 @@ def matched_frames(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def greedy_match(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """One-to-one pairs of each frame, taken by descending overlap, ties in (gt, pred) order."""
-    m = matched_frames(views.frame_boxes(spark, sf_dir), threshold).select("l_orderkey", F.explode("pairs").alias("m"))
-    return m.select("l_orderkey", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
+    """One-to-one pairs of each frame, taken by descending overlap, ties in (gt, pred) order. Pairs come from the join, whose overlaps are compiled, and a frame's pairs are one ordered array, walked once."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), F.col("g_box_ord").alias("g"), F.col("p_box_ord").alias("p"))))
+    walk = "aggregate(rows, cast(array() as array<struct<k:double,g:int,p:int>>), (s, r) -> if(exists(s, x -> x.g = r.g or x.p = r.p), s, concat(s, array(r))))"
+    frames = _pairs(spark, sf_dir, threshold).groupBy("l_orderkey").agg(rows.alias("rows"))
+    return frames.select("l_orderkey", F.explode(F.expr(walk)).alias("m")).select("l_orderkey", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
 
 
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
