@@ -186,11 +186,11 @@ def _align(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(out)
 
 
-def shared_lines(own: np.ndarray, sizes: np.ndarray, candidates: np.ndarray, others: list[np.ndarray], copy: float) -> list[int]:
-    """Positions of own's candidate lines that a partner holds too, in the same order. The first partner that isn't a copy counts: in a copy the shared lines have `copy` or more of the candidates' characters, and say nothing."""
-    weight = int(sizes[candidates].sum())
+def shared_lines(own: np.ndarray, sizes: np.ndarray, others: list[np.ndarray], copy: float) -> list[int]:
+    """Positions of own's lines that a partner holds too, in the same order. The first partner that isn't a copy counts: with a copy the shared lines have `copy` or more of the characters, and say nothing."""
+    weight = int(sizes.sum())
     for other in others:
-        found = [i for i in common(own, other) if candidates[i]]
+        found = common(own, other)
         if found and sizes[found].sum() >= copy * weight:
             continue
         return found
@@ -206,17 +206,22 @@ def _line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def candidates(lines: list[tuple[str, int]]) -> list[int]:
+    """Positions of the lines that differencing decides on: all outside an article element."""
+    return [i for i, (_, where) in enumerate(lines) if where < ARTICLE]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's lines as hashes, lengths and whether differencing decides on them."""
+    """Hashes and lengths of a page's candidate lines."""
     for batch in batches:
-        hashes, sizes, open_ = [], [], []
+        hashes, sizes = [], []
         for page in batch.column("_html").to_pylist():
             lines = lines_of(page)
-            hashes.append([_line_hash(t) for t, _ in lines])
-            sizes.append([len(t) for t, _ in lines])
-            open_.append([w < ARTICLE for _, w in lines])
+            own = [lines[i][0] for i in candidates(lines)]
+            hashes.append([_line_hash(t) for t in own])
+            sizes.append([len(t) for t in own])
         keep = [n for n in batch.schema.names if n != "_html"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(open_, pa.list_(pa.bool_()))], names=[*keep, "hashes", "sizes", "open"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=[*keep, "hashes", "sizes"])
 
 
 def _prefix(a: Column, b: Column) -> Column:
@@ -225,7 +230,7 @@ def _prefix(a: Column, b: Column) -> Column:
 
 
 def differences(pages: DataFrame, copy: float = 0.8) -> DataFrame:
-    """pages (_rid, _url, _html) -> (rid, drop), a row per different page: positions of the lines that the page shares with its partner; pages that share none are left out.
+    """pages (_rid, _url, _html) -> (rid, drop), a row per different page: places, among the page's candidate lines, of those that it shares with its partner; pages that share none are left out.
 
     Within a host pages stand in the order of their paths (segment by segment, then the rest of the URL,
     then the digest). A page's partner is its neighbour in that order with the longer common path, the
@@ -235,7 +240,7 @@ def differences(pages: DataFrame, copy: float = 0.8) -> DataFrame:
     """
     part = lambda i: F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(.*)$", i)
     keyed = pages.select("_rid", F.coalesce(F.lower(part(1)), F.lit("")).alias("host"), F.split(F.coalesce(part(2), F.lit("")), "/").alias("path"), F.coalesce(part(3), F.lit("")).alias("rest"), text_of("_html").alias("_html"))
-    lines = keyed.mapInArrow(_digests, "_rid string, host string, path array<string>, rest string, hashes array<bigint>, sizes array<int>, open array<boolean>")
+    lines = keyed.mapInArrow(_digests, "_rid string, host string, path array<string>, rest string, hashes array<bigint>, sizes array<int>")
     at = F.monotonically_increasing_id()
     # settled, or a second sort might number the rows otherwise
     order = settle(lines.dropDuplicates(["_rid"]).orderBy("host", "path", "rest", "_rid").withColumns({"part": F.shiftright(at, 33), "row": at.bitwiseAND((1 << 33) - 1)}))
@@ -247,14 +252,14 @@ def differences(pages: DataFrame, copy: float = 0.8) -> DataFrame:
     near = lambda name: F.when(F.col(f"{name}_host") == F.col("host"), _prefix(F.col("path"), F.col(f"{name}_path"))).otherwise(F.lit(-1))
     other = lambda name: F.when(near(name) >= 0, F.col(name))
     first = near("before") >= near("after")
-    pairs = both.select("_rid", "hashes", "sizes", "open", F.when(first, other("before")).otherwise(other("after")).alias("nearest"), F.when(first, other("after")).otherwise(other("before")).alias("next"))
+    pairs = both.select("_rid", "hashes", "sizes", F.when(first, other("before")).otherwise(other("after")).alias("nearest"), F.when(first, other("after")).otherwise(other("before")).alias("next"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, drops = [], []
             for r in batch.to_pylist():
                 others = [np.array(o, np.int64) for o in (r["nearest"], r["next"]) if o]
-                found = shared_lines(np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64), np.array(r["open"], bool), others, copy) if others and r["hashes"] else []
+                found = shared_lines(np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64), others, copy) if others and r["hashes"] else []
                 if found:
                     rids.append(r["_rid"])
                     drops.append(found)
@@ -287,8 +292,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 top = max((w for _, w in lines), default=OPEN)
                 at = [i for i, (_, w) in enumerate(lines) if w == top and w != CHROME]
                 kept.append([lines[i][0] for i in at])
-                # null where no line is left to the partner page
-                places.append(None if top == ARTICLE else at)
+                # a kept line's place among the candidates; null where no line is left to the partner page
+                place = {i: n for n, i in enumerate(candidates(lines))}
+                places.append(None if top == ARTICLE else [place[i] for i in at])
                 declared.append(sum(w == CHROME for _, w in lines))
             own = [batch.column(n) for n in ("_id", "_url", "_rid")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(declared, pa.int64())], names=["_id", "_url", "_rid", "kept", "places", "n_declared"])
