@@ -42,6 +42,42 @@ def assign(cost: np.ndarray, most: float = 0.8) -> list[tuple[int, int, float]]:
     return sorted(((r, k, float(cost[r, k])) for r, k in pairs if cost[r, k] <= most), key=lambda p: p[2])
 
 
+def assign_batch(n: np.ndarray, left: np.ndarray, m: np.ndarray, right: np.ndarray, most: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Assignments of many frames at once, of boxes by overlap: n and m are the frames' numbers of boxes, left and right their boxes end to end. Gives positions in left and right, and costs of 1 - overlap up to `most`.
+
+    What doesn't overlap costs 1 however it is paired, so only overlapping pairs can lower a total, and
+    a pair that overlaps nothing else is taken as it stands. Only boxes that compete with others are
+    assigned frame by frame.
+    """
+    frame_l, frame_r = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    first = np.cumsum(m) - m
+    wide = m[frame_l]
+    i = np.repeat(np.arange(len(left)), wide)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(first[frame_l], wide)
+    side = np.clip(np.minimum(left[i, 2:], right[j, 2:]) - np.maximum(left[i, :2], right[j, :2]), 0, None)
+    both = side[:, 0] * side[:, 1]
+    hit = both > 0
+    i, j, both = i[hit], j[hit], both[hit]
+    area = lambda x: np.prod(np.clip(x[:, 2:] - x[:, :2], 0, None), axis=1)
+    union = area(left)[i] + area(right)[j] - both
+    cost = 1 - np.where(union > 1e-9, both / np.maximum(union, 1e-9), 0.0)
+    alone = (np.bincount(i, minlength=len(left))[i] == 1) & (np.bincount(j, minlength=len(right))[j] == 1)
+    keep = [np.flatnonzero(alone)]
+    rest = np.flatnonzero(~alone)
+    frames = frame_l[i[rest]]
+    for f in np.unique(frames):
+        at = rest[frames == f]
+        rows, columns = np.unique(i[at]), np.unique(j[at])
+        grid, place = np.ones((len(rows), len(columns))), {}
+        for k, r, c in zip(at, np.searchsorted(rows, i[at]), np.searchsorted(columns, j[at]), strict=True):
+            grid[r, c] = cost[k]
+            place[r, c] = k
+        keep.append(np.array([place[r, c] for r, c, _ in assign(grid, most) if (r, c) in place], np.int64))
+    found = np.concatenate(keep)
+    found = found[cost[found] <= most]
+    return i[found], j[found], cost[found]
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of boxes (x1, y1, x2, y2), one row per box of a; 0 where the union is empty."""
     a, b = np.asarray(a, float).reshape(-1, 1, 4), np.asarray(b, float).reshape(1, -1, 4)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skyledger.operators.assignment import assign, carried, cosines, fused, overlaps
+from skyledger.operators.assignment import assign, assign_batch, carried, cosines, fused, overlaps
+from skyledger.operators.passes import Pass, run_batch, run_stream
 from skyledger.operators.tracks import matched_frames
 from skyledger.sources import views
 
@@ -57,7 +55,19 @@ class Track:
 
     @property
     def expected(self) -> np.ndarray:
-        return self.box + np.tile(self.velocity, 2)
+        return self.box + self.velocity[[0, 1, 0, 1]]
+
+    def plain(self) -> list:
+        """The track as plain values."""
+        vector = lambda v: None if v is None else list(map(float, v))
+        return [self.id, self.box.tolist(), self.velocity.tolist(), self.shown.tolist(), self.hits, self.misses, self.first, self.last, self.state, self.confidence, self.mean, vector(self.vector), [vector(g) for g in self.gallery], self.detection]
+
+    @classmethod
+    def of(cls, values: list) -> Track:
+        t = cls.__new__(cls)
+        t.id, box, velocity, shown, t.hits, t.misses, t.first, t.last, t.state, t.confidence, t.mean, t.vector, t.gallery, t.detection = values
+        t.box, t.velocity, t.shown = (np.array(v, float) for v in (box, velocity, shown))
+        return t
 
     def see(self, frame: int, box, confidence: float, vector, detection, shift, min_hits: int) -> None:
         """Fold in a matched detection; shift is how far the camera moved the image."""
@@ -147,52 +157,81 @@ COLUMNS = "frame long, track_id long, detection long, x1 double, y1 double, x2 d
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def advance(tracker: FrameTracker, rows: pd.DataFrame, last: int | None = None) -> Iterator[tuple]:
-    """Rows of a stream through its tracker, frame by frame; frames without detections in between count as misses, until no track is left alive."""
-    has = {c: c in rows for c in ("class_id", "embedding", "motion")}
-    for frame, some in rows.sort_values(["frame", "detection"], kind="stable").groupby("frame", sort=True):
-        frame = int(frame)
-        gap = range(last + 1, frame) if last is not None else ()
-        for empty in gap:
-            if not tracker.step(empty, [], []):
-                break
-            yield from tracker.rows(empty)
-        motion = next((m for m in some.motion if m is not None), None) if has["motion"] else None
-        tracker.step(frame, some[["x1", "y1", "x2", "y2"]].to_numpy(), some.confidence.to_numpy(), some.class_id.to_numpy() if has["class_id"] else None, list(some.embedding) if has["embedding"] else None, some.detection.tolist(), None if motion is None else np.asarray(list(motion), float).reshape(3, 3))
-        yield from tracker.rows(frame)
-        last = frame
+class StreamTracker:
+    """A FrameTracker as a frame-clocked machine: frames without detections in between count as misses, until no track is left alive. An idle stream keeps the number of its next track alone."""
+
+    def __init__(self, params: TrackerParams, has: tuple[str, ...] = ()):
+        self.tracker, self.last, self.has = FrameTracker(params), None, has
+
+    def step(self, frame: int, rows: dict) -> list[tuple]:
+        boxes = np.stack([np.asarray(rows[c], float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+        motion = next((m for m in rows["motion"] if m is not None), None) if "motion" in self.has else None
+        self.tracker.step(
+            frame, boxes, rows["confidence"], rows["class_id"] if "class_id" in self.has else None, list(rows["embedding"]) if "embedding" in self.has else None, np.asarray(rows["detection"]).tolist(),
+            None if motion is None else np.asarray(list(motion), float).reshape(3, 3),
+        )
+        self.last = frame
+        return self.tracker.rows(frame)
+
+    def wake(self, frame: int) -> list[tuple]:
+        out = []
+        while self.tracker.tracks and self.last < frame:
+            self.last += 1
+            self.tracker.step(self.last, [], [])
+            out += self.tracker.rows(self.last)
+        return out
+
+    def due(self) -> int | None:
+        return max(t.last for t in self.tracker.tracks) + self.tracker.p.max_age + 1 if self.tracker.tracks else None
+
+    def state(self) -> dict:
+        if not self.tracker.tracks:
+            return {"next": self.tracker.next}
+        return {"next": self.tracker.next, "last": self.last, "tracks": [t.plain() for t in self.tracker.tracks]}
+
+    def restore(self, state: dict) -> None:
+        self.tracker.next, self.last = state["next"], state.get("last")
+        self.tracker.tracks = [Track.of(t) for t in state.get("tracks", [])]
+
+
+class Trackers:
+    """Several trackers over the same rows, in one pass; what comes out begins with the tracker's kind."""
+
+    def __init__(self, kinds: tuple[str, ...], has: tuple[str, ...]):
+        self.of = {k: StreamTracker(TrackerParams(k), has) for k in kinds}
+
+    def step(self, frame: int, rows: dict) -> list[tuple]:
+        return [(k, *r) for k, t in self.of.items() for r in t.step(frame, rows)]
+
+    def wake(self, frame: int) -> list[tuple]:
+        return [(k, *r) for k, t in self.of.items() for r in t.wake(frame)]
+
 
+def _pass(detections: DataFrame, key: str, make, out: str) -> Pass:
+    has = tuple(c for c in ("class_id", "embedding", "motion") if c in detections.columns)
+    return Pass(lambda: make(has), ("detection", "x1", "y1", "x2", "y2", "confidence", *has), ("detection",), out, key)
 
-def track(detections: DataFrame, params: TrackerParams = TrackerParams(), key: str = "stream") -> DataFrame:
+
+def track(detections: DataFrame, params: TrackerParams = TrackerParams(), key: str = "stream", until: int | None = None) -> DataFrame:
     """detections (key, frame, detection, x1, y1, x2, y2, confidence[, class_id, embedding, motion]) -> the tracks that live after each frame (see COLUMNS), box as last measured, shown_* smoothed, detection null where carried on without one.
 
     motion: nine numbers, the homography from the frame before, on any row of a frame. Nulls in the other
-    columns are not allowed. A stream without detections has no rows.
+    columns are not allowed, but for rows without frame, which are left out. A stream without detections
+    has no rows. until: the frame where the clock stands at the end; without it tracks are carried on only
+    up to the last frame with detections. A task holds its stream's live tracks and one Arrow batch of
+    detections, whatever the stream's length.
     """
-    key_type = detections.schema[key].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(advance(FrameTracker(params), rows)), columns=NAMES)
-        out.insert(0, key, rows[key].iloc[0])
-        return out
+    return run_batch(detections, _pass(detections, key, lambda has: StreamTracker(params, has), COLUMNS), until)
 
-    return detections.groupBy(key).applyInPandas(run, f"{key} {key_type}, {COLUMNS}")
 
+def track_stream(detections: DataFrame, params: TrackerParams = TrackerParams(), key: str = "stream", lateness: int = 0) -> DataFrame:
+    """track() over a stream of detections, with until at the watermark: a frame is stepped once the latest frame of any stream is more than `lateness` frames ahead of it (see passes.run_stream). Until then its detections may come in any micro-batch and order; later ones are dropped and counted. Rows of tracks that are carried on come out with their stream's next frame, or when the last of them dies, and their state goes with them."""
+    return run_stream(detections, _pass(detections, key, lambda has: StreamTracker(params, has), COLUMNS), lateness)
 
-def track_stream(detections: DataFrame, params: TrackerParams = TrackerParams(), key: str = "stream") -> DataFrame:
-    """track() over a stream of detections, whose state between micro-batches is the stream's live tracks. Frames that come after a later one of their stream has been seen are left out."""
-    key_type = detections.schema[key].dataType.simpleString()
 
-    def run(of, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (FrameTracker(params), None)
-        rows = pd.concat(list(batches))
-        rows = rows if last is None else rows[rows.frame > last]
-        out = pd.DataFrame(list(advance(tracker, rows, last)), columns=NAMES)
-        out.insert(0, key, of[0])
-        state.update((pickle.dumps((tracker, last if rows.empty else int(rows.frame.max()))),))
-        yield out
-
-    return detections.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {COLUMNS}", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+def track_all(detections: DataFrame, kinds: tuple[str, ...] = KINDS, key: str = "stream") -> DataFrame:
+    """track() by each of the trackers, in one pass over the detections: key, tracker and COLUMNS."""
+    return run_batch(detections, _pass(detections, key, lambda has: Trackers(kinds, has), f"tracker string, {COLUMNS}"))
 
 
 # --- queries ----------------------------------------------------------------------------------
@@ -233,12 +272,9 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracker_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tracker over the same detections, against the true objects of the adapter: most pure tracks first."""
     d = views.detections(spark, sf_dir)
-    out = None
-    for kind in KINDS:
-        hits = track(d, TrackerParams(kind)).where("detection is not null").join(d.select("stream", "detection", "object"), ["stream", "detection"])
-        per = hits.groupBy("stream", "track_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("object").alias("objects"))
-        one = per.agg(F.lit(kind).alias("tracker"), F.count(F.lit(1)).alias("tracks"), F.sum("n").alias("matched"), F.count_if(F.col("objects") == 1).alias("pure"))
-        out = one if out is None else out.unionByName(one)
+    hits = track_all(d).where("detection is not null").select("stream", "tracker", "track_id", "detection").join(d.select("stream", "detection", "object"), ["stream", "detection"])
+    per = hits.groupBy("tracker", "stream", "track_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("object").alias("objects"))
+    out = per.groupBy("tracker").agg(F.count(F.lit(1)).alias("tracks"), F.sum("n").alias("matched"), F.count_if(F.col("objects") == 1).alias("pure"))
     return out.orderBy(F.desc(F.col("pure") / F.col("tracks")), "tracker")
 
 
@@ -259,29 +295,42 @@ def replayed(truth: DataFrame, tracks: DataFrame, key: str = "stream", threshold
 
 
 def replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tracker's scores over all streams, the best MOTA first; a stream's detections are made once and go through every tracker."""
+    """Each tracker's scores over all streams, the best MOTA first; a stream's detections are made once and go through every tracker in one pass."""
     d = views.detections(spark, sf_dir)
     truth = d.where("class_id = 0").groupBy("stream", "frame", "object").agg(*[F.min_by(c, "detection").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    out = None
-    for kind in KINDS:
-        per = replayed(truth, track(d, TrackerParams(kind)))
-        one = per.agg(F.lit(kind).alias("tracker"), *[F.sum(c).alias(c) for c in ("gt", "pred", "tp", "idsw", "fragments")])
-        out = one if out is None else out.unionByName(one)
+    # a tracker's run over a stream is a key of its own
+    run = lambda df: df.withColumn("run", F.struct("tracker", "stream")).drop("tracker", "stream")
+    truth = run(truth.withColumn("tracker", F.explode(F.array(*map(F.lit, KINDS)))))
+    per = replayed(truth, run(track_all(d)), "run")
+    out = per.groupBy(F.col("run.tracker").alias("tracker")).agg(*[F.sum(c).alias(c) for c in ("gt", "pred", "tp", "idsw", "fragments")])
     return out.withColumn("mota", F.round(1 - (F.col("gt") - F.col("tp") + F.col("pred") - F.col("tp") + F.col("idsw")) / F.col("gt"), 9)).orderBy(F.desc("mota"), "tracker")
 
 
-def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes and predictions of each frame, one to one with the least total of 1 - overlap."""
-    side = lambda df, role: df.select("l_orderkey", F.lit(role).alias("role"), "box_ord", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "w", "h")])
+def assigned(frames: DataFrame, most: float = 0.8) -> DataFrame:
+    """frames (l_orderkey, gt, pred: arrays of box_ord, x1, y1, w, h) -> (l_orderkey, gt_id, pred_id, cost): each frame's boxes and predictions one to one with the least total of 1 - overlap, pairs above `most` left out after the fact. A frame without either side has no rows."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(x2=rows.x1 + rows.w, y2=rows.y1 + rows.h).sort_values(["role", "box_ord"])
-        g, p = rows[rows.role == 0], rows[rows.role == 1]
-        pairs = assign(1 - overlaps(g[["x1", "y1", "x2", "y2"]].to_numpy(), p[["x1", "y1", "x2", "y2"]].to_numpy())) if len(g) and len(p) else []
-        return pd.DataFrame([(rows.l_orderkey.iloc[0], g.box_ord.iloc[i], p.box_ord.iloc[j], round(c, 9)) for i, j, c in pairs], columns=["l_orderkey", "gt_id", "pred_id", "cost"])
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("l_orderkey").to_numpy(zero_copy_only=False)
+            sides = []
+            for name in ("gt", "pred"):
+                column = batch.column(name)
+                box = column.flatten()
+                get = lambda c, box=box: box.field(c).to_numpy(zero_copy_only=False)
+                x, y, w, h = (get(c).astype(float) for c in ("x1", "y1", "w", "h"))
+                sizes = np.diff(column.offsets.to_numpy())
+                sides.append((sizes, get("box_ord"), np.stack([x, y, x + w, y + h], axis=1)))
+            (n, gt, left), (m, pred, right) = sides
+            i, j, cost = assign_batch(n, left, m, right, most)
+            frame = np.repeat(np.arange(len(n)), n)[i]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[frame], pa.int64()), pa.array(gt[i], pa.int32()), pa.array(pred[j], pa.int32()), pa.array(np.round(cost, 9))], names=["l_orderkey", "gt_id", "pred_id", "cost"])
 
-    both = side(views.boxes(spark, sf_dir), 0).unionByName(side(views.predictions(spark, sf_dir), 1))
-    return both.groupBy("l_orderkey").applyInPandas(run, "l_orderkey long, gt_id int, pred_id int, cost double")
+    return frames.select("l_orderkey", "gt", "pred").mapInArrow(run, "l_orderkey long, gt_id int, pred_id int, cost double")
+
+
+def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and predictions of each frame, one to one with the least total of 1 - overlap."""
+    return assigned(views.frame_boxes(spark, sf_dir))
 
 
 def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,4 +341,17 @@ def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream", "frame", "track_id", "detection", "state", "hits")
 
 
+def oracles(_views: str) -> dict[str, str]:
+    """SQL of the assignment: from box to box, each takes one of the predictions left that it overlaps, or none; the largest total overlap is the least total cost."""
+    return {
+        "optimal_assignment": f"""WITH RECURSIVE {_views[5:]} e AS (SELECT l_orderkey, gt_id, pred_id, i / (areas - i)::DOUBLE AS v FROM pairs WHERE i > 0),
+k AS MATERIALIZED (SELECT l_orderkey, gt_id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY gt_id) AS n, list(DISTINCT {{'p': pred_id, 'v': v}}) AS o FROM e GROUP BY 1, 2),
+w AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS n, 0.0::DOUBLE AS total, 0::BIGINT AS used, [] :: STRUCT(g INT, p INT, v DOUBLE)[] AS picks FROM k
+  UNION ALL SELECT w.l_orderkey, w.n + 1, total + coalesce(x.o.v, 0), used | (CASE WHEN x.o IS NULL THEN 0 ELSE 1 << x.o.p END)::BIGINT, CASE WHEN x.o IS NULL THEN picks ELSE list_append(picks, {{'g': gt_id, 'p': x.o.p, 'v': x.o.v}}) END
+  FROM w JOIN k ON k.l_orderkey = w.l_orderkey AND k.n = w.n + 1, LATERAL (SELECT unnest(list_append(k.o, NULL)) AS o) x WHERE x.o IS NULL OR used & (1 << x.o.p)::BIGINT = 0),
+b1 AS (SELECT l_orderkey, arg_max(picks, (n, round(total, 9))) AS picks FROM w GROUP BY 1)
+SELECT l_orderkey, p.g AS gt_id, p.p AS pred_id, round(1 - p.v, 9) AS cost FROM (SELECT l_orderkey, unnest(picks) AS p FROM b1) WHERE 1 - p.v <= 0.8"""
+    }
+
+
 QUERIES = (replay_scores, sort_tracks, measured_box_tracks, bytetrack_tracks, botsort_tracks, stage_counts, tracker_comparison, optimal_assignment, stream_tracks)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skyledger.operators.passes import stateful
 from skyledger.sources.sinks import scratch
 
 #: Fixed values of the edge gate.
@@ -81,8 +82,14 @@ def drain(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame
         # a batch that is run again replaces its own rows
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    stateful(spark)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     # without any event there is no folder of rows
     rows = spark.read.schema(schema).parquet(f"{path}/rows") if q.lastProgress is not None and any_rows(spark, f"{path}/rows") else spark.createDataFrame([], schema)

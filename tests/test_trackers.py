@@ -119,5 +119,5 @@ def test_replay_against_a_plain_loop(spark):
 
 def test_replay_scores(spark):
     got = {r.tracker: r for r in trackers.replay_scores(spark, "/root/testdata/sf0.001").collect()}
-    assert set(got) == set(trackers.KINDS) and len({r.gt for r in got.values()}) == 1
+    assert set(got) == set(trackers.KINDS) and len({r.gt for r in got.values()}) == 1 and all(r.mota <= 1 for r in got.values())
     assert got["bytetrack"].tp >= got["sort"].tp > 0
