@@ -268,7 +268,7 @@ def differences(pages: DataFrame, copy: float = 0.8) -> DataFrame:
     return pairs.mapInArrow(run, "rid string, drop array<int>")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Every row of pages once: id_col, url_col, text, n_chars (code points), n_shared (lines that its partner page holds too), n_declared (lines that markup says are none of the article).
 
     The main text is what stands in the page's article elements, else in its main element, else in its
@@ -279,10 +279,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     boilerplate. Blocks are joined by one newline. Null html is empty, an empty page gives an empty text,
     a null or relative URL belongs to the host of no name; repeated rows have equal results, as they count
     once in the pairing. An empty table gives no rows; further columns are ignored.
+
+    The lines to drop are broadcast if all of them together, by count, need no more than broadcast_bytes,
+    so that no text is exchanged; beyond that pages and lines meet by an exchange.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     rows = rows.withColumn("_rid", row_digest(F.col("_id"), F.col("_url"), F.col("_html")))
-    drop = differences(rows.select("_rid", "_url", "_html"), copy)
+    drop = settle(differences(rows.select("_rid", "_url", "_html"), copy))
+    needed = drop.agg(F.coalesce(F.sum(F.size("drop") * 4 + 96), F.lit(0))).first()[0]
+    drop = F.broadcast(drop) if needed <= broadcast_bytes else drop
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,6 +55,13 @@ def test_differencing_without_articles(spark):
     assert got[12, "https://b.org/news/1"].text == "Home | News\nSign of the Times\nalone on its host\nAll rights reserved"
 
 
+def test_both_ways_to_meet_the_lines(spark):
+    rows = [(i, f"https://a.org/{i}", page(f"<div>Home</div><div>Story {i}</div>")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = ({tuple(r) for r in extraction.extract(df, broadcast_bytes=n).collect()} for n in (0, 1 << 20))
+    assert one == other and {r[2] for r in one} == {f"Story {i}" for i in range(6)}
+
+
 def test_copies_are_no_boilerplate(spark):
     """Copies of a page on its host, and an article's lines that other pages repeat, stay."""
     same = page("<div>Menu</div><div>One long story that is told on two pages of a host, word for word.</div><div>And its end.</div>")
