@@ -126,13 +126,33 @@ KNOWN_TEXTS = (
     *((name, said.format(full, id=name)) for full, name in _NAMES for said in _SAID),
 )
 
-_COPYRIGHT = r"(?m)^[^\n]{0,8}(copyright|\(c\)|©)[^\n]*\d{4}[^\n]*$"
+#: Licence, digest of the normal form of its whole text as published, and that form's first word.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "86d31cdc53c9d9a4bf6464a04a69ceb2", "apache"),
+    ("Artistic-1.0-Perl", "7cd9999cbad5593263e76db78f83bc02", "the"),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23", "creative"),
+    ("GFDL-1.2-or-later", "2cd96a94fc2fab8b4027b7dbb54190ce", "gnu"),
+    ("GFDL-1.3-or-later", "af5b6afcc2ea219cffa3313d6b9b65cb", "gnu"),
+    ("GPL-1.0-only", "081e351ecf920032feb41e6e5dc87bce", "gnu"),
+    ("GPL-2.0-only", "03cc79d2788d7ca2707d61b5d91a3df9", "gnu"),
+    ("GPL-3.0-only", "c325e2ebcd30031f0ea0125a2c8a6182", "gnu"),
+    ("LGPL-2.0-only", "ab022a4867fff8e2a0d06f7a167e5b8a", "gnu"),
+    ("LGPL-2.1-only", "feda4e37f84ddeb511ac318e13d96417", "gnu"),
+    ("LGPL-3.0-only", "23064fa723305017753c64ef5cfabec9", "gnu"),
+    ("MPL-1.1", "9f71e497fe6b535f53ac50c7985090bb", "mozilla"),
+    ("MPL-2.0", "498553ad70c8d4702bd3fed86440ba18", "mozilla"),
+)
+
+#: "copyright" before one of these words is no statement of a holder; it is set apart by a tilde, which is punctuation.
+_SPOKEN = r"\bcopyright[ \t]+(notices?|holders?|owners?|licen[sc]es?|laws?|interests?|statements?|acts?|and|or|on|in|is|of|to|the|for|protection|infringement|treaty|status|permission)\b"
+#: Lines that state a holder, with or without a year, with the far indented lines below them that go on with it, and lines that reserve all rights; the tilde keeps body lines.
+_COPYRIGHT = r"(?m)^[^\na-z]{0,8}(?:(?:portions )?copyright(?:[ \t]+[^~\n \t]|[(:,©\d])[^\n]*|\(c\)[^\n]*\d{4}[^\n]*|©[^\n]*|all rights reserved[^\na-z]{0,8})(?:\n[ \t]{8,}[^\n]*)*$"
 _NOT_WORD = r"[^a-z0-9]+"
 
 
 def canonical(text: str) -> str:
     """The normal form, as canonical_column has it."""
-    t = re.sub(_COPYRIGHT, " ", text.lower())
+    t = re.sub(_COPYRIGHT, " ", re.sub(_SPOKEN, r"copyright~\1", text.lower()))
     t = re.sub(_NOT_WORD, " ", t).strip(" ")
     for old, new in SPELLINGS:
         t = re.sub(old, new.replace("$1", r"\1"), t)
@@ -140,8 +160,8 @@ def canonical(text: str) -> str:
 
 
 def bare_column(text: Column) -> Column:
-    """Lower case, without copyright lines (that hold a year), punctuation and blanks as one space."""
-    t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    """Lower case, without lines that state copyright or reserve all rights, punctuation and blanks as one space."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), _SPOKEN, "copyright~$1"), _COPYRIGHT, " ")
     return F.trim(F.regexp_replace(t, _NOT_WORD, " "))
 
 
@@ -156,25 +176,32 @@ def canonical_column(text: Column) -> Column:
     return spelled_column(bare_column(text))
 
 
-def known_digests(texts=KNOWN_TEXTS) -> list[tuple[str, str]]:
+def digest_of(text: str) -> tuple[str, str]:
+    """(digest, first word) of a text's normal form, as KNOWN_DIGESTS has them."""
+    form = canonical(text)
+    return hashlib.md5(form.encode()).hexdigest(), form.split(" ")[0]
+
+
+def known_digests(texts=KNOWN_TEXTS, more=KNOWN_DIGESTS) -> list[tuple[str, str]]:
     """(digest, licence), one for each normal form."""
-    return sorted({(hashlib.md5(canonical(t).encode()).hexdigest(), name) for name, t in texts})
+    return sorted({(digest_of(t)[0], name) for name, t in texts} | {(digest, name) for name, digest, _ in more})
 
 
-def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, texts=KNOWN_TEXTS, more=KNOWN_DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and licence found: id_col, license, whole (the entire text is the licence), lines (lines that are its notice).
 
     Every entire text and every entire line is looked up, whatever its length; a licence inside a longer
     line is not found. Only units that begin like a known text, or like one that the spellings change at
-    its start, have their spellings made equal and are hashed; no other unit can become a known text. texts are (licence, text) pairs, to be extended by
-    longer licences at will: only their digests are sent out.
+    its start, have their spellings made equal and are hashed; no other unit can become a known text. texts are (licence, text) pairs, more
+    (licence, digest, first word) triples of longer ones as digest_of gives them, both to be extended at
+    will: only digests are sent out.
     Null and empty texts hold none. A document's repeated rows each count; an empty table gives
     no rows; other columns, whatever their names, are left out. The known digests are a fixed
     list, hence the broadcast.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(known_digests(texts), "digest string, license string")
-    heads = "|".join(sorted({canonical(t).split(" ")[0] for _, t in texts}))
+    table = spark.createDataFrame(known_digests(texts, more), "digest string, license string")
+    heads = "|".join(sorted({digest_of(t)[1] for _, t in texts} | {head for _, _, head in more}))
     begins = rf"^(?:(?:{heads})(?: |$)|{_CHANGED})"
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     unit = lambda x, whole, is_text: F.struct(whole.alias("whole"), F.lit(is_text).alias("is_text"), bare_column(x).alias("bare"))
@@ -193,7 +220,7 @@ def op9_license_digest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB SQL of op9: the same normal form and digests over all lines and texts."""
-    norm = f"regexp_replace(lower(u), '{_COPYRIGHT}', ' ', 'g')"
+    norm = f"regexp_replace(regexp_replace(lower(u), '{_SPOKEN}', 'copyright~{chr(92)}1', 'g'), '{_COPYRIGHT}', ' ', 'g')"
     norm = f"trim(regexp_replace({norm}, '{_NOT_WORD}', ' ', 'g'), ' ')"
     for old, new in SPELLINGS:
         norm = f"regexp_replace({norm}, '{old}', '{new.replace('$1', chr(92) + '1')}', 'g')"
