@@ -1,4 +1,4 @@
-"""Cameras on a site: where their views lie, who sees a point, overlaps, blind zones, hand-over candidates and poses. Points meet cameras by the grid cells that a camera's view can reach, not each with each."""
+"""Cameras on a site: where their views lie, who sees a point, overlaps, blind zones, hand-over candidates and poses. Views are laid out in small grid cells, and points meet the views of their cell; only cells on a view's border need a test."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from skyledger.sources.views import read
 
 #: Image size and focal length in pixels, reach in metres, border points per side.
 WIDTH, HEIGHT, FOCAL, REACH, SIDE = 1920, 1080, 850.0, 320.0, 16
-#: Side of a grid cell in metres; a view reaches at most into the cells next to its camera's.
-CELL = REACH
+#: Side in metres of the grid cells in which views are laid out, and how far beside a cell's edge counts as on it.
+CELL, EDGE = 20.0, 1e-6
 #: Zones to be watched: name, height and corners.
 ZONES = (
     ("gate", 0.0, ((80, 80), (160, 80), (160, 140), (80, 140))),
@@ -92,18 +92,55 @@ def camera_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("camera", F.expr(n).alias("corners"), r(F.abs("twice") / 2, "area"), r(centre("x", "mx"), "cx"), r(centre("y", "my"), "cy"), r(bound(F.array_min, "x"), "min_x"), r(bound(F.array_max, "x"), "max_x"), r(bound(F.array_min, "y"), "min_y"), r(bound(F.array_max, "y"), "max_y"), F.lit(round(angle(WIDTH), 6)).alias("hfov"), F.lit(round(angle(HEIGHT), 6)).alias("vfov"), r(horizon(), "horizon"))
 
 
-def _near(points: DataFrame, cams: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with the cameras whose view can reach them: by equal grid cells, of which a camera has nine."""
+def view_cells(views: DataFrame, cell: float = CELL) -> DataFrame:
+    """views (camera, polygon) -> (camera, gx, gy, whole): the cells that each polygon touches. A cell that no edge touches lies inside as a whole or not at all, as its middle does.
+
+    An edge's cells come row by row of the grid, from where it enters a row to where it leaves it; the
+    insides from where the edges cross the row's middle, the first crossing to the second and so on.
+    """
+    n = "size(polygon)"
+    edge = F.expr(f"transform(sequence(0, {n} - 1), i -> named_struct('ax', polygon[i].x, 'ay', polygon[i].y, 'bx', polygon[(i + 1) % {n}].x, 'by', polygon[(i + 1) % {n}].y))")
+    e = views.where(f"{n} >= 3").select("camera", F.explode(edge).alias("e")).select("camera", "e.*")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    at = lambda y: F.when(F.col("by") == F.col("ay"), F.col("ax")).otherwise(F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
+    index = lambda c, off=0.0: F.floor((c + off) / cell)
+    rows = e.withColumn("gy", F.explode(F.sequence(index(low, -EDGE), index(high, EDGE))))
+    into, out = F.greatest(low, F.col("gy") * cell - EDGE), F.least(high, (F.col("gy") + 1) * cell + EDGE)
+    level = F.col("by") == F.col("ay")
+    x0, x1 = F.when(level, F.col("ax")).otherwise(at(into)), F.when(level, F.col("bx")).otherwise(at(out))
+    border = rows.withColumn("gx", F.explode(F.sequence(index(F.least(x0, x1), -EDGE), index(F.greatest(x0, x1), EDGE)))).select("camera", "gx", "gy", F.lit(False).alias("whole"))
+    middle = (F.col("gy") + 0.5) * cell
+    crossed = rows.where((F.col("ay") > middle) != (F.col("by") > middle)).groupBy("camera", "gy").agg(F.array_sort(F.collect_list(at(middle))).alias("xs"))
+    pair = F.explode(F.expr("transform(sequence(0, size(xs) div 2 - 1), i -> named_struct('a', xs[2 * i], 'b', xs[2 * i + 1]))"))
+    first, last = F.ceil(F.col("p.a") / cell - 0.5), F.floor(F.col("p.b") / cell - 0.5)
+    inside = crossed.select("camera", "gy", pair.alias("p")).where(first <= last).select("camera", F.explode(F.sequence(first, last)).alias("gx"), "gy", F.lit(True).alias("whole"))
+    # a cell that any edge touches is tested
+    return border.unionByName(inside).groupBy("camera", "gx", "gy").agg(F.min("whole").alias("whole"))
+
+
+def _seen(points: DataFrame, views: DataFrame, x: str, y: str) -> DataFrame:
+    """Points with the views that hold them: joined by cell, and only in cells on a border tested against the polygon."""
     cell = lambda c: F.floor(F.col(c) / CELL)
-    around = F.array(*[F.struct((cell("x") + i).alias("gx"), (cell("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = cams.withColumn("g", F.explode(around)).select("*", F.col("g.gx").alias("gx"), F.col("g.gy").alias("gy")).drop("g")
+    met = points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(view_cells(views.select("camera", "polygon")), ["gx", "gy"])
+    # polygons come to the pairs, and don't go along with the cells
+    return met.join(views, "camera").where(F.col("whole") | F.expr(holds("polygon", x, y))).drop("gx", "gy", "whole")
+
+
+def _within(points: DataFrame, cams: DataFrame, x: str, y: str, reach: float) -> DataFrame:
+    """Points with the cameras at most `reach` metres away, or little more: by cells of a tenth of the reach, of which a camera has those that its circle touches."""
+    side = reach / 10
+    cell = lambda c: F.floor(F.col(c) / side)
+    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
+    gap = lambda c, g: F.greatest(F.lit(0.0), g * side - F.col(c), F.col(c) - (g + 1) * side)
+    spread = cams.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
+    spread = spread.where(gap("x", F.col("gx")) * gap("x", F.col("gx")) + gap("y", F.col("gy")) * gap("y", F.col("gy")) <= (reach + EDGE) * (reach + EDGE))
     return points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(spread, ["gx", "gy"]).drop("gx", "gy")
 
 
 def cameras_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each target: the enabled cameras that see its place, fixed ones and all."""
     v = with_views(cameras(spark, sf_dir)).where("enabled").select("camera", "x", "y", "moves", "polygon")
-    hits = _near(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty").where(holds("polygon", "tx", "ty"))
+    hits = _seen(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty")
     seen = hits.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("camera")), ",").alias("cameras"), F.count_if(~F.col("moves")).alias("fixed"))
     return targets(spark, sf_dir).select("target").join(seen, "target", "left").select("target", F.coalesce("cameras", F.lit("")).alias("cameras"), F.coalesce("fixed", F.lit(0)).alias("fixed"))
 
@@ -111,16 +148,17 @@ def cameras_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def camera_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of cameras whose views' bounds share more than 1 square metre and 2 % of the smaller."""
     bound = lambda f, c: F.expr(f"{f}(transform(polygon, p -> p.{c}))")
-    v = with_views(cameras(spark, sf_dir)).where("size(polygon) >= 3").select("camera", "x", "y", bound("array_min", "x").alias("x1"), bound("array_max", "x").alias("x2"), bound("array_min", "y").alias("y1"), bound("array_max", "y").alias("y2"))
-    # bounds of views that meet lie within twice the reach: cells of that size, of which each camera has nine
-    cell = lambda c: F.floor(F.col(c) / (2 * REACH))
-    a = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns]).withColumn("gx", cell("a_x")).withColumn("gy", cell("a_y"))
-    around = F.array(*[F.struct((cell("x") + i).alias("gx"), (cell("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = v.withColumn("g", F.explode(around)).select("*", "g.gx", "g.gy")
+    v = with_views(cameras(spark, sf_dir)).where("size(polygon) >= 3").select("camera", bound("array_min", "x").alias("x1"), bound("array_max", "x").alias("x2"), bound("array_min", "y").alias("y1"), bound("array_max", "y").alias("y2"))
+    # bounds that meet share cells; a pair counts in the lowest of them alone
+    side = REACH / 4
+    cell = lambda c: F.floor(F.col(c) / side)
+    spread = v.withColumn("gx", F.explode(F.sequence(cell("x1"), cell("x2")))).withColumn("gy", F.explode(F.sequence(cell("y1"), cell("y2"))))
+    a, b = spread.select("gx", "gy", *[F.col(c).alias(f"a_{c}") for c in v.columns]), spread
     w = F.greatest(F.lit(0.0), F.least("a_x2", "x2") - F.greatest("a_x1", "x1"))
     h = F.greatest(F.lit(0.0), F.least("a_y2", "y2") - F.greatest("a_y1", "y1"))
     area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
-    pairs = a.join(b, ["gx", "gy"]).where(F.col("a_camera") < F.col("camera")).withColumn("shared", w * h).withColumn("ratio", F.col("shared") / F.greatest(F.least(area("a_"), area("")), F.lit(1e-6)))
+    lowest = (F.col("gx") == F.greatest(cell("a_x1"), cell("x1"))) & (F.col("gy") == F.greatest(cell("a_y1"), cell("y1")))
+    pairs = a.join(b, ["gx", "gy"]).where((F.col("a_camera") < F.col("camera")) & lowest).withColumn("shared", w * h).withColumn("ratio", F.col("shared") / F.greatest(F.least(area("a_"), area("")), F.lit(1e-6)))
     return pairs.where("shared > 1 and ratio > 0.02").select(F.col("a_camera").alias("first"), F.col("camera").alias("second"), F.round("shared", 3).alias("shared"), F.round("ratio", 6).alias("ratio"))
 
 
@@ -164,7 +202,7 @@ def zone_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each zone: the enabled cameras that see one of its samples, the moving ones that could be turned to one, and whether it is covered, by fixed views or by moving cameras only."""
     cams = with_views(cameras(spark, sf_dir))
     samples = _samples(_zones(spark))
-    seen = _near(samples, cams.where("enabled").select("camera", "x", "y", "polygon"), "tx", "ty").where(holds("polygon", "tx", "ty")).groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("seen"))
+    seen = _seen(samples, cams.where("enabled").select("camera", "polygon"), "tx", "ty").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("seen"))
     movers = cams.where("moves").drop("polygon")
     turned = _poses(samples.crossJoin(F.broadcast(movers)), F.lit(0.0)).where("within").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("turned"))
     empty = F.expr("cast(array() as array<bigint>)")
@@ -174,28 +212,35 @@ def zone_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras of each node, enabled ones in order, fixed and moving, with a total line."""
-    c = cameras(spark, sf_dir)
-    return c.rollup("node").agg(F.count(F.lit(1)).alias("cameras"), F.count_if(~F.col("moves")).alias("fixed"), F.count_if("moves").alias("moving"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("enabled"), F.col("camera")))), 1, 5), ",").alias("first_enabled")).withColumn("node", F.coalesce(F.concat(F.lit("n"), F.col("node").cast("string")), F.lit("TOTAL")))
+    """Cameras of each node, the enabled ones in order, fixed and moving, with a total line of the numbers."""
+    count = lambda c, n: F.count_if(c).alias(n)
+    per = cameras(spark, sf_dir).groupBy("node").agg(F.count(F.lit(1)).alias("cameras"), count(~F.col("moves"), "fixed"), count(F.col("moves"), "moving"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("enabled"), F.col("camera")))), ",").alias("enabled"))
+    total = per.agg(F.lit("TOTAL").alias("node"), *[F.sum(c).alias(c) for c in ("cameras", "fixed", "moving")], F.lit(None).cast("string").alias("enabled"))
+    return per.withColumn("node", F.concat(F.lit("n"), F.col("node").cast("string"))).unionByName(total)
 
 
 def view_exits(spark: SparkSession, sf_dir: str, samples: int = 64, horizon_m: float = 900.0, lead_s: float = 2.0) -> DataFrame:
     """For each target and camera that sees it: metres and seconds until it leaves the view (null if not within horizon_m or if it stands), whether to hand it over now, and the risk of occlusion by how many cameras see the same place."""
     v = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "polygon")
-    hits = _near(targets(spark, sf_dir), v, "tx", "ty").where(holds("polygon", "tx", "ty"))
+    hits = _seen(targets(spark, sf_dir), v, "tx", "ty")
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
     step = horizon_m / samples
-    probe = lambda c, u: f"t{c} + {u} / speed * (k * {step}D)"
-    out = hits.withColumn("speed", speed).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("target")) - 1)
-    first = F.expr(f"try_element_at(filter(sequence(1, {samples}), k -> not {holds('polygon', probe('x', 'vx'), probe('y', 'vy'))}), 1)")
-    out = out.withColumn("exit_m", F.when(F.col("speed") > 1e-6, first * F.lit(step))).withColumn("exit_s", F.col("exit_m") / F.col("speed"))
+    # distances at which the way crosses the view's edges; it is outside from the first to the second, from the third to the fourth and so on
+    a, b = "polygon[e]", "polygon[(e + 1) % size(polygon)]"
+    side = lambda q: f"vx * ({q}.y - ty) - vy * ({q}.x - tx)"
+    at = f"(({a}.x - tx) * ({b}.y - {a}.y) - ({a}.y - ty) * ({b}.x - {a}.x)) * speed / (vx * ({b}.y - {a}.y) - vy * ({b}.x - {a}.x))"
+    ways = F.expr(f"array_sort(filter(transform(sequence(0, size(polygon) - 1), e -> if(({side(a)} > 0) <> ({side(b)} > 0), {at}, null)), t -> t > 0))")
+    out = hits.withColumn("speed", speed).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("target")) - 1).withColumn("ways", F.when(F.col("speed") > 1e-6, ways))
+    probe = f"floor(ways[2 * j] / {step}D) + 1"
+    first = F.expr(f"if(size(ways) > 0, array_min(transform(sequence(0, (size(ways) - 1) div 2), j -> if(2 * j + 1 >= size(ways) or ({probe}) * {step}D < ways[2 * j + 1], {probe}, null))), null)")
+    out = out.withColumn("exit_m", F.when(first <= samples, first * F.lit(step))).withColumn("exit_s", F.col("exit_m") / F.col("speed"))
     return out.select("target", "camera", F.round("exit_m", 4).alias("exit_m"), F.round("exit_s", 4).alias("exit_s"), F.coalesce(F.col("exit_s") - lead_s <= 0, F.lit(False)).alias("hand_over"), F.round(F.greatest(F.lit(0.0), 1 - F.least(F.col("shared"), F.lit(3)) / 3.0), 6).alias("occlusion"))
 
 
 def handover_candidates(spark: SparkSession, sf_dir: str, most_m: float = 250.0) -> DataFrame:
-    """For each target the moving cameras within most_m that can show it, with the pose, how far and long they must turn, and their score, the best first; the nearest cell's cameras are all that can be that near."""
+    """For each target the moving cameras within most_m that can show it, with the pose, how far and long they must turn, and their score, the best first."""
     movers = cameras(spark, sf_dir).where("moves and enabled")
-    p = _poses(_near(targets(spark, sf_dir), movers, "tx", "ty"), F.col("tz")).where((F.col("distance") <= most_m) & F.col("within"))
+    p = _poses(_within(targets(spark, sf_dir), movers, "tx", "ty", most_m), F.col("tz")).where((F.col("distance") <= most_m) & F.col("within"))
     pan = F.abs((F.col("yaw_to") - F.col("yaw") + 540 + 360) % 360 - 180)
     tilt = F.abs(F.col("pitch_to") - F.col("pitch"))
     slew = F.sqrt(F.pow(pan / SPEED[0], 2) + F.pow(tilt / SPEED[1], 2))
@@ -248,7 +293,7 @@ def zone_shares(spark: SparkSession, sf_dir: str, steps: int = 64) -> DataFrame:
     grid = z.select("zone", "corners", F.explode(axis("x1", "x2")).alias("tx"), "y1", "y2", "step").select("zone", "corners", "tx", F.explode(axis("y1", "y2")).alias("ty")).where(holds("corners", "tx", "ty"))
     total = grid.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
     v = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "polygon")
-    hits = _near(grid.select("zone", "tx", "ty"), v, "tx", "ty").where(holds("polygon", "tx", "ty")).groupBy("zone", "camera").agg(F.count(F.lit(1)).alias("k"))
+    hits = _seen(grid.select("zone", "tx", "ty"), v, "tx", "ty").groupBy("zone", "camera").agg(F.count(F.lit(1)).alias("k"))
     return hits.join(total, "zone").select("zone", "camera", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
@@ -260,7 +305,7 @@ def _sweep() -> Column:
 def search_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cameras to search a lost target with: those that see its place, by distance and 25 m for each second they need to turn there, ties by number."""
     v = with_views(cameras(spark, sf_dir)).where("enabled").drop("declared")
-    hits = _near(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty").where(holds("polygon", "tx", "ty"))
+    hits = _seen(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty")
     dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
     turn = F.abs((F.degrees(F.atan2(dx, dy)) + 540) % 360 - 180 - F.col("yaw")) / SPEED[0] + SETTLE
     score = F.round(F.sqrt(dx * dx + dy * dy) + F.when(F.col("moves"), turn).otherwise(0.0) * 25, 6)
@@ -281,7 +326,7 @@ def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preposition_tasks(spark: SparkSession, sf_dir: str, lead_s: float = 3.0) -> DataFrame:
     """For each moving target, the moving camera within reach of where it will be in lead_s seconds that is to be turned there: the least of distance and 25 m for each degree to turn."""
     t = targets(spark, sf_dir).where("vx <> 0 or vy <> 0").select("target", (F.col("tx") + F.col("vx") * lead_s).alias("tx"), (F.col("ty") + F.col("vy") * lead_s).alias("ty"), "tz")
-    p = _poses(_near(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty"), F.col("tz")).where((F.col("distance") <= CELL) & F.col("within"))
+    p = _poses(_within(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty", REACH), F.col("tz")).where((F.col("distance") <= REACH) & F.col("within"))
     return p.withColumn("score", F.round(F.col("distance") + 25 * _sweep(), 5)).groupBy("target").agg(F.min(F.struct("score", "camera")).alias("b")).select("target", "b.camera", "b.score")
 
 
@@ -291,7 +336,7 @@ def turn_schedule(spark: SparkSession, sf_dir: str, frame: int = 10) -> DataFram
     tasks = best.withColumn("priority", F.col("target") % 4).withColumn("urgency", F.col("target") % 10).withColumn("due", F.col("target") % 3 * 5)
     cams = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "enabled", "polygon")
     middle = _samples(_zones(spark)).where("sample = 0")
-    watch = _near(middle, cams.where("enabled"), "tx", "ty").where(holds("polygon", "tx", "ty")).select("zone", "camera")
+    watch = _seen(middle, cams.where("enabled").select("camera", "polygon"), "tx", "ty").select("zone", "camera")
     alone = watch.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("camera").alias("camera")).where("n = 1").select("camera").distinct().withColumn("alone", F.lit(True))
     j = tasks.join(targets(spark, sf_dir).select("target", "tx", "ty"), "target").join(cams.select("camera", "polygon"), "camera").join(F.broadcast(alone), "camera", "left")
     j = j.withColumn("sees", F.expr(holds("polygon", "tx", "ty"))).withColumn("vetoed", F.coalesce("alone", F.lit(False)) & ~F.col("sees")).withColumn("ready", (F.col("due") <= frame) & ~F.col("vetoed"))
@@ -361,7 +406,7 @@ SELECT camera, corners::INT AS corners, round(abs(tw) / 2, 4) AS area, round(CAS
         "zone_watch": polygons + zone + f"""zs AS (SELECT zone, bb.camera FROM sm JOIN bb ON tx BETWEEN x1 AND x2 AND ty BETWEEN y1 AND y2 JOIN cam ON cam.camera = bb.camera AND enabled JOIN ed ON ed.camera = bb.camera GROUP BY zone, bb.camera, tx, ty HAVING {inside('tx', 'ty')}),
 mv AS (SELECT zone, tx, ty, cam.* FROM sm, cam WHERE moves),
 """ + poses("mv", "0") + "s1 AS (SELECT DISTINCT zone, camera FROM zs), t1 AS (SELECT DISTINCT zone, camera FROM po WHERE within), al AS (FROM s1 UNION FROM t1), z0 AS (SELECT DISTINCT zone FROM zc) SELECT zone, coalesce((SELECT string_agg(camera::VARCHAR, ',' ORDER BY camera) FROM s1 WHERE s1.zone = z0.zone), '') AS seen, (SELECT count(*) FROM t1 WHERE t1.zone = z0.zone)::INT AS could_turn, (SELECT count(*) FROM al WHERE al.zone = z0.zone)::INT AS cameras, CASE WHEN zone IN (SELECT zone FROM s1) THEN 'seen' WHEN zone IN (SELECT zone FROM t1) THEN 'moving cameras only' ELSE 'uncovered' END AS state FROM z0",
-        "node_totals": cams + end + "SELECT coalesce('n' || node, 'TOTAL') AS node, count(*) AS cameras, count(*) FILTER (WHERE NOT moves) AS fixed, count(*) FILTER (WHERE moves) AS moving, array_to_string((list(camera ORDER BY camera) FILTER (WHERE enabled))[1:5], ',') AS first_enabled FROM cam GROUP BY ROLLUP (node)",
+        "node_totals": cams + end + "SELECT coalesce('n' || node, 'TOTAL') AS node, count(*) AS cameras, count(*) FILTER (WHERE NOT moves) AS fixed, count(*) FILTER (WHERE moves) AS moving, CASE WHEN node IS NOT NULL THEN array_to_string(list(camera ORDER BY camera) FILTER (WHERE enabled), ',') END AS enabled FROM cam GROUP BY ROLLUP (node)",
         "view_exits": polygons + seen + f"""sp AS (SELECT see.*, tx, ty, vx, vy, sqrt(vx * vx + vy * vy) AS speed, count(*) OVER (PARTITION BY target) - 1 AS shared FROM see JOIN tgt USING (target)),
 pb AS (SELECT target, camera, k, tx + vx / speed * (k * {900 / 64}::DOUBLE) AS qx, ty + vy / speed * (k * {900 / 64}::DOUBLE) AS qy FROM sp, range(1, 65) t(k) WHERE speed > 1e-6),
 ou AS (SELECT target, pb.camera, k, {inside('qx', 'qy')} AS i FROM pb JOIN ed ON ed.camera = pb.camera GROUP BY target, pb.camera, k, qx, qy),
