@@ -92,15 +92,20 @@ def camera_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("camera", F.expr(n).alias("corners"), r(F.abs("twice") / 2, "area"), r(centre("x", "mx"), "cx"), r(centre("y", "my"), "cy"), r(bound(F.array_min, "x"), "min_x"), r(bound(F.array_max, "x"), "max_x"), r(bound(F.array_min, "y"), "min_y"), r(bound(F.array_max, "y"), "max_y"), F.lit(round(angle(WIDTH), 6)).alias("hfov"), F.lit(round(angle(HEIGHT), 6)).alias("vfov"), r(horizon(), "horizon"))
 
 
+def view_edges(views: DataFrame) -> DataFrame:
+    """views (camera, polygon) -> (camera, ax, ay, bx, by), a row per edge. Rows keep the tests over edges in generated code, which a lambda over the polygon isn't."""
+    n = "size(polygon)"
+    edge = F.expr(f"transform(sequence(0, {n} - 1), i -> named_struct('ax', polygon[i].x, 'ay', polygon[i].y, 'bx', polygon[(i + 1) % {n}].x, 'by', polygon[(i + 1) % {n}].y))")
+    return views.where(f"{n} >= 3").select("camera", F.explode(edge).alias("e")).select("camera", "e.*")
+
+
 def view_cells(views: DataFrame, cell: float = CELL) -> DataFrame:
     """views (camera, polygon) -> (camera, gx, gy, whole): the cells that each polygon touches. A cell that no edge touches lies inside as a whole or not at all, as its middle does.
 
     An edge's cells come row by row of the grid, from where it enters a row to where it leaves it; the
     insides from where the edges cross the row's middle, the first crossing to the second and so on.
     """
-    n = "size(polygon)"
-    edge = F.expr(f"transform(sequence(0, {n} - 1), i -> named_struct('ax', polygon[i].x, 'ay', polygon[i].y, 'bx', polygon[(i + 1) % {n}].x, 'by', polygon[(i + 1) % {n}].y))")
-    e = views.where(f"{n} >= 3").select("camera", F.explode(edge).alias("e")).select("camera", "e.*")
+    e = view_edges(views)
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     at = lambda y: F.when(F.col("by") == F.col("ay"), F.col("ax")).otherwise(F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
     index = lambda c, off=0.0: F.floor((c + off) / cell)
@@ -119,22 +124,32 @@ def view_cells(views: DataFrame, cell: float = CELL) -> DataFrame:
 
 
 def _seen(points: DataFrame, views: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with the views that hold them: joined by cell, and only in cells on a border tested against the polygon."""
+    """Points with the views that hold them, without their polygons: joined by cell, and only in cells on a border tested against the edges, by the parity of those that a ray to the right crosses."""
     cell = lambda c: F.floor(F.col(c) / CELL)
-    met = points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(view_cells(views.select("camera", "polygon")), ["gx", "gy"])
-    # polygons come to the pairs, and don't go along with the cells
-    return met.join(views, "camera").where(F.col("whole") | F.expr(holds("polygon", x, y))).drop("gx", "gy", "whole")
+    thin = views.select("camera", "polygon")
+    met = points.withColumn("_p", F.monotonically_increasing_id()).withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(view_cells(thin), ["gx", "gy"]).drop("gx", "gy")
+    px, py = F.col(x), F.col(y)
+    across = ((F.col("ay") > py) != (F.col("by") > py)) & (px < F.col("ax") + (py - F.col("ay")) / ((F.col("by") - F.col("ay")) + 1e-9) * (F.col("bx") - F.col("ax")))
+    border = met.where(~F.col("whole")).join(view_edges(thin), "camera").where(across)
+    border = border.groupBy(*[c for c in met.columns if c != "whole"]).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
+    return met.where("whole").drop("whole").unionByName(border).drop("_p").join(views.drop("polygon"), "camera")
 
 
 def _within(points: DataFrame, cams: DataFrame, x: str, y: str, reach: float) -> DataFrame:
-    """Points with the cameras at most `reach` metres away, or little more: by cells of a tenth of the reach, of which a camera has those that its circle touches."""
+    """Points with the cameras at most `reach` metres away: by cells of a tenth of the reach, of which a camera has those that its circle touches."""
     side = reach / 10
     cell = lambda c: F.floor(F.col(c) / side)
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
     gap = lambda c, g: F.greatest(F.lit(0.0), g * side - F.col(c), F.col(c) - (g + 1) * side)
     spread = cams.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
     spread = spread.where(gap("x", F.col("gx")) * gap("x", F.col("gx")) + gap("y", F.col("gy")) * gap("y", F.col("gy")) <= (reach + EDGE) * (reach + EDGE))
-    return points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(spread, ["gx", "gy"]).drop("gx", "gy")
+    near = (F.col(x) - F.col("x")) * (F.col(x) - F.col("x")) + (F.col(y) - F.col("y")) * (F.col(y) - F.col("y")) <= (reach + EDGE) * (reach + EDGE)
+    return points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(spread, ["gx", "gy"]).drop("gx", "gy").where(near)
+
+
+def kept(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose flag holds. A generator drops the others: past it Catalyst doesn't push the predicate, which would write out every expression behind the flag again for each of its uses."""
+    return df.withColumn("_kept", F.explode(F.when(F.col(flag), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))).drop("_kept")
 
 
 def cameras_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +204,8 @@ def _poses(pairs: DataFrame, height: Column) -> DataFrame:
         yaw, tip = F.radians("yaw_to"), F.radians(pitch)
         right, ahead = F.cos(yaw) * dx - F.sin(yaw) * dy, F.sin(yaw) * dx + F.cos(yaw) * dy
         depth, down = F.cos(tip) * ahead + F.sin(tip) * F.col("rise"), F.sin(tip) * ahead - F.cos(tip) * F.col("rise")
-        px, py = FOCAL * zoom * right / depth + WIDTH / 2, FOCAL * zoom * down / depth + HEIGHT / 2
+        ahead_only = F.when(depth > 1e-6, depth)
+        px, py = FOCAL * zoom * right / ahead_only + WIDTH / 2, FOCAL * zoom * down / ahead_only + HEIGHT / 2
         return F.coalesce((depth > 1e-6) & (px >= 0) & (px < WIDTH) & (py >= 0) & (py < HEIGHT), F.lit(False))
 
     deep = F.col("distance") > 1e-6
@@ -204,7 +220,7 @@ def zone_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _samples(_zones(spark))
     seen = _seen(samples, cams.where("enabled").select("camera", "polygon"), "tx", "ty").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("seen"))
     movers = cams.where("moves").drop("polygon")
-    turned = _poses(samples.crossJoin(F.broadcast(movers)), F.lit(0.0)).where("within").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("turned"))
+    turned = kept(_poses(samples.crossJoin(F.broadcast(movers)), F.lit(0.0)), "within").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("turned"))
     empty = F.expr("cast(array() as array<bigint>)")
     out = _zones(spark).select("zone").join(seen, "zone", "left").join(turned, "zone", "left").withColumn("seen", F.coalesce("seen", empty)).withColumn("turned", F.coalesce("turned", empty))
     state = F.when(F.size("seen") > 0, "seen").when(F.size("turned") > 0, "moving cameras only").otherwise("uncovered")
@@ -222,15 +238,15 @@ def node_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view_exits(spark: SparkSession, sf_dir: str, samples: int = 64, horizon_m: float = 900.0, lead_s: float = 2.0) -> DataFrame:
     """For each target and camera that sees it: metres and seconds until it leaves the view (null if not within horizon_m or if it stands), whether to hand it over now, and the risk of occlusion by how many cameras see the same place."""
     v = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "polygon")
-    hits = _seen(targets(spark, sf_dir), v, "tx", "ty")
+    hits = _seen(targets(spark, sf_dir), v.select("camera", "polygon"), "tx", "ty")
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
     step = horizon_m / samples
     # distances at which the way crosses the view's edges; it is outside from the first to the second, from the third to the fourth and so on
-    a, b = "polygon[e]", "polygon[(e + 1) % size(polygon)]"
-    side = lambda q: f"vx * ({q}.y - ty) - vy * ({q}.x - tx)"
-    at = f"(({a}.x - tx) * ({b}.y - {a}.y) - ({a}.y - ty) * ({b}.x - {a}.x)) * speed / (vx * ({b}.y - {a}.y) - vy * ({b}.x - {a}.x))"
-    ways = F.expr(f"array_sort(filter(transform(sequence(0, size(polygon) - 1), e -> if(({side(a)} > 0) <> ({side(b)} > 0), {at}, null)), t -> t > 0))")
-    out = hits.withColumn("speed", speed).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("target")) - 1).withColumn("ways", F.when(F.col("speed") > 1e-6, ways))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    side = lambda q: F.col("vx") * (F.col(f"{q}y") - F.col("ty")) - F.col("vy") * (F.col(f"{q}x") - F.col("tx")) > 0
+    at = ((F.col("ax") - F.col("tx")) * dy - (F.col("ay") - F.col("ty")) * dx) * speed / (F.col("vx") * dy - F.col("vy") * dx)
+    ways = hits.where((F.col("vx") != 0) | (F.col("vy") != 0)).join(view_edges(v), "camera").where(side("a") != side("b")).withColumn("at", at).where("at > 0").groupBy("target", "camera").agg(F.array_sort(F.collect_list("at")).alias("ways"))
+    out = hits.withColumn("speed", speed).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("target")) - 1).join(ways, ["target", "camera"], "left")
     probe = f"floor(ways[2 * j] / {step}D) + 1"
     first = F.expr(f"if(size(ways) > 0, array_min(transform(sequence(0, (size(ways) - 1) div 2), j -> if(2 * j + 1 >= size(ways) or ({probe}) * {step}D < ways[2 * j + 1], {probe}, null))), null)")
     out = out.withColumn("exit_m", F.when(first <= samples, first * F.lit(step))).withColumn("exit_s", F.col("exit_m") / F.col("speed"))
@@ -240,7 +256,8 @@ def view_exits(spark: SparkSession, sf_dir: str, samples: int = 64, horizon_m: f
 def handover_candidates(spark: SparkSession, sf_dir: str, most_m: float = 250.0) -> DataFrame:
     """For each target the moving cameras within most_m that can show it, with the pose, how far and long they must turn, and their score, the best first."""
     movers = cameras(spark, sf_dir).where("moves and enabled")
-    p = _poses(_within(targets(spark, sf_dir), movers, "tx", "ty", most_m), F.col("tz")).where((F.col("distance") <= most_m) & F.col("within"))
+    p = _poses(_within(targets(spark, sf_dir), movers, "tx", "ty", most_m), F.col("tz"))
+    p = kept(p.where(F.col("distance") <= most_m), "within")
     pan = F.abs((F.col("yaw_to") - F.col("yaw") + 540 + 360) % 360 - 180)
     tilt = F.abs(F.col("pitch_to") - F.col("pitch"))
     slew = F.sqrt(F.pow(pan / SPEED[0], 2) + F.pow(tilt / SPEED[1], 2))
@@ -318,7 +335,7 @@ def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     unseen = zone_watch(spark, sf_dir).where("state <> 'seen'").select("zone")
     order = spark.createDataFrame([(z[0], float(i + 1)) for i, z in enumerate(ZONES)], "zone string, priority double")
     middle = _samples(_zones(spark)).where("sample = 0").join(unseen, "zone").join(order, "zone")
-    p = _poses(middle.crossJoin(F.broadcast(cameras(spark, sf_dir).where("moves"))), F.lit(0.0)).where("within").withColumn("score", F.round(_sweep() - 2 * F.col("priority"), 6))
+    p = kept(_poses(middle.crossJoin(F.broadcast(cameras(spark, sf_dir).where("moves"))), F.lit(0.0)), "within").withColumn("score", F.round(_sweep() - 2 * F.col("priority"), 6))
     best = p.groupBy("zone").agg(F.min(F.struct("score", "camera")).alias("b"))
     return unseen.join(best, "zone", "left").select("zone", "b.camera", "b.score")
 
@@ -326,7 +343,8 @@ def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preposition_tasks(spark: SparkSession, sf_dir: str, lead_s: float = 3.0) -> DataFrame:
     """For each moving target, the moving camera within reach of where it will be in lead_s seconds that is to be turned there: the least of distance and 25 m for each degree to turn."""
     t = targets(spark, sf_dir).where("vx <> 0 or vy <> 0").select("target", (F.col("tx") + F.col("vx") * lead_s).alias("tx"), (F.col("ty") + F.col("vy") * lead_s).alias("ty"), "tz")
-    p = _poses(_within(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty", REACH), F.col("tz")).where((F.col("distance") <= REACH) & F.col("within"))
+    p = _poses(_within(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty", REACH), F.col("tz"))
+    p = kept(p.where(F.col("distance") <= REACH), "within")
     return p.withColumn("score", F.round(F.col("distance") + 25 * _sweep(), 5)).groupBy("target").agg(F.min(F.struct("score", "camera")).alias("b")).select("target", "b.camera", "b.score")
 
 
