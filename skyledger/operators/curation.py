@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.labels import slug
+from skyledger.functions.names import RULES, WRAPPERS, sequence_of, stem_of
 from skyledger.operators.frames import stratified_split
 from skyledger.sources import views
 from skyledger.sources.views import read
@@ -31,19 +32,22 @@ def whole_or(text: Column, default: Column) -> Column:
     return F.coalesce(text.try_cast("long"), F.regexp_replace(text, "[^0-9]", "").try_cast("long"), default)
 
 
+#: Directories and names that paths are made of: each kind of sequence, wrapper and number.
+FOLDERS = ("seq_12/img/", "train/clip7/", "images/", "", "Scene01/rgb/", "train/", "birds/Track_3/", "vid7/", "data/samples_b/", "night/", ".cache/video.tmp/", "test/images/park/")
+NAMES = ("frame_{}", "abc{}", "img-{}.v2", "{}", "bird_image_{}_x", "x{}y", "view.{}")
+
+
 def path_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence of an image path: its directory that names one, else a run of 3 to 6 digits in the file's name, else the parent directory, else an orphan of its own; with the frame's stem, the label file to look for first, and the tolerant number of the name."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(F.array(F.lit("seq_12/img/"), F.lit("train/clip7/"), F.lit("images/"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")), F.regexp_replace(F.lower("p_brand"), "#", ""), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("_"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"))).otherwise(""), F.lit(".jpg")).alias("path"))
-    parts = F.split("path", "/")
-    folder = F.get(F.filter(parts, lambda x: x.rlike("^(seq|clip)_?[0-9]+$")), F.lit(0))
-    name = F.element_at(parts, -1)
-    number = F.regexp_extract(name, "(?<![0-9])([0-9]{3,6})(?![0-9])", 1)
-    parent = F.when(F.size(parts) > 1, F.element_at(parts, -2))
-    stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    return p.select(
-        "p_partkey", F.coalesce(folder, F.nullif(number, F.lit("")), parent, F.concat(F.lit("orphan_"), stem)).alias("sequence"), F.when(folder.isNotNull(), "layout").when(number != "", "filename").when(parent.isNotNull(), "parent").otherwise("orphan").alias("how"),
-        padded(F.col("p_partkey")).alias("frame_stem"), F.concat(F.regexp_replace("path", "(^|/)(images|img)/", "$1labels/"), F.lit("")).alias("_l"), whole_or(stem, F.lit(-1)).alias("number"), slug(stem).alias("slug"),
-    ).withColumn("label", F.regexp_replace("_l", r"\.[^.]+$", ".txt")).drop("_l")
+    """Sequence of an image path and how it was told, by each of the rules for sources; with the frame's stem, the label file to look for first, and the tolerant number of the name."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    digits = F.when(k % 4 == 3, (k % 100).cast("string")).otherwise(F.concat(F.lit("00"), (k % 10_000).cast("string")))
+    path = F.concat(pick(FOLDERS, k), F.concat(F.regexp_replace(pick(NAMES, k + F.floor(k / 12)), r"\{\}", digits), F.lit(".jpg")))
+    p = read(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    stem = stem_of(F.col("path"))
+    told = [sequence_of(F.col("path"), rule)[c].alias(f"{rule}_{c}") for rule in RULES for c in ("sequence", "how")]
+    label = F.regexp_replace(F.regexp_replace("path", "(^|/)(images|img)/", "$1labels/"), r"\.[^.]+$", ".txt")
+    return p.select("p_partkey", *told, padded(k).alias("frame_stem"), whole_or(stem, F.lit(-1)).alias("number"), slug(stem).alias("slug"), label.alias("label"))
 
 
 def sizes_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +220,27 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (path_tokens, sizes_in_words, short_lists, group_keys, seeded_sample, systematic_sample, present_and_expected, build_totals, dataset_warnings, split_strategies, identity_crops, resampled_truth, visibility_rows, mean_or_zero, frame_size_top, best_detections, ordered_listing, integrity)
 
 
+def _path_sql() -> str:
+    """The rules for sequences in SQL: directories as lists, numbers by their neighbours."""
+    listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    wraps = f"(list_contains({listed(WRAPPERS)}, lower(x)) OR x[1:1] = '.')"
+    columns = []
+    for name, r in RULES.items():
+        named = f"list_filter(folders, lambda x: NOT {wraps})" if r.skips else "folders"
+        folder = f"list_filter({named}, lambda x: regexp_matches(lower(x), '{'|'.join(r.tokens)}'))[1]"
+        number = f"'{r.number}' || {'CASE WHEN len(folders) > 0 THEN folders[-1] || chr(95) ELSE chr(32)[2:] END || ' if r.owned else ''}digits"
+        parent = f"WHEN len({named}) > 0 THEN {{}}" if r.parent is not None else ""
+        end = f"({named})[-1]"
+        columns.append(f"CASE WHEN {folder} IS NOT NULL THEN {folder} WHEN digits <> '' THEN {number} {parent.format(f'{chr(39)}{r.parent}{chr(39)} || {end}')} ELSE '{r.orphan}' || stem END AS {name}_sequence")
+        columns.append(f"CASE WHEN {folder} IS NOT NULL THEN 'layout' WHEN digits <> '' THEN 'filename' {parent.format(chr(39) + 'parent' + chr(39))} ELSE 'orphan' END AS {name}_how")
+    return f"""WITH p AS (SELECT p_partkey, {listed(FOLDERS)}[(p_partkey % {len(FOLDERS)} + 1)::INT] || replace({listed(NAMES)}[((p_partkey + p_partkey // 12) % {len(NAMES)} + 1)::INT], '{{}}', CASE WHEN p_partkey % 4 = 3 THEN (p_partkey % 100)::VARCHAR ELSE '00' || (p_partkey % 10000) END) || '.jpg' AS path FROM part),
+q AS (SELECT *, string_split(path, '/')[:-2] AS folders, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM p),
+d AS (SELECT *, regexp_extract(stem, '(?:^|[_-])(\\d{{3,6}})(?:[_.-]|$)', 1) AS digits FROM q)
+SELECT p_partkey, {', '.join(columns)}, CASE WHEN length(p_partkey::VARCHAR) >= 6 THEN p_partkey::VARCHAR ELSE lpad(p_partkey::VARCHAR, 6, '0') END AS frame_stem,
+  coalesce(TRY_CAST(stem AS BIGINT), TRY_CAST(regexp_replace(stem, '[^0-9]', '', 'g') AS BIGINT), -1) AS number, regexp_replace(regexp_replace(lower(stem), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+  regexp_replace(regexp_replace(path, '(^|/)(images|img)/', '\\1labels/', 'g'), '\\.[^.]+$', '.txt') AS label FROM d"""
+
+
 def oracles(views: str) -> dict[str, str]:
     end = "zz AS (SELECT 1)\n"
     keyed = views + "fr AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, modality ORDER BY l_orderkey) - 1 AS frame_index FROM f),\n"
@@ -229,13 +254,7 @@ s AS (SELECT dataset, modality, sequence_id, frames, CASE WHEN long AND r <= CAS
     units = ("B", "KB", "MB", "GB", "TB")
     human = "CASE " + " ".join(f"WHEN n < {1024 ** (i + 1)}::BIGINT THEN printf('%.1f {u}', n / {1024.0**i}::DOUBLE)" for i, u in enumerate(units[:-1])) + f" ELSE printf('%.1f TB', n / {1024.0**4}::DOUBLE) END"
     return {
-        "path_tokens": r"""WITH p AS (SELECT p_partkey, list_extract(['seq_12/img/', 'train/clip7/', 'images/', ''], CAST(p_partkey % 4 + 1 AS INT)) || replace(lower(p_brand), '#', '') || CASE WHEN p_partkey % 3 = 0 THEN '_' || left(CASE WHEN length(p_partkey::VARCHAR) < 4 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END, 4) ELSE '' END || '.jpg' AS path FROM part),
-q AS (SELECT *, string_split(path, '/') AS parts FROM p),
-r AS (SELECT *, list_filter(parts, lambda x: regexp_matches(x, '^(seq|clip)_?[0-9]+$'))[1] AS folder, parts[len(parts)] AS name, CASE WHEN len(parts) > 1 THEN parts[len(parts) - 1] END AS parent FROM q),
-t AS (SELECT *, list_filter(regexp_extract_all(name, '[0-9]+'), lambda x: length(x) BETWEEN 3 AND 6)[1] AS number, regexp_replace(name, '\.[^.]+$', '') AS stem FROM r)
-SELECT p_partkey, coalesce(folder, number, parent, 'orphan_' || stem) AS sequence, CASE WHEN folder IS NOT NULL THEN 'layout' WHEN number IS NOT NULL THEN 'filename' WHEN parent IS NOT NULL THEN 'parent' ELSE 'orphan' END AS how,
-  CASE WHEN length(p_partkey::VARCHAR) >= 6 THEN p_partkey::VARCHAR ELSE lpad(p_partkey::VARCHAR, 6, '0') END AS frame_stem, coalesce(TRY_CAST(stem AS BIGINT), TRY_CAST(regexp_replace(stem, '[^0-9]', '', 'g') AS BIGINT), -1) AS number,
-  regexp_replace(regexp_replace(lower(stem), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(regexp_replace(path, '(^|/)(images|img)/', '\1labels/', 'g'), '\.[^.]+$', '.txt') AS label FROM t""",
+        "path_tokens": _path_sql(),
         "sizes_in_words": f"WITH p AS (SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS bytes FROM pages) SELECT page_id, bytes, {human.replace('n <', 'bytes * 1000 <').replace(', n /', ', bytes * 1000 /')} AS shown FROM p",
         "short_lists": "WITH s AS (SELECT s_nationkey, list('s' || lpad(s_suppkey::VARCHAR, 6, '0') ORDER BY s_suppkey) AS items FROM supplier GROUP BY 1) SELECT s_nationkey, len(items)::INT AS n, CASE WHEN len(items) <= 3 THEN array_to_string(items, ',') ELSE array_to_string(items[1:3], ',') || ' +' || (len(items) - 3) END AS shown FROM s",
         "group_keys": keyed + end + "SELECT sequence_id || '/' || modality AS group_key, arg_min(dataset, frame_index) AS stratum_dataset, any_value(modality) AS stratum_modality, count(*) AS frames, count(DISTINCT dataset) > 1 AS crosses_datasets, arg_min(dataset, frame_index) || '/' || sequence_id || '/' || modality AS dataset_key FROM fr GROUP BY sequence_id, modality",

@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.labels import slug
+from skyledger.functions.names import IMAGES, VIDEOS, sequence_of, stem_of
 from skyledger.sources.readers import INDEX_SCHEMA
 
-#: Directory tokens that name a video, suffixes of images and videos, and tokens of the infrared modality.
-VIDEO_TOKENS = r"(?i)(video|clip|seq)[-_ ]?\d+"
-IMAGES, VIDEOS = ("jpg", "jpeg", "png", "bmp"), ("mp4", "avi", "mov", "mkv")
+#: Tokens of the infrared modality, classes.
 INFRARED = r"(?i)(^|[-_. ])(ir|infrared|thermal)($|[-_. ])"
 CLASSES = ("drone", "bird")
 #: Layouts, told apart by what must be there, the most telling first.
@@ -25,10 +24,6 @@ def _parts(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(_parts(path), -1), r"\.[^.]+$", "")
-
-
 def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
     return F.lower(path).rlike(r"\.(" + "|".join(suffixes) + ")$")
 
@@ -41,21 +36,9 @@ def detect_layout(listing: DataFrame) -> DataFrame:
     return found.select(first.alias("f")).select("f.*")
 
 
-def sequence_of(path: Column, qualified: bool = False) -> Column:
-    """struct (sequence, how): a directory that names a video, else a run of three to six digits in the file's name, else the parent directory, else an orphan. qualified: a name from the file carries its directory."""
-    parts = _parts(path)
-    folder = F.get(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.rlike(VIDEO_TOKENS)), F.lit(0))
-    digits = F.regexp_extract(stem(path), r"(?<!\d)(\d{3,6})(?!\d)", 1)
-    parent = F.when(F.size(parts) > 1, F.element_at(parts, -2))
-    number = F.concat(F.when(F.lit(qualified) & parent.isNotNull(), F.concat(slug(parent), F.lit("_"))).otherwise(""), F.lit("vid_"), digits)
-    name = F.when(folder.isNotNull(), slug(folder)).when(digits != "", number).when(parent.isNotNull(), F.concat(F.lit("dir_"), slug(parent))).otherwise(F.concat(F.lit("orphan_"), slug(stem(path))))
-    how = F.when(folder.isNotNull(), "layout").when(digits != "", "filename").when(parent.isNotNull(), "parent").otherwise("orphan")
-    return F.struct(name.alias("sequence"), how.alias("how"))
-
-
-def sequences(listing: DataFrame, qualified: bool = False) -> DataFrame:
-    """Images with their sequence, how it was told, and their frame in it by order of path."""
-    i = listing.where(has_suffix(F.col("path"), IMAGES)).withColumn("s", sequence_of(F.col("path"), qualified)).select("path", F.col("s.sequence").alias("sequence_id"), F.col("s.how").alias("how"))
+def sequences(listing: DataFrame, rule: str = "frames") -> DataFrame:
+    """Images with their sequence by one of names.RULES, how it was told, and their frame in it by order of path."""
+    i = listing.where(has_suffix(F.col("path"), IMAGES)).withColumn("s", sequence_of(F.col("path"), rule)).select("path", F.col("s.sequence").alias("sequence_id"), F.col("s.how").alias("how"))
     return i.withColumn("frame_index", F.row_number().over(Window.partitionBy("sequence_id").orderBy("path")) - 1)
 
 
@@ -68,7 +51,7 @@ def image_root(listing: DataFrame) -> DataFrame:
 def label_files(listing: DataFrame) -> DataFrame:
     """Images with their label file: under labels/ in place of images/, in labels/ at the root, at the root, or beside the image, the first that is there; null for none."""
     i = listing.where(has_suffix(F.col("path"), IMAGES)).select("path")
-    text = F.concat(stem(F.col("path")), F.lit(".txt"))
+    text = F.concat(stem_of(F.col("path")), F.lit(".txt"))
     base = F.regexp_replace("path", r"\.[^.]+$", ".txt")
     apart = F.col("path").rlike("(^|/)images/")
     places = F.array(F.when(apart, F.regexp_replace(base, "(^|/)images/", "$1labels/")), F.when(apart, F.concat(F.lit("labels/"), F.regexp_replace(base, "^(.*/)?images/", ""))), F.concat(F.lit("labels/"), text), text, base)
@@ -80,8 +63,8 @@ def label_files(listing: DataFrame) -> DataFrame:
 def video_pairs(listing: DataFrame) -> DataFrame:
     """Videos with the annotation of their stem in the same directory: each modality is a sequence of its own, named without its token. A directory's primary video is the one named like it, else the largest."""
     folder = F.regexp_replace("path", r"/?[^/]+$", "")
-    v = listing.where(has_suffix(F.col("path"), VIDEOS)).select(F.col("path").alias("video"), "length", folder.alias("folder"), stem(F.col("path")).alias("stem"))
-    a = listing.where(F.col("path").endswith(".json")).select(F.col("path").alias("annotation"), folder.alias("folder"), stem(F.col("path")).alias("stem"))
+    v = listing.where(has_suffix(F.col("path"), VIDEOS)).select(F.col("path").alias("video"), "length", folder.alias("folder"), stem_of(F.col("path")).alias("stem"))
+    a = listing.where(F.col("path").endswith(".json")).select(F.col("path").alias("annotation"), folder.alias("folder"), stem_of(F.col("path")).alias("stem"))
     primary = v.groupBy("folder").agg(F.max_by("video", F.struct((F.col("stem") == F.element_at(_parts(F.col("folder")), -1)).cast("int"), "length", "video")).alias("primary"))
     modality = F.when(F.col("stem").rlike(INFRARED), "ir").otherwise("rgb")
     name = F.concat_ws("_", F.nullif(slug(F.element_at(_parts(F.col("folder")), -1)), F.lit("unnamed")), F.nullif(slug(F.regexp_replace("stem", r"(?i)[-_. ]?(rgb|visible|ir|infrared|thermal)($|[-_. ])", "$2")), F.lit("unnamed")))
