@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.sources.views import SOURCES, read
+from skyledger.sources.views import SOURCES, read, sources, sources_sql
 
 _NAMES = [s[0] for s in SOURCES]
 _BIRDS = [s[0] for s in SOURCES if s[2]]
@@ -26,10 +26,6 @@ CLAIMS = ("bird_negatives", "track_ids", "visibility")
 ALIASES = ("map50_95", "map5095", "map", "map50")
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(SOURCES)], "ord int, source string, median_px int, bird_negatives boolean, track_ids boolean, visibility boolean")
-
-
 def combos(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n, m, f) for i, (n, m, f) in enumerate(COMBOS)], "combo_ord int, combo string, members array<string>, force boolean")
 
@@ -41,14 +37,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(k.alias("run_id"), pick(MODELS, k % 3).alias("model"), pick([c[0] for c in COMBOS], k % 14).alias("combo"), (k * 7919 % 100_000).alias("trained_at"), F.when(k % 7 != 0, k * 37 % 1000 / 1000.0).alias("map50"), F.when(k % 5 != 0, k * 91 % 1000 / 1000.0).alias("recall"))
 
 
-def _members(spark: SparkSession) -> DataFrame:
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = combos(spark).select("combo_ord", "combo", "force", F.explode("members").alias("source"))
-    return m.join(F.broadcast(sources(spark)), "source").withColumn("tiled", F.coalesce("force", F.col("median_px") <= TILE_BELOW)).withColumn("own_tiled", F.col("median_px") <= TILE_BELOW)
+    return m.join(F.broadcast(sources(spark, sf_dir)), "source").withColumn("tiled", F.coalesce("force", F.col("median_px") <= TILE_BELOW, F.lit(False))).withColumn("own_tiled", F.coalesce(F.col("median_px") <= TILE_BELOW, F.lit(False)))
 
 
 def combo_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each combination: the sources behind each claim, tiled sources, claims that no source backs, whether all members tile alike by their own measure, and what is to be said of false positives."""
-    m = _members(spark)
+    m = _members(spark, sf_dir)
     said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "source")))), lambda s: s["source"]), ",")
     out = m.groupBy("combo_ord", "combo").agg(*[said(F.col(c)).alias(c) for c in CLAIMS], said(F.col("tiled")).alias("tiled_sources"), (F.countDistinct("own_tiled") <= 1).alias("uniform_tiling"))
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == "", F.lit(c)) for c in CLAIMS])), ",")
@@ -59,7 +55,7 @@ def matrix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model with every combination: its latest run, or why it is skipped (no frames of a member), in the plan's order: combination, then the first model, then the others by name."""
     m = spark.createDataFrame([(i, x) for i, x in enumerate(MODELS)], "model_ord int, model string")
     frames = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97 % 8).cast("int").alias("ord")).distinct()
-    ready = _members(spark).join(F.broadcast(frames.withColumn("has", F.lit(True))), "ord", "left").groupBy("combo").agg(F.count_if(F.col("has").isNull()).alias("absent"))
+    ready = _members(spark, sf_dir).join(F.broadcast(frames.withColumn("has", F.lit(True))), "ord", "left").groupBy("combo").agg(F.count_if(F.col("has").isNull()).alias("absent"))
     latest = runs(spark, sf_dir).groupBy("model", "combo").agg(F.max_by(F.struct("run_id", "map50"), F.struct("trained_at", "run_id")).alias("r"), F.count(F.lit(1)).alias("runs"))
     grid = combos(spark).select("combo_ord", "combo").crossJoin(F.broadcast(m)).join(F.broadcast(ready), "combo")
     out = grid.join(latest, ["model", "combo"], "left")
@@ -78,9 +74,9 @@ def run_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best metric of each model on each source, over the runs whose combination holds it: null where there is none, and beside it the summary's figure, which is 0 there."""
-    held = _members(spark).select("combo", "source")
+    held = _members(spark, sf_dir).select("combo", "source")
     best = runs(spark, sf_dir).join(F.broadcast(held), "combo").groupBy("model", "source").agg(F.max("map50").alias("map50"))
-    grid = spark.createDataFrame([(m,) for m in MODELS], "model string").crossJoin(sources(spark).select("source"))
+    grid = spark.createDataFrame([(m,) for m in MODELS], "model string").crossJoin(sources(spark, sf_dir).select("source"))
     return grid.join(best, ["model", "source"], "left").withColumn("shown", F.coalesce("map50", F.lit(0.0)))
 
 
@@ -93,7 +89,7 @@ def training_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image size, batch and tile of each model on each combination: the override, else the combination's, else the model's recipe."""
     recipe = spark.createDataFrame([("yolo", 960, 16), ("rtdetr", 640, 8), ("dino", 800, 2)], "model string, recipe_size int, recipe_batch int")
-    sized = _members(spark).groupBy("combo_ord", "combo").agg(F.min("median_px").alias("least"), F.max(F.col("tiled").cast("int")).alias("tiled"))
+    sized = _members(spark, sf_dir).groupBy("combo_ord", "combo").agg(F.min("median_px").alias("least"), F.max(F.col("tiled").cast("int")).alias("tiled"))
     own = F.when(F.col("least") < 16, 1280).when(F.col("least") < 32, 960)
     override = F.when((F.col("combo") == "all8") & (F.col("model") == "yolo"), 1024)
     batch = F.when(F.col("imgsz") > F.col("recipe_size"), F.greatest(F.lit(1), F.floor(F.col("recipe_batch") * F.col("recipe_size") * F.col("recipe_size") / (F.col("imgsz") * F.col("imgsz"))))).otherwise(F.col("recipe_batch"))
@@ -115,20 +111,25 @@ def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered domain of severities, without the empty one."""
+    """The ordered domain of severities, without the empty one, with the identities that reach each."""
+    from skyledger.operators.alerts import alert_verdicts
+
     names = ("none", "info", "warn", "critical")
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, severity string").where("severity <> 'none'")
+    domain = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, severity string").where("severity <> 'none'")
+    per = alert_verdicts(spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("identities"))
+    return domain.join(F.broadcast(per), "severity", "left").select("rank", "severity", F.coalesce("identities", F.lit(0)).alias("identities"))
 
 
 QUERIES = (combo_claims, matrix_plan, run_catalog, cross_table, training_curves, resolved_plans, rule_problems, severities)
 
 
 def oracles(views: str) -> dict[str, str]:
-    src = ", ".join(f"({i}, '{n}', {m}, {b}, {t}, {v})" for i, (n, m, b, t, v) in enumerate(SOURCES))
+    from skyledger.operators.alerts import oracles as verdict_sql
+
     mem = ", ".join(f"({i}, '{n}', '{s}', {'NULL' if f is None else f})" for i, (n, ms, f) in enumerate(COMBOS) for s in ms)
     pick = lambda values, c: f"list_extract({list(values)!r}, CAST({c} AS INT) + 1)"
-    head = f"""WITH src(ord, source, median_px, bird_negatives, track_ids, visibility) AS (VALUES {src}),
-mem AS (SELECT c.*, s.* EXCLUDE source, coalesce(CAST(force AS BOOLEAN), median_px <= {TILE_BELOW}) AS tiled, median_px <= {TILE_BELOW} AS own_tiled FROM (VALUES {mem}) c(combo_ord, combo, source, force) JOIN src s USING (source)),
+    head = f"""WITH {sources_sql()},
+mem AS (SELECT c.*, s.* EXCLUDE source, coalesce(CAST(force AS BOOLEAN), median_px <= {TILE_BELOW}, false) AS tiled, coalesce(median_px <= {TILE_BELOW}, false) AS own_tiled FROM (VALUES {mem}) c(combo_ord, combo, source, force) JOIN src s USING (source)),
 models(model_ord, model) AS (VALUES (0, 'yolo'), (1, 'rtdetr'), (2, 'dino')),
 runs AS (SELECT s_suppkey AS run_id, {pick(MODELS, 's_suppkey % 3')} AS model, {pick([c[0] for c in COMBOS], 's_suppkey % 14')} AS combo, s_suppkey * 7919 % 100000 AS trained_at, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 37 % 1000) / 1000.0::DOUBLE END AS map50, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey * 91 % 1000) / 1000.0::DOUBLE END AS recall FROM supplier)
 """
@@ -143,5 +144,5 @@ runs AS (SELECT s_suppkey AS run_id, {pick(MODELS, 's_suppkey % 3')} AS model, {
         "training_curves": "WITH e AS (SELECT o_custkey % 20 AS run_id, o_orderkey AS epoch, (o_orderkey * 31 % 997) / 997.0::DOUBLE AS metric, (o_orderkey * 17 % 499) / 100.0::DOUBLE AS loss FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY metric DESC, epoch) AS n FROM e) SELECT run_id, count(*) AS epochs, max(epoch) FILTER (WHERE n = 1) AS best_epoch, max(metric) AS best_metric, min(loss) AS least_loss FROM r GROUP BY 1",
         "resolved_plans": head + ", sized AS (SELECT combo, min(median_px) AS least, max(CAST(tiled AS INT)) AS tiled FROM mem GROUP BY 1), rec(model, size, batch) AS (VALUES ('yolo', 960, 16), ('rtdetr', 640, 8), ('dino', 800, 2)), p AS (SELECT combo, model, size, rec.batch AS b, tiled, coalesce(CASE WHEN combo = 'all8' AND model = 'yolo' THEN 1024 END, CASE WHEN least < 16 THEN 1280 WHEN least < 32 THEN 960 END, size) AS imgsz FROM sized CROSS JOIN rec) SELECT combo, model, imgsz, CAST(CASE WHEN imgsz > size THEN greatest(1, b * size * size // (imgsz * imgsz)) ELSE b END AS BIGINT) AS batch, CASE WHEN tiled = 1 THEN 640 END AS tile FROM p",
         "rule_problems": f"WITH r AS (SELECT n_nationkey AS variant, {', '.join(f'{v} AS {n}' for n, v in rules.items())} FROM nation) SELECT variant, array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), '; ') AS problems FROM r",
-        "severities": "SELECT * FROM (VALUES (1, 'info'), (2, 'warn'), (3, 'critical')) t(rank, severity)",
+        "severities": f"SELECT rank, severity, count(v.gid) AS identities FROM (VALUES (1, 'info'), (2, 'warn'), (3, 'critical')) t(rank, severity) LEFT JOIN ({verdict_sql(views)['alert_verdicts']}) v USING (severity) GROUP BY 1, 2",
     }

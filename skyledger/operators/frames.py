@@ -69,6 +69,7 @@ def label_harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiling_plan(spark: SparkSession, sf_dir: str, threshold: int = 40) -> DataFrame:
-    """Which sources are tiled by default: those whose median target is at most the threshold."""
-    s = spark.createDataFrame(views.SOURCES, "source string, median_px int, birds boolean, tracks boolean, visibility boolean")
-    return s.select("source", (F.col("median_px") <= threshold).alias("tiled"), F.concat_ws(",", F.when(F.col("birds"), "bird_negatives"), F.when(F.col("tracks"), "track_ids"), F.when(F.col("visibility"), "visibility")).alias("claims"))
+    """Which sources are tiled by default: those whose median target, as measured, is at most the threshold; with what they claim."""
+    s = views.sources(spark, sf_dir)
+    claims = F.concat_ws(",", *[F.when(F.col(c), c) for c in ("bird_negatives", "track_ids", "visibility")])
+    return s.select("source", "median_px", F.coalesce(F.col("median_px") <= threshold, F.lit(False)).alias("tiled"), claims.alias("claims"))

@@ -117,9 +117,11 @@ def geofence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fence_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fence's area, and the observations that it is the first to hold."""
     rows = [(n, a, [{"x": float(x), "y": float(y)} for x, y in p]) for n, a, p in FENCES]
     d = spark.createDataFrame(rows, "fence string, action string, corners array<struct<x:double,y:double>>")
-    return d.select("fence", "action", geometry.shoelace("corners").alias("area"))
+    held = geofence_hits(spark, sf_dir).groupBy("fence").agg(F.count(F.lit(1)).alias("held"))
+    return d.join(F.broadcast(held), "fence", "left").select("fence", "action", geometry.shoelace("corners").alias("area"), F.coalesce("held", F.lit(0)).alias("held"))
 
 
 def handoff_candidates(spark: SparkSession, sf_dir: str, reach: float = 400.0, best: int = 3) -> DataFrame:

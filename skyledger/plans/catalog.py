@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skyledger.operators import alerts, clusters, conversions, coordination, coverage, curation, experiments, frames, fusion, lenses, scores, shapes, sightings, trackers, tracks
 from skyledger.plans import oracles
-from skyledger.sources.views import SOURCES
+from skyledger.sources.views import sources_sql
 from skyledger.streaming import edge
 
 QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity, tracks.ground_positions)}
@@ -24,7 +24,6 @@ n AS (SELECT *, count(*) FILTER (WHERE long) OVER (PARTITION BY dataset, modalit
 s AS (SELECT dataset, modality, sequence_id, frames, CASE WHEN long AND r <= CASE WHEN n >= 3 THEN greatest(CAST(round_even(n * 0.15, 0) AS INT), least(2, n // 2)) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM n)
 """
 _END = "z AS (SELECT 1)\n"
-_SOURCES = ", ".join(f"('{s}', {m}, '{','.join(c for c, on in (('bird_negatives', b), ('track_ids', t), ('visibility', v)) if on)}')" for s, m, b, t, v in SOURCES)
 
 ORACLES = {
     "ground_positions": _VIEWS + """d AS (SELECT event_id, camera_id, (x - 500) / 900.0::DOUBLE AS r, (y - 500) / 900.0::DOUBLE AS w, radians(camera_id * 36.0::DOUBLE) AS a, radians(-20.0::DOUBLE) AS p FROM o),
@@ -40,7 +39,7 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
     "split_summary": _VIEWS + _STRATA + "SELECT dataset, split, count(*) AS groups, CAST(sum(frames) AS BIGINT) AS frames FROM s GROUP BY ALL",
     "exact_duplicates": "SELECT md5(text) AS digest, min(doc_id) AS first, count(*) AS members, min(source) <> max(source) AS cross_source FROM documents GROUP BY 1 HAVING count(*) > 1",
     "label_harmonize": "SELECT regexp_replace(lower(trim(p_type)), '[- ]', '_', 'g') AS label, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60), '_+$', ''), ''), 'unnamed') AS slug, count(*) AS rows FROM part GROUP BY 1, 2",
-    "tiling_plan": f"SELECT source, m <= 40 AS tiled, claims FROM (VALUES {_SOURCES}) t(source, m, claims)",
+    "tiling_plan": f"WITH {sources_sql()} SELECT source, median_px, coalesce(median_px <= 40, false) AS tiled, concat_ws(',', CASE WHEN bird_negatives THEN 'bird_negatives' END, CASE WHEN track_ids THEN 'track_ids' END, CASE WHEN visibility THEN 'visibility' END) AS claims FROM src",
     "iou_pairs": _VIEWS + _END + "SELECT l_orderkey, gt_id, pred_id, i / (areas - i) AS iou FROM pairs WHERE i / (areas - i) >= 0.5",
     "cross_camera": _VIEWS + _END + "SELECT a.event_id, a.global_id, CAST(count(DISTINCT c.camera_id) AS INT) AS cameras, CASE WHEN count(DISTINCT c.camera_id) >= 2 THEN 'pass' ELSE 'fail' END AS outcome FROM o a JOIN o c ON a.global_id = c.global_id AND c.frame_index BETWEEN a.frame_index - 75 AND a.frame_index GROUP BY 1, 2",
     "velocities": _VIEWS + _END + "SELECT event_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, frame_index - lag(frame_index) OVER w AS gap FROM o WINDOW w AS (PARTITION BY global_id, camera_id ORDER BY frame_index)",

@@ -83,7 +83,7 @@ e AS (SELECT *, least(x1 + w, tx + 640) - greatest(x1, tx) AS vw, least(y1 + h,
 SELECT l_orderkey, box_ord, tile, greatest(x1 - tx, 0) AS bx, greatest(y1 - ty, 0) AS by, vw AS bw, vh AS bh FROM e WHERE vw > 0 AND vh > 0 AND vw * vh >= 0.35 * w * h""",
         "motion_compensated": views + end + f"SELECT l_orderkey, box_ord, least({xs}) AS left, least({ys}) AS top, greatest({xs}) AS right, greatest({ys}) AS bottom FROM b",
         "geofence_hits": views + f"e AS (SELECT event_id, {_case([(c, repr(n)) for c, n, _ in fence], 'NULL')} AS fence, {_case([(c, repr(a)) for c, _, a in fence], 'NULL')} AS action FROM o) SELECT * FROM e WHERE fence IS NOT NULL",
-        "fence_areas": f"SELECT * FROM (VALUES {areas}) t(fence, action, area)",
+        "fence_areas": views + f"e AS (SELECT {_case([(c, repr(n)) for c, n, _ in fence], 'NULL')} AS fence FROM o) SELECT t.fence, t.action, t.area, count(e.fence) AS held FROM (VALUES {areas}) t(fence, action, area) LEFT JOIN e ON e.fence = t.fence GROUP BY 1, 2, 3",
         "handoff_candidates": views + f"c AS (SELECT * FROM (VALUES {cams}) t(camera, cx, cy)), d AS (SELECT event_id, camera, sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) AS m FROM o, c WHERE camera <> camera_id), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY m, camera) - 1 AS rank FROM d WHERE m <= 400) SELECT event_id, rank::INT AS rank, camera, round(m, 6) AS metres FROM r WHERE rank < 3",
         "rule_verdicts": views + """rc AS (SELECT a.event_id, count(DISTINCT c.camera_id) AS recent FROM o a JOIN o c ON a.global_id = c.global_id AND c.frame_index BETWEEN a.frame_index - 75 AND a.frame_index GROUP BY 1),
 t AS (SELECT global_id, camera_id, max(confidence) AS best, count(*) AS hits, max(frame_index) - min(frame_index) AS span, max(recent) AS recent FROM o JOIN rc USING (event_id) GROUP BY 1, 2),

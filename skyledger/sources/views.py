@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The sources' fixed values: name, median target in pixels, has bird negatives, track ids, visibility flags.
+#: The sources' published values: name, median target in pixels, has bird negatives, track ids, visibility flags.
 SOURCES = (
     ("dvb", 28, True, False, False),
     ("mavvid", 171, True, False, False),
@@ -18,6 +18,28 @@ SOURCES = (
 )
 
 
+#: The same measured on the frames themselves, in SQL: a source's boxes are the larger, the higher its number is modulo four.
+SOURCES_SQL = """m AS (SELECT l_orderkey % 97 % 8 AS ord, CAST(floor(median(least(CAST(floor(l_quantity) AS BIGINT) + 4, l_linenumber * 5 + 3) * (1 + l_orderkey % 97 % 8 % 4))) AS INT) AS median_px, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS birds, count(DISTINCT l_orderkey) AS frames, sum(l_partkey % 100) AS sure FROM lineitem GROUP BY 1),
+src AS (SELECT s.ord, s.source, median_px, coalesce(birds * sum(n) OVER () > sum(birds) OVER () * n, false) AS bird_negatives, coalesce(n * sum(frames) OVER () > sum(n) OVER () * frames, false) AS track_ids, coalesce(sure * sum(n) OVER () > sum(sure) OVER () * n, false) AS visibility FROM (VALUES {names}) s(ord, source) LEFT JOIN m USING (ord))"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources in order, as their frames show them: median target in pixels, and claims where a source has more than the corpus of birds among its boxes, of boxes a frame, of sure boxes. A source without frames has no median and claims nothing."""
+    k = F.col("l_orderkey") % 97 % 8
+    side = F.least(F.floor("l_quantity") + 4, F.col("l_linenumber") * 5 + 3) * (1 + k % 4)
+    per = read(spark, sf_dir, "lineitem").groupBy(k.cast("int").alias("ord")).agg(F.floor(F.median(side)).cast("int").alias("median_px"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("birds"), F.count_distinct("l_orderkey").alias("frames"), F.sum(F.col("l_partkey") % 100).alias("sure"))
+    names = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SOURCES)], "ord int, source string")
+    # eight rows
+    total = lambda c: F.sum(c).over(Window.partitionBy())
+    more = lambda part, whole: F.coalesce(F.col(part) * total(whole) > total(part) * F.col(whole), F.lit(False))
+    return names.join(F.broadcast(per), "ord", "left").select("ord", "source", "median_px", more("birds", "n").alias("bird_negatives"), more("n", "frames").alias("track_ids"), more("sure", "n").alias("visibility"))
+
+
+def sources_sql() -> str:
+    """CTEs m and src: the same in SQL."""
+    return SOURCES_SQL.format(names=", ".join(f"({i}, '{s[0]}')" for i, s in enumerate(SOURCES)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
