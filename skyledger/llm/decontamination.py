@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import PLAIN_BYTES, RAW_BYTES, mix, power_tables, read, text_chunks, window_hashes
+from skyledger.llm.common import PLAIN_BYTES, RAW_BYTES, fresh, mix, power_tables, read, settle, text_chunks, window_hashes
 
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit kph mph km/h m/s hz khz mhz ghz w kw v volt volts j joule joules n newton newtons pa".split())
@@ -215,13 +216,18 @@ class Index:
         return same
 
 
-def _blocks(benchmark: DataFrame, p: TemplateParams, item_col: str, text_col: str):
+def _blocks(benchmark: DataFrame, p: TemplateParams, item_col: str, text_col: str) -> tuple[int, Iterator[Index]]:
+    """How many blocks the benchmark makes, and their indexes one after another; the driver has one at a time."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = size // p.block_chars + 1
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b) if n > 1 else items
-        yield Index(sorted({(r.i, r.t) for r in part.collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1])), p)
+
+    def made():
+        for b in range(n):
+            part = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b) if n > 1 else items
+            yield Index(sorted({(r.i, r.t) for r in part.collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1])), p)
+
+    return n, made()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -233,10 +239,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Templa
     whatever their names, are left out. Null and empty texts leak nothing;
     repeated rows each give theirs; no match, no row. Windows short of literals, and short items, count
     only by their exact words, apart from case and punctuation. Whole texts are read, in one pass for each
-    block_chars of benchmark, without a shuffle of the documents.
+    block_chars of benchmark, without a shuffle of the documents. Of several blocks each one's leaks are
+    settled before the next is made, and its index is given up, so memory is that of one.
     """
-    out = None
-    for index in _blocks(benchmark, p, item_col, "text"):
+    out, (n, indexes) = None, _blocks(benchmark, p, item_col, "text")
+    for index in indexes:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -249,26 +256,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Templa
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "windows", "slots", "exact"])
 
         part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, item_id long, windows long, slots long, exact boolean")
+        if n > 1:
+            part = settle(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams(), text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of the benchmark (see find_leaks)."""
-    for index in _blocks(benchmark, p, item_col, "text"):
+    """The rows of docs, with all their columns, that hold no window of the benchmark (see find_leaks). With several blocks of benchmark only the digests of leaking texts are settled in each pass, and the rows go once, at the end."""
+    n, indexes = _blocks(benchmark, p, item_col, "text")
+    leaking, digest = None, fresh(docs, "leaking_text")
+    for index in indexes:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, keep=n == 1, name=text_col):
             import pyarrow as pa
 
             index = shared.value
             for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[i for i, *_ in index.leaks(batch.column(batch.schema.get_field_index(text_col)), p)]] = False
+                clean = np.full(batch.num_rows, keep)
+                clean[[i for i, *_ in index.leaks(batch.column(batch.schema.get_field_index(name)), p)]] = not keep
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        if n == 1:
+            return docs.mapInArrow(run, docs.schema)
+        texts = docs.select(text_col)
+        found = settle(texts.mapInArrow(run, texts.schema).select(F.md5(F.col(text_col).cast("binary")).alias(digest)).distinct())
+        shared.destroy()
+        leaking = found if leaking is None else leaking.unionByName(found)
+    return docs.join(leaking.distinct(), F.md5(docs[text_col].cast("binary")) == F.col(digest), "left_anti")
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

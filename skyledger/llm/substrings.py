@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import WORD, hash_words, mix, read, text_chunks, text_of, window_hashes
+from skyledger.llm.common import WORD, hash_words, mix, read, settle, text_chunks, text_of, window_hashes
 
 _WORDS = re.compile(WORD)
 
@@ -66,36 +66,54 @@ class SuffixAutomaton:
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, least: int = 13, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, n_words, n_removed): docs without the words of maximal spans of `least` words or more that stand in a text of reference.
 
-    The reference is cut into shards of about shard_words words, whose automata (some 150 MB each at
-    that size) are broadcast one after another; documents stream past each. The passes over docs grow
+    The reference is cut into shards of about shard_words words, whose automata (some 66 MB each, measured, at
+    that size) are broadcast one after another; documents stream past each, and of several shards each
+    one's finds are settled and its automaton is given up before the next is made. The passes over docs grow
     with the reference, so this is for one that is small beside the corpus: a benchmark, a licence or
     boilerplate collection. Spans are judged on the input. Null text is empty; kept words are joined by a space.
     """
     spark = docs.sparkSession
+    done = []
     sized = reference.select(text_of(text_col).alias("t")).where("t <> ''").distinct()
     total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
     n = total // (6 * shard_words) + 1
-    out = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.expr("cast(array() as array<int>)").alias("gone"))
-    schema = out.schema
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    if n > 1:
+        # numbered once, so that what each pass finds goes back to its row
+        rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    key = "row" if n > 1 else "doc_id"
+    out = rows.select(key, "text")
     for i in range(n):
         part = [_WORDS.findall(r.t) for r in sized.where(F.pmod(F.xxhash64("t"), F.lit(n)) == i).collect()]
         shared = spark.sparkContext.broadcast(SuffixAutomaton(part))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, whole=n == 1):
             import pyarrow as pa
 
             for batch in batches:
                 gone = []
-                for t, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    words = _WORDS.findall(t)
-                    hit = set(had)
-                    for at, size in enumerate(shared.value.statistics(words)):
+                for t in batch.column(1).to_pylist():
+                    hit = set()
+                    for at, size in enumerate(shared.value.statistics(_WORDS.findall(t))):
                         if size >= least:
                             hit.update(range(at - size + 1, at + 1))
                     gone.append(sorted(hit))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text", "gone"])
+                kept = [batch.column(0), *([batch.column(1)] if whole else []), pa.array(gone, pa.list_(pa.int32()))]
+                made = pa.RecordBatch.from_arrays(kept, [batch.schema.names[0], *(["text"] if whole else []), "gone"])
+                yield made if whole else made.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        kind = out.schema[key].dataType.simpleString()
+        if n == 1:
+            out = out.mapInArrow(run, f"doc_id {kind}, text string, gone array<int>")
+        else:
+            done.append(settle(out.mapInArrow(run, f"row {kind}, gone array<int>")))
+            shared.destroy()
+    if n > 1:
+        found = done[0]
+        for more in done[1:]:
+            found = found.unionByName(more)
+        found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        out = rows.join(found, "row", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     kept = F.expr("if(size(w) = 0, w, transform(array_except(sequence(0, size(w) - 1), gone), i -> w[i]))")
     return out.withColumn("w", words).select(F.col("doc_id").alias(id_col), F.array_join(kept, " ").alias("text"), F.size("w").cast("long").alias("n_words"), F.size("gone").cast("long").alias("n_removed"))
