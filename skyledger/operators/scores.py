@@ -166,9 +166,10 @@ def largest_clusters(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFram
     return of.exact_duplicates(spark, sf_dir).orderBy(F.desc("members"), "first").limit(top).select("first", "members")
 
 
-def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
-    """Pairs of 64-bit sign hashes that differ in at most four bits. Of six bands of bits at least two are equal in such a pair, so only rows that share two bands, some 21 bits, meet; a pair counts in its first two, and equal hashes are one node."""
-    nodes = views.hashes(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id"))
+def near_hashes(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """nodes (id, hash), a row per hash -> (a, b, distance), a < b: pairs that differ in `most` bits or fewer, four at the most. Of six bands of bits at least two are equal in such a pair, so only rows that share two bands, some 21 bits, meet; a pair counts in its first two."""
+    if most > 4:
+        raise ValueError("six bands show pairs of up to four bits")
     cut = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
     band = lambda c, k: F.shiftright(c, cut[k][0]).bitwiseAND((1 << cut[k][1]) - 1)
     twos = list(combinations(range(len(cut)), 2))
@@ -181,6 +182,11 @@ def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
     return near.select(F.col("id").alias("a"), F.col("other").alias("b"), F.bit_count(x).alias("distance"))
 
 
+def hamming_pairs(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
+    """Pairs of 64-bit sign hashes that differ in at most four bits; equal hashes are one node."""
+    return near_hashes(views.hashes(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id")), most)
+
+
 def cluster_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over clusters of equal content: clusters, surplus rows, clusters across sources."""
     c = of.exact_duplicates(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.operators import alerts, clusters, conversions, coordination, coverage, curation, evaluations, experiments, frames, fusion, lenses, scores, shapes, sightings, trackers, tracks
+from skyledger.operators import alerts, clusters, conversions, coordination, coverage, curation, evaluations, experiments, frames, fusion, leaders, lenses, scores, shapes, sightings, sites, trackers, tracks
 from skyledger.plans import oracles
 from skyledger.sources.views import sources_sql
 from skyledger.streaming import edge
@@ -49,7 +49,7 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
 ORACLES |= oracles.build(_VIEWS)
 
 #: Modules that hold their queries' oracle SQL themselves, where they have any.
-MODULES = (trackers, fusion, experiments, curation, coverage, alerts, conversions, clusters, coordination, sightings, lenses, evaluations)
+MODULES = (trackers, fusion, experiments, curation, coverage, alerts, conversions, clusters, coordination, sightings, lenses, evaluations, sites, leaders)
 for module in MODULES:
     QUERIES |= {f.__name__: f for f in module.QUERIES}
     if hasattr(module, "oracles"):
