@@ -97,7 +97,18 @@ QUERIES = (duplicate_components, first_fit_clusters, duplicate_report)
 
 
 def oracles(views: str) -> dict[str, str]:
+    # image by image, over a list of all hashes so far with their cluster; of the clusters that hold a near one the first counts
+    fit = f"""WITH RECURSIVE own AS (SELECT vec_id AS id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i ELSE 0::UBIGINT END), lambda s, v: s | v) AS hash FROM embeddings),
+h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS n, * FROM (SELECT * FROM own UNION ALL SELECT id + 10000000, xor(hash, ((1::UBIGINT << (id // 20 % 7)) - 1)::UBIGINT) FROM own WHERE id % 20 = 0)),
+w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS id, [] :: STRUCT(c BIGINT, hash UBIGINT)[] AS seen, 0::BIGINT AS cluster
+  UNION ALL SELECT n, id, list_append(seen, {{'c': coalesce(c, id), 'hash': hash}}), coalesce(c, id) FROM (SELECT w.seen, h.n, h.id, h.hash, list_min(list_transform(list_filter(w.seen, lambda m: bit_count(xor(m.hash, h.hash)) <= {MOST}), lambda m: m.c)) AS c FROM w JOIN h ON h.n = w.n + 1) x),
+f AS (SELECT id, cluster FROM w WHERE n > 0)
+"""
     return {
+        "first_fit_clusters": fit + "SELECT * FROM f",
+        "duplicate_report": fit
+        + """, c AS (SELECT cluster, count(*) AS n, count(DISTINCT id % 8) AS sources, count(DISTINCT id % 6 = 0) AS splits FROM f GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS images, count(*) FILTER (n > 1) AS clusters, sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS surplus, count(*) FILTER (n > 1 AND sources > 1) AS cross_source, count(*) FILTER (n > 1 AND splits > 1) AS cross_split, count(*) FILTER (n > 1 AND splits > 1 AND n <= 6) AS to_review FROM c)
+SELECT *, round(surplus / greatest(images, 1)::DOUBLE, 9) AS share FROM t""",
         "duplicate_components": """WITH RECURSIVE own AS (SELECT vec_id AS id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END)), lambda s, x: xor(s, x)) AS hash FROM embeddings),
 h AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT id + 10000000, xor(hash, ((1::UBIGINT << (id // 20 % 7)::UBIGINT) - 1)::UBIGINT) FROM own WHERE id % 20 = 0),
 e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 4),

@@ -46,6 +46,15 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
     "track_fragments": _VIEWS + "m AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER w <= 5 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY global_id, camera_id ORDER BY frame_index)), q AS (SELECT *, CAST(sum(new) OVER (PARTITION BY global_id, camera_id ORDER BY frame_index) AS BIGINT) AS fragment FROM m) SELECT global_id, camera_id, fragment, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS hits FROM q GROUP BY 1, 2, 3",
     "persistence_gate": _VIEWS + _END + "SELECT global_id, camera_id, CASE WHEN count(*) >= 12 THEN 'pass' ELSE 'fail' END AS persistence, CASE WHEN max(confidence) IS NULL THEN 'skipped' WHEN max(confidence) >= 0.6 THEN 'pass' ELSE 'fail' END AS confidence FROM o GROUP BY 1, 2",
 }
+ORACLES["gallery_similarity"] = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM e GROUP BY 1, 2)
+SELECT vec_id, label, round(sum(v * m) / sqrt(sum(v * v) * sum(m * m)), 6) AS cosine FROM e JOIN m USING (label, i) WHERE vec_id % 20 = 0 GROUP BY 1, 2"""
+#: The gate sighting by sighting: hits, whether it has alerted, and the last frame.
+ORACLES["stream_edge_gate"] = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id, object_id ORDER BY frame, event_id) AS n FROM (SELECT (event_id * 7 + user_id * 3) % 10 AS source_id, user_id % 40 AS object_id, event_id, event_id // 400 AS frame, (event_id % 100) / 100.0::DOUBLE AS confidence FROM events)),
+g AS (SELECT source_id, object_id, 0::BIGINT AS n, 0::BIGINT AS event_id, 0::BIGINT AS hits, false AS alerted, -1::BIGINT AS last, '' AS decision FROM (SELECT DISTINCT source_id, object_id FROM s)
+  UNION ALL SELECT source_id, object_id, n, event_id, h, CASE WHEN a THEN confidence >= {edge.DROP} ELSE confidence >= {edge.PROMOTE} AND h >= {edge.HITS} END, frame,
+    CASE WHEN a THEN CASE WHEN confidence >= {edge.DROP} THEN 'keep' ELSE 'drop' END WHEN confidence >= {edge.PROMOTE} AND h >= {edge.HITS} THEN 'promote' ELSE 'hold' END
+  FROM (SELECT s.*, CASE WHEN g.last >= 0 AND s.frame - g.last > {edge.MISSED} THEN 1 ELSE g.hits + 1 END AS h, g.alerted AND NOT (g.last >= 0 AND s.frame - g.last > {edge.MISSED}) AS a FROM g JOIN s ON s.source_id = g.source_id AND s.object_id = g.object_id AND s.n = g.n + 1) x)
+SELECT source_id, object_id, event_id, decision FROM g WHERE decision IN ('promote', 'drop')"""
 ORACLES |= oracles.build(_VIEWS)
 
 #: Modules that hold their queries' oracle SQL themselves, where they have any.
