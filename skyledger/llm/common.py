@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this run's own that nothing reads any more, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lineage is cut and a lost executor costs nothing."""
     sc = df.sparkSession.sparkContext
