@@ -21,6 +21,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a run's own that nothing reads any more, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_index(records: DataFrame, root: str) -> None:
     """Replaces the partitions (dataset, variant) that records hold and no others, in order of sequence, modality and frame within each file."""
     d = records.repartition("dataset", "variant", "sequence_id").sortWithinPartitions("dataset", "variant", "sequence_id", "modality", "frame_index")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.operators.passes import stateful
-from skyledger.sources.sinks import scratch
+from skyledger.sources.sinks import discard, scratch
 
 #: Fixed values of the edge gate.
 HITS, PROMOTE, DROP, MISSED = 12, 0.60, 0.35, 4
@@ -75,7 +75,7 @@ def sightings(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Runs a stream over all that is there and returns its result, written to the shared folder. mode "append" gives all rows; "update" the last row of each of keys."""
+    """Runs a stream over all that is there and returns its result, written to the shared folder; its state is removed, as such a run isn't taken up again. mode "append" gives all rows; "update" the last row of each of keys."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
@@ -88,6 +88,7 @@ def drain(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame
     try:
         q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
+        discard(spark, f"{path}/state")
     finally:
         spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
