@@ -16,9 +16,6 @@ CAMERAS, WINDOW_S, APART_M, STEP_PX, LAST_FRAMES = 2, 3.0, 25.0, 0.5, 6
 #: Heights up to which the fences hold, in their order.
 FENCE_HEIGHTS = (12.0, 60.0, 30.0)
 IMAGE_HEIGHT = 1080
-#: Sightings that a running mean of confidences looks back over: what lies before weighs less than 1e-39.
-LOOK_BACK = 256
-
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings of an identity per user: seconds, camera and node, ground place and height, centre in pixels, confidence."""
@@ -32,10 +29,15 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def running_mean(c: str, order: list[str], keep: float = 0.7) -> Column:
-    """An exponential mean of c along order within a group, seeded by the first value; a mean of 0 counts as unset. Held to the last LOOK_BACK values."""
-    last = F.slice(F.sort_array(F.collect_list(F.struct(*order, c)), False), 1, LOOK_BACK)
-    return F.aggregate(F.reverse(last), F.lit(0.0), lambda s, x: F.when(s == 0, x[c]).otherwise(keep * s + (1 - keep) * x[c]))
+def running_mean(c: str, order: str, back: str, keep: float = 0.7) -> Column:
+    """An exponential mean of c along order within a group, seeded by the first value; a mean of 0 counts as unset, so zeros before the first other value don't count. back: a row's place from the end, the last one's is 1.
+
+    As a sum of weights, which is added up in parts and holds no group's history: a value weighs
+    1 - keep, the seed 1, times keep for each value after it.
+    """
+    weight = F.pow(F.lit(keep), F.col(back) - 1)
+    seed = F.min(F.when(F.col(c) != 0, F.struct(order, F.col(c).alias("v"), weight.alias("w"))))
+    return F.sum(F.col(c) * (1 - keep) * weight) + F.coalesce(seed["v"] * keep * seed["w"], F.lit(0.0))
 
 
 def verdicts(seen: DataFrame, horizons: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def verdicts(seen: DataFrame, horizons: DataFrame) -> DataFrame:
     spread = s.where(recent).join(first, "gid").groupBy("gid").agg(F.max(F.sqrt(F.pow(F.col("x") - F.col("p0.x"), 2) + F.pow(F.col("y") - F.col("p0.y"), 2))).alias("spread"))
     at = lambda c: F.max_by(c, "frame").alias(c)
     t = s.groupBy("gid").agg(
-        F.count(F.lit(1)).alias("hits"), (F.max("t") - F.min("t")).alias("duration"), running_mean("confidence", ["frame"]).alias("mean"), *[at(c) for c in ("x", "y", "z", "py", "camera", "speed")],
+        F.count(F.lit(1)).alias("hits"), (F.max("t") - F.min("t")).alias("duration"), running_mean("confidence", "frame", "back").alias("mean"), *[at(c) for c in ("x", "y", "z", "py", "camera", "speed")],
         F.countDistinct("camera").alias("all_cameras"), F.countDistinct(F.when(recent, F.col("camera"))).alias("cameras"), F.countDistinct(F.when(recent, F.col("node"))).alias("nodes"),
         F.count_if(lately).alias("n_late"), (F.max(F.when(lately, F.col("t"))) - F.min(F.when(lately, F.col("t")))).alias("covered"), (F.max(F.when(lately, F.col("z"))) - F.min(F.when(lately, F.col("z")))).alias("rise"),
     )
@@ -129,7 +131,7 @@ hl AS (SELECT *, lag(hg) OVER (PARTITION BY gid ORDER BY frame) AS b FROM hd),
 tn AS (SELECT gid, CASE WHEN count(*) >= 2 THEN degrees(sum(abs(((hg - b + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi())) / sum(sec) FILTER (WHERE b IS NOT NULL)) END AS turn FROM hl GROUP BY 1),
 rc AS (SELECT * FROM w WHERE t >= last_t - {WINDOW_S}), p0 AS (SELECT gid, arg_min(x, frame) AS x0, arg_min(y, frame) AS y0 FROM rc WHERE x IS NOT NULL GROUP BY 1),
 sp AS (SELECT gid, max(sqrt(pow(x - x0, 2) + pow(y - y0, 2))) AS spread FROM rc JOIN p0 USING (gid) GROUP BY 1),
-em AS (SELECT gid, list_reduce(list_prepend(0.0::DOUBLE, list(confidence ORDER BY frame)[-{LOOK_BACK}:]), lambda s, c: CASE WHEN s = 0 THEN c ELSE 0.7::DOUBLE * s + (1 - 0.7::DOUBLE) * c END) AS mean FROM s GROUP BY 1),
+em AS (SELECT gid, list_reduce(list_prepend(0.0::DOUBLE, list(confidence ORDER BY frame)), lambda s, c: CASE WHEN s = 0 THEN c ELSE 0.7::DOUBLE * s + (1 - 0.7::DOUBLE) * c END) AS mean FROM s GROUP BY 1),
 ls AS (SELECT * FROM w WHERE back = 1),
 ag AS (SELECT gid, count(*) AS hits, max(t) - min(t) AS duration, count(DISTINCT camera) AS ac, count(DISTINCT camera) FILTER (WHERE t >= last_t - {WINDOW_S}) AS cameras, count(DISTINCT node) FILTER (WHERE t >= last_t - {WINDOW_S}) AS nodes,
   count(*) FILTER (WHERE t >= last_t - {HOVER_S}) AS nl, max(t) FILTER (WHERE t >= last_t - {HOVER_S}) - min(t) FILTER (WHERE t >= last_t - {HOVER_S}) AS cv, max(z) FILTER (WHERE t >= last_t - {HOVER_S}) - min(z) FILTER (WHERE t >= last_t - {HOVER_S}) AS rise FROM w GROUP BY 1),
