@@ -45,3 +45,9 @@ def by_position(doc: Column, paths: tuple[str, ...], position: Column, kind: str
 def count_at(doc: Column, dotted: str) -> Column:
     """How many values a list has; 0 where there is none."""
     return F.coalesce(F.size(at(doc, dotted, "array<variant>")), F.lit(0))
+
+
+def counted(doc: Column, paths: tuple[str, ...]) -> Column:
+    """A count under the first name that has one: a histogram's values added up, or a single number; null where there is none."""
+    one = lambda p: F.coalesce(F.aggregate(at(doc, p, "array<double>"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), at(doc, p, "double"))
+    return F.coalesce(*[one(p) for p in paths]).cast("long")

@@ -96,6 +96,22 @@ def resolved_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.crossJoin(F.broadcast(recipe)).withColumn("imgsz", F.coalesce(override, own, "recipe_size")).select("combo", "model", "imgsz", batch.cast("long").alias("batch"), F.when(F.col("tiled") == 1, 640).alias("tile"))
 
 
+def run_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stored run may prove, by the claims of its combination; nulls for a run whose metadata names none that is known."""
+    known = combo_claims(spark, sf_dir).select("combo", *CLAIMS, "uniform_tiling", "fp_claim")
+    r = runs(spark, sf_dir).select("run_id", F.when(F.col("run_id") % 9 == 0, F.concat("combo", F.lit("-old"))).when(F.col("run_id") % 13 != 0, F.col("combo")).alias("combo"))
+    return r.join(F.broadcast(known), "combo", "left").select("run_id", "combo", *CLAIMS, "uniform_tiling", "fp_claim")
+
+
+def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be said of each run's figures on each source: held in training or not, whether false positives can show, whether tiles differ from the source's own."""
+    m = _members(spark, sf_dir).select("combo", "source", "tiled", F.lit(True).alias("held"))
+    pairs = runs(spark, sf_dir).select("run_id", "combo").join(F.broadcast(sources(spark, sf_dir)), F.lit(True)).join(F.broadcast(m), ["combo", "source"], "left")
+    own = F.coalesce(F.col("median_px") <= TILE_BELOW, F.lit(False))
+    notes = (F.when(F.col("held"), "seen in training").otherwise("not seen in training"), F.when(~F.col("bird_negatives"), "few birds: false positives hardly show"), F.when(F.col("held") & (F.col("tiled") != own), "tiled otherwise than by its own targets"))
+    return pairs.select("run_id", "source", F.array_join(F.array_compact(F.array(*notes)), "; ").alias("notes"))
+
+
 #: Fixed values of the alert rules.
 RULES = {"min_hits": 12, "alert_min_hits": 12, "max_gap": 5, "target_age": 4, "verify_frames": 3, "verify_s": 0.5, "recovery_s": 2.5, "lead_s": 2.0, "window_s": 3.0, "duration_s": 1.0}
 _PROBLEMS = (("alerts before confirmation", "alert_min_hits < min_hits"), ("ended while still tracked", "max_gap < target_age"), ("hand-off can't be verified in time", "verify_frames * 0.033 > verify_s"), ("recovery gives up before a hand-off", "recovery_s < lead_s"), ("no time for a second view", "window_s < duration_s"))
@@ -120,7 +136,7 @@ def severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.join(F.broadcast(per), "severity", "left").select("rank", "severity", F.coalesce("identities", F.lit(0)).alias("identities"))
 
 
-QUERIES = (combo_claims, matrix_plan, run_catalog, cross_table, training_curves, resolved_plans, rule_problems, severities)
+QUERIES = (combo_claims, matrix_plan, run_catalog, cross_table, training_curves, resolved_plans, rule_problems, severities, run_claims, source_notes)
 
 
 def oracles(views: str) -> dict[str, str]:
@@ -138,6 +154,8 @@ runs AS (SELECT s_suppkey AS run_id, {pick(MODELS, 's_suppkey % 3')} AS model, {
     listed = ", ".join(f"CASE WHEN {c} THEN '{m.replace(chr(39), chr(39) * 2)}' END" for m, c in _PROBLEMS)
     return {
         "combo_claims": head + f"SELECT *, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} = {chr(39) * 2} THEN {chr(39)}{c}{chr(39)} END' for c in CLAIMS)}], lambda x: x IS NOT NULL), ',') AS warnings, CASE WHEN bird_negatives <> '' THEN 'falsifiable' ELSE 'not falsifiable' END AS fp_claim FROM (SELECT combo_ord, combo, {', '.join(f'{said(c)} AS {c}' for c in CLAIMS)}, {said('tiled')} AS tiled_sources, count(DISTINCT own_tiled) <= 1 AS uniform_tiling FROM mem GROUP BY 1, 2)",
+        "run_claims": head + ", known AS (" + f"SELECT *, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} = {chr(39) * 2} THEN {chr(39)}{c}{chr(39)} END' for c in CLAIMS)}], lambda x: x IS NOT NULL), ',') AS warnings, CASE WHEN bird_negatives <> '' THEN 'falsifiable' ELSE 'not falsifiable' END AS fp_claim FROM (SELECT combo_ord, combo, {', '.join(f'{said(c)} AS {c}' for c in CLAIMS)}, {said('tiled')} AS tiled_sources, count(DISTINCT own_tiled) <= 1 AS uniform_tiling FROM mem GROUP BY 1, 2)" + "), r AS (SELECT run_id, CASE WHEN run_id % 9 = 0 THEN combo || '-old' WHEN run_id % 13 <> 0 THEN combo END AS combo FROM runs) SELECT run_id, r.combo, {}, uniform_tiling, fp_claim FROM r LEFT JOIN known ON known.combo = r.combo".format(", ".join(CLAIMS)),
+        "source_notes": head + f", k AS (SELECT run_id, s.source, bird_negatives, coalesce(median_px <= {TILE_BELOW}, false) AS own, m.tiled FROM runs CROSS JOIN src s LEFT JOIN (SELECT combo, source, tiled FROM mem) m ON m.combo = runs.combo AND m.source = s.source) SELECT run_id, source, concat_ws('; ', CASE WHEN tiled IS NULL THEN 'not seen in training' ELSE 'seen in training' END, CASE WHEN NOT bird_negatives THEN 'few birds: false positives hardly show' END, CASE WHEN tiled <> own THEN 'tiled otherwise than by its own targets' END) AS notes FROM k",
         "matrix_plan": head + ", have AS (SELECT DISTINCT l_orderkey % 97 % 8 AS ord FROM lineitem), ready AS (SELECT combo, count(*) FILTER (WHERE ord NOT IN (SELECT ord FROM have)) AS absent FROM mem GROUP BY 1), last AS (SELECT model, combo, count(*) AS runs, arg_max(run_id, trained_at * 1000000 + run_id) AS run_id FROM runs GROUP BY ALL), g AS (SELECT DISTINCT combo_ord, combo FROM mem) SELECT g.combo, m.model, CASE WHEN absent > 0 THEN 'skipped: no frames' WHEN last.run_id IS NULL THEN 'planned' ELSE 'done' END AS state, coalesce(runs, 0) AS runs, last.run_id, map50, combo_ord, CASE WHEN model_ord = 0 THEN 0 ELSE 1 END AS model_rank FROM g CROSS JOIN models m JOIN ready USING (combo) LEFT JOIN last ON last.model = m.model AND last.combo = g.combo LEFT JOIN runs r ON r.run_id = last.run_id",
         "run_catalog": head + "SELECT run_id, model, combo, trained_at, map50 IS NOT NULL AS evaluated, map50 AS primary, CASE WHEN map50 IS NULL THEN '-' ELSE printf('%.4f', map50) END AS map50_cell, CASE WHEN recall IS NULL THEN '-' ELSE printf('%.4f', recall) END AS recall_cell FROM runs".replace("AS primary", 'AS "primary"'),
         "cross_table": head + ", best AS (SELECT model, source, max(map50) AS map50 FROM runs JOIN mem USING (combo) GROUP BY ALL) SELECT m.model, s.source, map50, coalesce(map50, 0.0) AS shown FROM models m CROSS JOIN src s LEFT JOIN best ON best.model = m.model AND best.source = s.source",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.boxes import SIZE_BINS, size_bin
@@ -73,3 +73,13 @@ def tiling_plan(spark: SparkSession, sf_dir: str, threshold: int = 40) -> DataFr
     s = views.sources(spark, sf_dir)
     claims = F.concat_ws(",", *[F.when(F.col(c), c) for c in ("bird_negatives", "track_ids", "visibility")])
     return s.select("source", "median_px", F.coalesce(F.col("median_px") <= threshold, F.lit(False)).alias("tiled"), claims.alias("claims"))
+
+
+def trackable(height: Column, least: float = 15.0) -> Column:
+    """Whether a target is high enough, in pixels, to be told from frame to frame."""
+    return height >= least
+
+
+def trackable_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes by class, and those high enough to be tracked."""
+    return views.boxes(spark, sf_dir).groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"), F.count_if(trackable(F.col("h"))).alias("trackable"))

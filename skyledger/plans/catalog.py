@@ -7,7 +7,7 @@ from skyledger.plans import oracles
 from skyledger.sources.views import sources_sql
 from skyledger.streaming import edge
 
-QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity, tracks.ground_positions)}
+QUERIES = {f.__name__: f for f in (frames.frame_profile, frames.size_histogram, frames.class_distribution, frames.empty_frames, frames.stratified_split, frames.split_summary, frames.exact_duplicates, frames.label_harmonize, frames.tiling_plan, frames.trackable_targets, tracks.iou_pairs, tracks.greedy_match, tracks.detection_counts, tracks.cross_camera, tracks.velocities, tracks.track_fragments, tracks.persistence_gate, tracks.gallery_similarity, tracks.ground_positions)}
 QUERIES |= {f.__name__: f for f in (shapes.box_scalars, shapes.yolo_rows, shapes.giou_pairs, shapes.nms_survivors, shapes.tile_grid, shapes.tile_boxes, shapes.motion_compensated, shapes.geofence_hits, shapes.fence_areas, shapes.handoff_candidates, scores.tracking_scores, scores.corpus_scores, scores.hota, scores.hota_overall, scores.visible_accuracy, scores.rule_verdicts, scores.confidence_bands, scores.predicted_positions, scores.hover_spans, scores.side_percentiles, scores.sanity_checks, scores.val_fraction_needed, scores.holdout_split, scores.largest_clusters, scores.hamming_pairs, scores.cluster_sources, edge.stream_window_counts, edge.stream_edge_gate)}
 
 _VIEWS = """WITH b AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS box_ord,
@@ -40,6 +40,7 @@ SELECT *, round((degrees(atan2(gx - camera_id * 100, gy)) + 540) % 360 - 180, 4)
     "exact_duplicates": "SELECT md5(text) AS digest, min(doc_id) AS first, count(*) AS members, min(source) <> max(source) AS cross_source FROM documents GROUP BY 1 HAVING count(*) > 1",
     "label_harmonize": "SELECT regexp_replace(lower(trim(p_type)), '[- ]', '_', 'g') AS label, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60), '_+$', ''), ''), 'unnamed') AS slug, count(*) AS rows FROM part GROUP BY 1, 2",
     "tiling_plan": f"WITH {sources_sql()} SELECT source, median_px, coalesce(median_px <= 40, false) AS tiled, concat_ws(',', CASE WHEN bird_negatives THEN 'bird_negatives' END, CASE WHEN track_ids THEN 'track_ids' END, CASE WHEN visibility THEN 'visibility' END) AS claims FROM src",
+    "trackable_targets": _VIEWS + _END + "SELECT class_id, count(*) AS boxes, count(*) FILTER (h >= 15) AS trackable FROM b GROUP BY 1",
     "iou_pairs": _VIEWS + _END + "SELECT l_orderkey, gt_id, pred_id, i / (areas - i) AS iou FROM pairs WHERE i / (areas - i) >= 0.5",
     "cross_camera": _VIEWS + _END + "SELECT a.event_id, a.global_id, CAST(count(DISTINCT c.camera_id) AS INT) AS cameras, CASE WHEN count(DISTINCT c.camera_id) >= 2 THEN 'pass' ELSE 'fail' END AS outcome FROM o a JOIN o c ON a.global_id = c.global_id AND c.frame_index BETWEEN a.frame_index - 75 AND a.frame_index GROUP BY 1, 2",
     "velocities": _VIEWS + _END + "SELECT event_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, frame_index - lag(frame_index) OVER w AS gap FROM o WINDOW w AS (PARTITION BY global_id, camera_id ORDER BY frame_index)",
