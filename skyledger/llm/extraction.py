@@ -54,14 +54,16 @@ def _declared(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
         kind = OPEN
     if not attributes or tag in ("html", "body"):
         return kind, False
-    words = set()
+    words, tokens = set(), set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
             words.update(w.lower() for w in _NAME.findall("".join(values)))
+            tokens.update("".join(values).lower().split())
             if name == "role" and kind == OPEN and "main" in words:
                 kind = MAIN
-    if words & _COMMENT_WORDS:
+    # an article may be said to be open for comments, so only a whole token makes it one
+    if (tokens if kind >= MAIN else words) & _COMMENT_WORDS:
         return CHROME, True
     if _HIDDEN.search(attributes) and not words & {"hidden"}:
         return CHROME, True
@@ -79,7 +81,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
     def flush() -> None:
         if text:
-            line = " ".join(html_entities.unescape("".join(text)).split())
+            line = " ".join("".join(text).split())
             if line:
                 out.append((line, where))
             text.clear()
@@ -100,7 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag is None:
             # a lone < is text; comments, declarations and stray ends are none
             if page[m.start()] != "<" or at == m.start() + 1:
-                text.append(m[0])
+                text.append(html_entities.unescape(m[0]) if "&" in m[0] else m[0])
             continue
         tag = tag.lower()
         if tag == "br":

@@ -82,6 +82,7 @@ def test_markup(spark):
         "<article><ul><li class=ad>ad<li>one<li>two</ul><table><tr><td>x<td>y</table></article>": "one\ntwo\nx\ny",
         "<article><p class='advert'>ad<div>kept</div><p hidden>no</p><p>yes</p></article><p": "kept\nyes",
         "plain text only": "plain text only",
+        "<article class='post comments-open'>&am<i>p; &amp;lt;</i><article class='comment'>reader</article><div class='post-comments'>more</div></article>": "&amp; &lt;",
         "<article></article><style>x": "",
         "": "",
     }
