@@ -15,10 +15,6 @@ from skyledger.sources import views
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.frame_keys(spark, sf_dir).select("l_orderkey", "sequence_id", "modality", "frame_index")
-
-
 def _id_events(d: DataFrame, *more: str) -> DataFrame:
     """d: ground-truth rows with pred_id or null -> switches and fragments. A miss between two matches makes no switch."""
     w = Window.partitionBy("sequence_id", "modality", "gt_id", *more).orderBy("frame_index")
@@ -68,13 +64,16 @@ def hota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Pairs are taken by descending overlap, so the matching at a higher threshold is the part of the
     lowest one's that reaches it: one walk of a frame serves all ten. A switch is counted against the
-    ground truth's own match in the sequence's frame before.
+    ground truth's own match in the frame before, where frames without ground truth are passed over; a
+    frame without predictions breaks the chain. One scan and exchange of boxes serve matches and totals.
     """
-    f = _keyed(spark, sf_dir)
+    f = views.key_columns(tracks.matched_frames(views.frame_boxes(spark, sf_dir)))
     t = F.explode(F.array(*[F.lit(x) for x in THRESHOLDS])).alias("threshold")
-    base = f.join(views.boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("g")), "l_orderkey").join(views.predictions(spark, sf_dir).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("p")), "l_orderkey", "left")
-    totals = base.groupBy("sequence_id", "modality").agg(F.sum("g").alias("gt"), F.sum(F.coalesce("p", F.lit(0))).alias("pred"))
-    m = tracks.greedy_match(spark, sf_dir).join(f, "l_orderkey").select("*", t).where(F.col("iou") >= F.col("threshold"))
+    totals = f.groupBy("sequence_id", "modality").agg(F.sum(F.size("gt")).alias("gt"), F.sum(F.size("pred")).alias("pred"))
+    order = Window.partitionBy("sequence_id", "modality").orderBy("l_orderkey")
+    shown = f.where(F.size("gt") > 0).withColumn("frame_index", F.row_number().over(order) - 1)
+    m = shown.select("sequence_id", "modality", "frame_index", F.explode("pairs").alias("m")).select("sequence_id", "modality", "frame_index", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
+    m = m.select("*", t).where(F.col("iou") >= F.col("threshold"))
     w = Window.partitionBy("sequence_id", "modality", "threshold", "gt_id").orderBy("frame_index")
     m = m.withColumn("idsw", ((F.lag("frame_index").over(w) == F.col("frame_index") - 1) & (F.lag("pred_id").over(w) != F.col("pred_id"))).cast("int"))
     c = m.groupBy("sequence_id", "modality", "threshold").agg(F.count(F.lit(1)).alias("tp"), F.sum(F.coalesce("idsw", F.lit(0))).alias("idsw"))
