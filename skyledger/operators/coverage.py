@@ -1,4 +1,9 @@
-"""Cameras on a site: where their views lie, who sees a point, overlaps, blind zones, hand-over candidates and poses. Views are laid out in small grid cells, and points meet the views of their cell; only cells on a view's border need a test."""
+"""Cameras on a site: where their views lie, who sees a point, overlaps, blind zones, hand-over candidates and poses. Views are laid out in small grid cells, and points meet the views of their cell; only cells on a view's border need a test.
+
+Cameras of one pose and targets of one place go through the geometry once, as a lot, and are told apart
+after it (see alike). Joins whose sides are made by generators are hinted: Spark takes them for as small
+as the file they come from and would broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +29,9 @@ ZONES = (
 #: Fixed values of moving cameras: limits in degrees, zooms, speeds in degrees a second, settling seconds and overshoot.
 PAN, TILT, ZOOM, SPEED, SETTLE, OVERSHOOT = (-170.0, 170.0), (-60.0, 30.0), (1.0, 20.0), (80.0, 40.0), 0.4, 0.1
 
+#: What a camera's view depends on, and the most rows of one lot.
+POSE, LOT = ("x", "y", "z", "yaw", "pitch"), 1000
+
 
 def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A camera per supplier: place, yaw (clockwise from north) and pitch in degrees, node, whether it moves, is enabled, and its declared horizon."""
@@ -38,6 +46,18 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(k.alias("target"), d(k * 17 % 1000).alias("tx"), d(k * 29 % 1000).alias("ty"), d(k % 7 - 3).alias("vx"), d(k % 5 - 2).alias("vy"), d(k % 30).alias("tz"))
 
 
+def alike(rows: DataFrame, number: str, *by: str) -> DataFrame:
+    """Rows equal in `by` as lots: (by, number: the smallest of its numbers, number + "s": all of them, LOT at the most). A number is in one lot, and more equal rows make more lots."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(number)) - 1
+    lots = rows.select(number, *by).withColumn("_lot", F.floor(at / LOT)).groupBy(*by, "_lot")
+    return lots.agg(F.min(number).alias(number), F.sort_array(F.collect_list(number)).alias(f"{number}s")).drop("_lot")
+
+
+def each(lots: DataFrame, number: str) -> DataFrame:
+    """Lots with a row for each of their numbers again."""
+    return lots.withColumn(number, F.explode(f"{number}s")).drop(f"{number}s")
+
+
 def border(i: str) -> str:
     """SQL: struct (x, y) of the i-th of the image's border pixels, in order round it."""
     n = SIDE - 1
@@ -67,7 +87,9 @@ def holds(polygon: str, x: str, y: str) -> str:
 
 
 def with_views(cams: DataFrame, plane: float = 0.0) -> DataFrame:
-    return cams.withColumn("polygon", view_polygon(plane))
+    """Cameras with the corners of what they see. The rows are few and dear, so they are dealt over all cores; past the generator Catalyst doesn't write the polygon out again for each of its uses."""
+    cores = cams.sparkSession.sparkContext.defaultParallelism
+    return cams.repartition(cores, "camera").withColumn("polygon", F.explode(F.array(view_polygon(plane))))
 
 
 def horizon() -> Column:
@@ -124,15 +146,17 @@ def view_cells(views: DataFrame, cell: float = CELL) -> DataFrame:
 
 
 def _seen(points: DataFrame, views: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with the views that hold them, without their polygons: joined by cell, and only in cells on a border tested against the edges, by the parity of those that a ray to the right crosses."""
+    """Points with the views that hold them, without their polygons: places joined by cell, and only in cells on a border tested against the edges, by the parity of those that a ray to the right crosses. Points of one place are one in this."""
     cell = lambda c: F.floor(F.col(c) / CELL)
     thin = views.select("camera", "polygon")
-    met = points.withColumn("_p", F.monotonically_increasing_id()).withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(view_cells(thin), ["gx", "gy"]).drop("gx", "gy")
+    places = points.select(x, y).distinct().withColumn("gx", cell(x)).withColumn("gy", cell(y))
+    met = places.join(view_cells(thin).hint("merge"), ["gx", "gy"]).drop("gx", "gy")
     px, py = F.col(x), F.col(y)
     across = ((F.col("ay") > py) != (F.col("by") > py)) & (px < F.col("ax") + (py - F.col("ay")) / ((F.col("by") - F.col("ay")) + 1e-9) * (F.col("bx") - F.col("ax")))
-    border = met.where(~F.col("whole")).join(view_edges(thin), "camera").where(across)
-    border = border.groupBy(*[c for c in met.columns if c != "whole"]).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
-    return met.where("whole").drop("whole").unionByName(border).drop("_p").join(views.drop("polygon"), "camera")
+    border = met.where(~F.col("whole")).join(view_edges(thin).hint("merge"), "camera").where(across)
+    border = border.groupBy(x, y, "camera").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
+    hits = met.where("whole").drop("whole").unionByName(border)
+    return points.join(hits.hint("merge"), [x, y]).join(views.drop("polygon").hint("merge"), "camera").select(*points.columns, *[c for c in views.columns if c != "polygon"])
 
 
 def _within(points: DataFrame, cams: DataFrame, x: str, y: str, reach: float) -> DataFrame:
@@ -144,7 +168,7 @@ def _within(points: DataFrame, cams: DataFrame, x: str, y: str, reach: float) ->
     spread = cams.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
     spread = spread.where(gap("x", F.col("gx")) * gap("x", F.col("gx")) + gap("y", F.col("gy")) * gap("y", F.col("gy")) <= (reach + EDGE) * (reach + EDGE))
     near = (F.col(x) - F.col("x")) * (F.col(x) - F.col("x")) + (F.col(y) - F.col("y")) * (F.col(y) - F.col("y")) <= (reach + EDGE) * (reach + EDGE)
-    return points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(spread, ["gx", "gy"]).drop("gx", "gy").where(near)
+    return points.withColumn("gx", cell(x)).withColumn("gy", cell(y)).join(spread.hint("merge"), ["gx", "gy"]).drop("gx", "gy").where(near)
 
 
 def kept(df: DataFrame, flag: str) -> DataFrame:
@@ -154,10 +178,12 @@ def kept(df: DataFrame, flag: str) -> DataFrame:
 
 def cameras_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each target: the enabled cameras that see its place, fixed ones and all."""
-    v = with_views(cameras(spark, sf_dir)).where("enabled").select("camera", "x", "y", "moves", "polygon")
-    hits = _seen(targets(spark, sf_dir).select("target", "tx", "ty"), v, "tx", "ty")
-    seen = hits.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("camera")), ",").alias("cameras"), F.count_if(~F.col("moves")).alias("fixed"))
-    return targets(spark, sf_dir).select("target").join(seen, "target", "left").select("target", F.coalesce("cameras", F.lit("")).alias("cameras"), F.coalesce("fixed", F.lit(0)).alias("fixed"))
+    v = with_views(alike(cameras(spark, sf_dir).where("enabled"), "camera", *POSE, "moves"))
+    places = alike(targets(spark, sf_dir), "target", "tx", "ty")
+    hits = _seen(places.select("target", "tx", "ty"), v.select("camera", "cameras", "moves", "polygon"), "tx", "ty")
+    seen = each(hits, "camera").groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("camera")), ",").alias("cameras"), F.count_if(~F.col("moves")).alias("fixed"))
+    out = places.join(seen.hint("merge"), "target", "left").select("targets", F.coalesce("cameras", F.lit("")).alias("cameras"), F.coalesce("fixed", F.lit(0)).alias("fixed"))
+    return each(out, "target").select("target", "cameras", "fixed")
 
 
 def camera_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +279,18 @@ def view_exits(spark: SparkSession, sf_dir: str, samples: int = 64, horizon_m: f
     return out.select("target", "camera", F.round("exit_m", 4).alias("exit_m"), F.round("exit_s", 4).alias("exit_s"), F.coalesce(F.col("exit_s") - lead_s <= 0, F.lit(False)).alias("hand_over"), F.round(F.greatest(F.lit(0.0), 1 - F.least(F.col("shared"), F.lit(3)) / 3.0), 6).alias("occlusion"))
 
 
+def _rated(spark: SparkSession, sf_dir: str, places: DataFrame, most_m: float) -> DataFrame:
+    """places (target, tx, ty, tz) with the lots of moving cameras within most_m that can show them: pose, acquire_s and score."""
+    movers = alike(cameras(spark, sf_dir).where("moves and enabled"), "camera", *POSE)
+    p = _poses(_within(places, movers, "tx", "ty", most_m), F.col("tz"))
+    p = kept(p.where(F.col("distance") <= most_m), "within")
+    pan = F.abs((F.col("yaw_to") - F.col("yaw") + 540 + 360) % 360 - 180)
+    tilt = F.abs(F.col("pitch_to") - F.col("pitch"))
+    slew = F.sqrt(F.pow(pan / SPEED[0], 2) + F.pow(tilt / SPEED[1], 2))
+    p = p.withColumn("acquire_s", slew + SETTLE * (1 + OVERSHOOT))
+    return p.withColumn("score", F.least(F.lit(1.0), 0.5 / (1 + F.col("distance") / 150) + 0.5 / (1 + F.col("acquire_s") / 2)))
+
+
 def handover_candidates(spark: SparkSession, sf_dir: str, most_m: float = 250.0) -> DataFrame:
     """For each target the moving cameras within most_m that can show it, with the pose, how far and long they must turn, and their score, the best first."""
     movers = cameras(spark, sf_dir).where("moves and enabled")
