@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from skyledger.operators import coverage
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("cameras_seeing",)
-BY_CELLS = ("cameras_seeing",)
+NAMES = ("cameras_seeing", "handover_candidates")
+BY_CELLS = ("cameras_seeing", "handover_candidates")
 
 
 def normal(rows):
