@@ -242,15 +242,15 @@ def _poses(pairs: DataFrame, height: Column) -> DataFrame:
 
 def zone_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each zone: the enabled cameras that see one of its samples, the moving ones that could be turned to one, and whether it is covered, by fixed views or by moving cameras only."""
-    cams = with_views(cameras(spark, sf_dir))
-    samples = _samples(_zones(spark))
-    seen = _seen(samples, cams.where("enabled").select("camera", "polygon"), "tx", "ty").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("seen"))
-    movers = cams.where("moves").drop("polygon")
-    turned = kept(_poses(samples.crossJoin(F.broadcast(movers)), F.lit(0.0)), "within").groupBy("zone").agg(F.array_sort(F.collect_set("camera")).alias("turned"))
-    empty = F.expr("cast(array() as array<bigint>)")
-    out = _zones(spark).select("zone").join(seen, "zone", "left").join(turned, "zone", "left").withColumn("seen", F.coalesce("seen", empty)).withColumn("turned", F.coalesce("turned", empty))
-    state = F.when(F.size("seen") > 0, "seen").when(F.size("turned") > 0, "moving cameras only").otherwise("uncovered")
-    return out.select("zone", F.array_join("seen", ",").alias("seen"), F.size("turned").alias("could_turn"), F.size(F.array_union("seen", "turned")).alias("cameras"), state.alias("state"))
+    cams, samples = cameras(spark, sf_dir), _samples(_zones(spark))
+    seen = _seen(samples, with_views(alike(cams.where("enabled"), "camera", *POSE)).select("camera", "cameras", "polygon"), "tx", "ty").select("zone", "cameras")
+    turned = kept(_poses(alike(cams.where("moves"), "camera", *POSE).crossJoin(F.broadcast(samples)), F.lit(0.0)), "within").select("zone", "cameras")
+    both = each(seen.withColumn("seen", F.lit(True)).unionByName(turned.withColumn("seen", F.lit(False))), "camera")
+    per = both.groupBy("zone", "camera").agg(F.max("seen").alias("seen"), F.min("seen").alias("only")).groupBy("zone").agg(F.array_sort(F.collect_list(F.when(F.col("seen"), F.col("camera")))).alias("seen"), F.count_if(~F.col("only")).alias("turned"), F.count(F.lit(1)).alias("cameras"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    out = _zones(spark).select("zone").join(per, "zone", "left").withColumn("seen", F.coalesce("seen", F.expr("cast(array() as array<bigint>)")))
+    state = F.when(F.size("seen") > 0, "seen").when(F.col("turned") > 0, "moving cameras only").otherwise("uncovered")
+    return out.select("zone", F.array_join("seen", ",").alias("seen"), number("turned").alias("could_turn"), number("cameras").alias("cameras"), state.alias("state"))
 
 
 def node_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
