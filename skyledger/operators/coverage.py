@@ -369,7 +369,8 @@ def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     unseen = zone_watch(spark, sf_dir).where("state <> 'seen'").select("zone")
     order = spark.createDataFrame([(z[0], float(i + 1)) for i, z in enumerate(ZONES)], "zone string, priority double")
     middle = _samples(_zones(spark)).where("sample = 0").join(unseen, "zone").join(order, "zone")
-    p = kept(_poses(middle.crossJoin(F.broadcast(cameras(spark, sf_dir).where("moves"))), F.lit(0.0)), "within").withColumn("score", F.round(_sweep() - 2 * F.col("priority"), 6))
+    movers = alike(cameras(spark, sf_dir).where("moves"), "camera", *POSE).drop("cameras")
+    p = kept(_poses(movers.crossJoin(F.broadcast(middle)), F.lit(0.0)), "within").withColumn("score", F.round(_sweep() - 2 * F.col("priority"), 6))
     best = p.groupBy("zone").agg(F.min(F.struct("score", "camera")).alias("b"))
     return unseen.join(best, "zone", "left").select("zone", "b.camera", "b.score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import coverage
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("cameras_seeing", "handover_candidates", "zone_watch")
+NAMES = ("cameras_seeing", "restore_tasks", "handover_candidates", "zone_watch")
 BY_CELLS = ("cameras_seeing", "handover_candidates")
 
 
