@@ -385,14 +385,17 @@ def preposition_tasks(spark: SparkSession, sf_dir: str, lead_s: float = 3.0) ->
 
 def turn_schedule(spark: SparkSession, sf_dir: str, frame: int = 10) -> DataFrame:
     """What becomes of the best hand-over of each target in one cycle: tasks go by priority and then urgency; a camera takes the first that is due, later ones wait while it settles, and none may take it from a zone that it alone watches, unless it sees the target already."""
-    best = handover_candidates(spark, sf_dir).where("rank = 1").select("target", "camera")
-    tasks = best.withColumn("priority", F.col("target") % 4).withColumn("urgency", F.col("target") % 10).withColumn("due", F.col("target") % 3 * 5)
-    cams = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "enabled", "polygon")
+    places = alike(targets(spark, sf_dir), "target", "tx", "ty", "tz")
+    best = _rated(spark, sf_dir, places.drop("targets"), 250.0).groupBy("target").agg(F.min(F.struct(-F.round("score", 9), "camera")).alias("b")).select("target", "b.camera")
+    cams = cameras(spark, sf_dir)
     middle = _samples(_zones(spark)).where("sample = 0")
-    watch = _seen(middle, cams.where("enabled").select("camera", "polygon"), "tx", "ty").select("zone", "camera")
-    alone = watch.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("camera").alias("camera")).where("n = 1").select("camera").distinct().withColumn("alone", F.lit(True))
-    j = tasks.join(targets(spark, sf_dir).select("target", "tx", "ty"), "target").join(cams.select("camera", "polygon"), "camera").join(F.broadcast(alone), "camera", "left")
-    j = j.withColumn("sees", F.expr(holds("polygon", "tx", "ty"))).withColumn("vetoed", F.coalesce("alone", F.lit(False)) & ~F.col("sees")).withColumn("ready", (F.col("due") <= frame) & ~F.col("vetoed"))
+    watch = _seen(middle, with_views(alike(cams.where("enabled"), "camera", *POSE)).select("camera", F.size("cameras").alias("many"), "polygon"), "tx", "ty")
+    alone = watch.groupBy("zone").agg(F.sum("many").alias("n"), F.min("camera").alias("camera")).where("n = 1").select("camera").distinct().withColumn("alone", F.lit(True))
+    # a place's best camera sees it or not, whichever target is there
+    j = with_views(best.join(places.hint("merge"), "target").join(cams.select("camera", *POSE).hint("merge"), "camera")).join(F.broadcast(alone), "camera", "left")
+    j = each(j.select("targets", "camera", "alone", F.expr(holds("polygon", "tx", "ty")).alias("sees")), "target")
+    j = j.withColumn("priority", F.col("target") % 4).withColumn("urgency", F.col("target") % 10).withColumn("due", F.col("target") % 3 * 5)
+    j = j.withColumn("vetoed", F.coalesce("alone", F.lit(False)) & ~F.col("sees")).withColumn("ready", (F.col("due") <= frame) & ~F.col("vetoed"))
     w = Window.partitionBy("camera", "ready").orderBy("priority", F.desc("urgency"), "target")
     state = F.when(F.col("due") > frame, "deferred").when(F.col("vetoed"), "rejected").when(F.row_number().over(w) == 1, "assigned").otherwise("deferred")
     return j.select("target", "camera", "priority", "urgency", state.alias("state"), F.when(state == "assigned", F.lit(frame + max(1, int(SETTLE * (1 + OVERSHOOT) * 30)))).alias("settled_at"))
