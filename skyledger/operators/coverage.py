@@ -343,9 +343,10 @@ def zone_shares(spark: SparkSession, sf_dir: str, steps: int = 64) -> DataFrame:
     axis = lambda a, b: F.transform(F.sequence(F.lit(0), (F.ceil((F.col(b) - F.col(a)) / F.col("step")) - 1).cast("int")), lambda i: F.col(a) + i * F.col("step"))
     grid = z.select("zone", "corners", F.explode(axis("x1", "x2")).alias("tx"), "y1", "y2", "step").select("zone", "corners", "tx", F.explode(axis("y1", "y2")).alias("ty")).where(holds("corners", "tx", "ty"))
     total = grid.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
-    v = with_views(cameras(spark, sf_dir)).select("camera", "x", "y", "polygon")
-    hits = _seen(grid.select("zone", "tx", "ty"), v, "tx", "ty").groupBy("zone", "camera").agg(F.count(F.lit(1)).alias("k"))
-    return hits.join(total, "zone").select("zone", "camera", F.round(F.col("k") / F.col("n"), 6).alias("share"))
+    lots = alike(cameras(spark, sf_dir), "camera", *POSE)
+    hits = _seen(grid.select("zone", "tx", "ty"), with_views(lots).select("camera", "polygon"), "tx", "ty").groupBy("zone", "camera").agg(F.count(F.lit(1)).alias("k"))
+    shares = hits.join(F.broadcast(total), "zone").select("zone", "camera", F.round(F.col("k") / F.col("n"), 6).alias("share"))
+    return each(shares.join(lots.select("camera", "cameras").hint("merge"), "camera"), "camera").select("zone", "camera", "share")
 
 
 def _sweep() -> Column:
