@@ -189,18 +189,21 @@ def cameras_seeing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def camera_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of cameras whose views' bounds share more than 1 square metre and 2 % of the smaller."""
     bound = lambda f, c: F.expr(f"{f}(transform(polygon, p -> p.{c}))")
-    v = with_views(cameras(spark, sf_dir)).where("size(polygon) >= 3").select("camera", bound("array_min", "x").alias("x1"), bound("array_max", "x").alias("x2"), bound("array_min", "y").alias("y1"), bound("array_max", "y").alias("y2"))
-    # bounds that meet share cells; a pair counts in the lowest of them alone
-    side = REACH / 4
+    v = with_views(alike(cameras(spark, sf_dir), "camera", *POSE)).where("size(polygon) >= 3").select("camera", "cameras", bound("array_min", "x").alias("x1"), bound("array_max", "x").alias("x2"), bound("array_min", "y").alias("y1"), bound("array_max", "y").alias("y2"))
+    # bounds that meet share cells; a pair of lots, or a lot with itself, counts in the lowest of them alone
+    side = REACH
     cell = lambda c: F.floor(F.col(c) / side)
     spread = v.withColumn("gx", F.explode(F.sequence(cell("x1"), cell("x2")))).withColumn("gy", F.explode(F.sequence(cell("y1"), cell("y2"))))
-    a, b = spread.select("gx", "gy", *[F.col(c).alias(f"a_{c}") for c in v.columns]), spread
+    a, b = spread.select("gx", "gy", *[F.col(c).alias(f"a_{c}") for c in v.columns]), spread.hint("merge")
     w = F.greatest(F.lit(0.0), F.least("a_x2", "x2") - F.greatest("a_x1", "x1"))
     h = F.greatest(F.lit(0.0), F.least("a_y2", "y2") - F.greatest("a_y1", "y1"))
     area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
     lowest = (F.col("gx") == F.greatest(cell("a_x1"), cell("x1"))) & (F.col("gy") == F.greatest(cell("a_y1"), cell("y1")))
-    pairs = a.join(b, ["gx", "gy"]).where((F.col("a_camera") < F.col("camera")) & lowest).withColumn("shared", w * h).withColumn("ratio", F.col("shared") / F.greatest(F.least(area("a_"), area("")), F.lit(1e-6)))
-    return pairs.where("shared > 1 and ratio > 0.02").select(F.col("a_camera").alias("first"), F.col("camera").alias("second"), F.round("shared", 3).alias("shared"), F.round("ratio", 6).alias("ratio"))
+    pairs = a.join(b, ["gx", "gy"]).where((F.col("a_camera") <= F.col("camera")) & lowest).withColumn("shared", w * h).withColumn("ratio", F.col("shared") / F.greatest(F.least(area("a_"), area("")), F.lit(1e-6)))
+    pairs = pairs.where("shared > 1 and ratio > 0.02").select("a_camera", "a_cameras", F.col("camera").alias("b_camera"), F.col("cameras").alias("b_cameras"), F.round("shared", 3).alias("shared"), F.round("ratio", 6).alias("ratio"))
+    own = F.col("a_camera") == F.col("b_camera")
+    two = pairs.withColumn("own", own).withColumn("i", F.explode("a_cameras")).withColumn("j", F.explode("b_cameras")).where(~F.col("own") | (F.col("i") < F.col("j")))
+    return two.select(F.least("i", "j").alias("first"), F.greatest("i", "j").alias("second"), "shared", "ratio")
 
 
 def _zones(spark: SparkSession) -> DataFrame:
