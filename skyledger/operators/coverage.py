@@ -387,10 +387,14 @@ def restore_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preposition_tasks(spark: SparkSession, sf_dir: str, lead_s: float = 3.0) -> DataFrame:
     """For each moving target, the moving camera within reach of where it will be in lead_s seconds that is to be turned there: the least of distance and 25 m for each degree to turn."""
-    t = targets(spark, sf_dir).where("vx <> 0 or vy <> 0").select("target", (F.col("tx") + F.col("vx") * lead_s).alias("tx"), (F.col("ty") + F.col("vy") * lead_s).alias("ty"), "tz")
-    p = _poses(_within(t, cameras(spark, sf_dir).where("moves and enabled"), "tx", "ty", REACH), F.col("tz"))
+    places = alike(targets(spark, sf_dir).where("vx <> 0 or vy <> 0"), "target", "tx", "ty", "vx", "vy", "tz")
+    t = places.select("target", (F.col("tx") + F.col("vx") * lead_s).alias("tx"), (F.col("ty") + F.col("vy") * lead_s).alias("ty"), "tz")
+    # of cameras of one pose the first is taken
+    movers = alike(cameras(spark, sf_dir).where("moves and enabled"), "camera", *POSE).drop("cameras")
+    p = _poses(_within(t, movers, "tx", "ty", REACH), F.col("tz"))
     p = kept(p.where(F.col("distance") <= REACH), "within")
-    return p.withColumn("score", F.round(F.col("distance") + 25 * _sweep(), 5)).groupBy("target").agg(F.min(F.struct("score", "camera")).alias("b")).select("target", "b.camera", "b.score")
+    best = p.withColumn("score", F.round(F.col("distance") + 25 * _sweep(), 5)).groupBy("target").agg(F.min(F.struct("score", "camera")).alias("b"))
+    return each(best.join(places.select("target", "targets").hint("merge"), "target"), "target").select("target", "b.camera", "b.score")
 
 
 def turn_schedule(spark: SparkSession, sf_dir: str, frame: int = 10) -> DataFrame:
