@@ -101,7 +101,7 @@ def horizon() -> Column:
 
 def camera_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each camera's view: corners, area, centroid, bounds, opening angles and horizon."""
-    v = with_views(cameras(spark, sf_dir))
+    v = with_views(alike(cameras(spark, sf_dir), "camera", *POSE, "declared"))
     n = "size(polygon)"
     cross = "(polygon[i].x * polygon[(i + 1) % size(polygon)].y - polygon[(i + 1) % size(polygon)].x * polygon[i].y)"
     total = lambda term: F.expr(f"aggregate(sequence(0, {n} - 1), 0D, (s, i) -> s + {term})")
@@ -111,7 +111,8 @@ def camera_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = lambda f, c: f(F.expr(f"transform(polygon, p -> p.{c})"))
     angle = lambda px: math.degrees(2 * math.atan(px / (2 * FOCAL)))
     r = lambda c, n: F.round(c, 4).alias(n)
-    return v.select("camera", F.expr(n).alias("corners"), r(F.abs("twice") / 2, "area"), r(centre("x", "mx"), "cx"), r(centre("y", "my"), "cy"), r(bound(F.array_min, "x"), "min_x"), r(bound(F.array_max, "x"), "max_x"), r(bound(F.array_min, "y"), "min_y"), r(bound(F.array_max, "y"), "max_y"), F.lit(round(angle(WIDTH), 6)).alias("hfov"), F.lit(round(angle(HEIGHT), 6)).alias("vfov"), r(horizon(), "horizon"))
+    out = v.select("cameras", F.expr(n).alias("corners"), r(F.abs("twice") / 2, "area"), r(centre("x", "mx"), "cx"), r(centre("y", "my"), "cy"), r(bound(F.array_min, "x"), "min_x"), r(bound(F.array_max, "x"), "max_x"), r(bound(F.array_min, "y"), "min_y"), r(bound(F.array_max, "y"), "max_y"), F.lit(round(angle(WIDTH), 6)).alias("hfov"), F.lit(round(angle(HEIGHT), 6)).alias("vfov"), r(horizon(), "horizon"))
+    return each(out, "camera").select("camera", *out.columns[1:])
 
 
 def view_edges(views: DataFrame) -> DataFrame:

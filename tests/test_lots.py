@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import coverage
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("cameras_seeing", "restore_tasks", "turn_schedule", "zone_shares", "view_exits", "camera_overlaps", "handover_candidates", "search_order", "preposition_tasks", "zone_watch")
+NAMES = ("cameras_seeing", "restore_tasks", "turn_schedule", "zone_shares", "view_exits", "camera_overlaps", "handover_candidates", "search_order", "preposition_tasks", "zone_watch", "camera_views")
 BY_CELLS = ("cameras_seeing", "turn_schedule", "zone_shares", "view_exits", "handover_candidates", "search_order", "preposition_tasks", "camera_overlaps")
 
 
