@@ -59,6 +59,20 @@ def visible_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sequence_id", "modality", F.round(F.when(F.col("most") > 0, F.col("a")), 9).alias("accuracy"))
 
 
+def threshold_counts(matches: DataFrame) -> DataFrame:
+    """matches (sequence_id, modality, frame_index, gt_id, pred_id, iou), of a frame at most one per gt_id -> per sequence, modality and threshold that any reaches: tp and idsw.
+
+    A ground truth's match in the frame before, if there is one, is the row before, whatever the
+    threshold; it counts where both reach it. So each match is ordered once, not once a threshold.
+    """
+    w = Window.partitionBy("sequence_id", "modality", "gt_id").orderBy("frame_index")
+    switch = (F.lag("frame_index").over(w) == F.col("frame_index") - 1) & (F.lag("pred_id").over(w) != F.col("pred_id"))
+    m = matches.select("sequence_id", "modality", "iou", F.when(switch, F.least("iou", F.lag("iou").over(w))).alias("both"))
+    n = m.groupBy("sequence_id", "modality").agg(*[F.count_if(F.col("iou") >= x).alias(f"tp_{i}") for i, x in enumerate(THRESHOLDS)], *[F.count_if(F.col("both") >= x).alias(f"idsw_{i}") for i, x in enumerate(THRESHOLDS)])
+    each = F.array(*[F.struct(F.lit(x).alias("threshold"), F.col(f"tp_{i}").alias("tp"), F.col(f"idsw_{i}").alias("idsw")) for i, x in enumerate(THRESHOLDS)])
+    return n.select("sequence_id", "modality", F.explode(each).alias("c")).select("sequence_id", "modality", "c.*").where("tp > 0")
+
+
 def hota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sequence and threshold from .50 to .95: TP, FP, FN, switches, DetA, AssA and the square root of their product.
 
@@ -73,10 +87,7 @@ def hota(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("sequence_id", "modality").orderBy("l_orderkey")
     shown = f.where(F.size("gt") > 0).withColumn("frame_index", F.row_number().over(order) - 1)
     m = shown.select("sequence_id", "modality", "frame_index", F.explode("pairs").alias("m")).select("sequence_id", "modality", "frame_index", F.col("m.g").alias("gt_id"), F.col("m.p").alias("pred_id"), (-F.col("m.k")).alias("iou"))
-    m = m.select("*", t).where(F.col("iou") >= F.col("threshold"))
-    w = Window.partitionBy("sequence_id", "modality", "threshold", "gt_id").orderBy("frame_index")
-    m = m.withColumn("idsw", ((F.lag("frame_index").over(w) == F.col("frame_index") - 1) & (F.lag("pred_id").over(w) != F.col("pred_id"))).cast("int"))
-    c = m.groupBy("sequence_id", "modality", "threshold").agg(F.count(F.lit(1)).alias("tp"), F.sum(F.coalesce("idsw", F.lit(0))).alias("idsw"))
+    c = threshold_counts(m)
     d = totals.select("*", t).join(c, ["sequence_id", "modality", "threshold"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("idsw", F.coalesce("idsw", F.lit(0)))
     d = d.withColumn("fp", F.col("pred") - F.col("tp")).withColumn("fn", F.col("gt") - F.col("tp"))
     det, ass = F.col("tp") / F.greatest(F.col("gt") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("gt") + F.col("idsw"), F.lit(1))
