@@ -172,7 +172,8 @@ class Coordinator:
         return [r for r in out if r[1]]
 
     def due(self) -> int | None:
-        return min((d for d in (self.hand.due(), self.lost.due()) if d is not None), default=None)
+        hand, lost = self.hand.due(), self.lost.due()
+        return lost if hand is None else hand if lost is None else min(hand, lost)
 
     def state(self) -> dict | None:
         h, r = self.hand, self.lost
