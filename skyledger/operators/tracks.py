@@ -26,11 +26,15 @@ def matched_frames(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
     """frames with arrays gt and pred of (box_ord, x1, y1, w, h) -> adds pairs, an array of (k, g, p): one-to-one pairs by descending overlap -k, ties in (gt, pred) order.
 
     A frame is one row, matched where it lies: its pairs of enough overlap are sorted and walked once,
-    each looked up among those taken, which are no more than the frame has boxes.
+    each looked up among those taken, which are no more than the frame has boxes. Overlaps are computed
+    for pairs whose sides meet alone, most pairs ending at one comparison.
     """
     both = "greatest(least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1), 0) * greatest(least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1), 0)"
     overlap = f"transform(array({both}), i -> if(a.w * a.h + b.w * b.h - i > 0, i / (a.w * a.h + b.w * b.h - i), 0D))[0]"
-    near = f"filter(flatten(transform(gt, a -> transform(pred, b -> named_struct('k', -{overlap}, 'g', a.box_ord, 'p', b.box_ord)))), x -> x.k <= -{float(threshold)}D)"
+    # where a side is null, the overlap itself decides
+    meet = "coalesce(b.x1 < a.x1 + a.w, true) and coalesce(a.x1 < b.x1 + b.w, true) and coalesce(b.y1 < a.y1 + a.h, true) and coalesce(a.y1 < b.y1 + b.h, true)"
+    others = f"filter(pred, b -> {meet})" if threshold > 0 else "pred"
+    near = f"filter(flatten(transform(gt, a -> transform({others}, b -> named_struct('k', -{overlap}, 'g', a.box_ord, 'p', b.box_ord)))), x -> x.k <= -{float(threshold)}D)"
     walk = "aggregate(rows, cast(array() as array<struct<k:double,g:int,p:int>>), (s, r) -> if(exists(s, x -> x.g = r.g or x.p = r.p), s, concat(s, array(r))))"
     return frames.withColumn("rows", F.array_sort(F.expr(near))).withColumn("pairs", F.expr(walk)).drop("rows")
 
