@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import coverage
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("view_exits", "handover_candidates")
+NAMES = ("view_exits", "handover_candidates", "search_order")
 
 
 @pytest.mark.parametrize("name", NAMES)
